@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,9 @@ def _per_side() -> dict[str, Callable[[str], Analysis]]:
         "topic_month_chosen": lambda s: lambda x, _, c: topics.topic_months_long(x, s, c, **CHOICE),
         "topic_status_long": lambda s: lambda x, _, c: topics.topic_status_long(x, s, c),
         "topic_status_chosen": lambda s: lambda x, _, c: topics.topic_status_long(x, s, c, STATUS, **CHOICE),
-        "keyword_total": lambda s: lambda x, t, c: keywords.keyword_total(x, s, t, c),
+        "keyword_total": lambda s: lambda x, t, c: keywords.keyword_total(x, t, c),
         "keyword_top": lambda s: lambda x, t, c: keywords.top_words(
-            keywords.keyword_total(x, s, t, c), [], len(c.words), c
+            keywords.keyword_total(x, t, c), [], len(c.words), c
         ),
         "keyword_status_total": lambda s: lambda x, t, c: keywords.keyword_status_total(x, s, t, c),
         "keyword_top_status": lambda s: lambda x, t, c: keywords.keyword_top_status(x, s, t, c, k=4),
@@ -144,10 +145,17 @@ def _analyses() -> dict[str, Analysis]:
     return single
 
 
+@lru_cache(maxsize=8)
+def _testbed(spark: SparkSession, sf_dir: str) -> tuple[Sources, DataFrame]:
+    """The sources and the exchange table as plans; nothing is computed or kept."""
+    sources = testbed_sources(spark, sf_dir)
+    return sources, exchange.build_exchange(sources, TESTBED)
+
+
 def _query(analysis: Analysis) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sources = testbed_sources(spark, sf_dir)
-        return _rounded(analysis(exchange.build_exchange(sources, TESTBED), sources, TESTBED))
+        sources, exchanged = _testbed(spark, sf_dir)
+        return _rounded(analysis(exchanged, sources, TESTBED))
 
     return run
 

@@ -55,9 +55,9 @@ def describe_weighted(
     """
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = F.col(weight)
-    kept = df.where(w > 0).withColumn("_n", F.sum(w).over(group))
-    for v in values:
-        kept = kept.withColumn(f"_mean_{v}", F.sum(F.col(v) * w).over(group) / F.col("_n"))
+    total = F.sum(w).over(group)
+    means = [(F.sum(F.col(v) * w).over(group) / total).alias(f"_mean_{v}") for v in values]
+    kept = df.where(w > 0).select("*", total.alias("_n"), *means)
     wanted: dict[str, Column] = {}
     for v in values:
         x, mean = F.col(v), F.first(f"_mean_{v}")

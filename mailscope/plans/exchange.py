@@ -27,15 +27,20 @@ def build_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:
     where each text is looked at once, and the narrow recipient rows then join it once, on ``mid``.
     Callers select what they need; Catalyst prunes the rest, regular expressions and bodies included.
 
+    Bodies are matched on the key wrapped in a struct. Matched on ``mid`` itself they would leave the
+    messages partitioned by it, the last join would take them without a shuffle, and adaptive
+    execution, which only splits between two shuffles, could not spread a message with very many
+    recipients over several tasks.
+
     Addresses are looked up as they are and lose their spaces only afterwards, so an address with a
     space has no status.
     """
     directory = status_directory(clean_employees(sources.employees, config), config)
 
-    sent = complete_messages(clean_messages(sources.messages, config)).join(
-        sources.references.select("mid", *_text_columns(config)), "mid", "left"
-    )
-    sent = with_status(sent, "sender", directory, "status_sender", config).select(
+    sent = complete_messages(clean_messages(sources.messages, config))
+    sent = with_status(sent, "sender", directory, "status_sender", config)
+    bodies = sources.references.select(F.struct("mid").alias("_body_of"), *_text_columns(config))
+    sent = sent.join(bodies, F.struct("mid") == F.col("_body_of"), "left").select(
         "mid",
         "date",
         F.year("date").alias("year"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
 from mailscope.functions import text
-from mailscope.plans.topics import any_topic, topic_mails, topic_sums
 from mailscope.sources.tables import Sources
 
 
@@ -41,10 +40,12 @@ def word_hits(sources: Sources, config: CorpusConfig) -> DataFrame:
 def text_frequency(pairs: DataFrame, by: Sequence[str], sources: Sources, config: CorpusConfig) -> DataFrame:
     """Distinct pairs whose body contains each word, times the weight of a body hit.
 
-    The published counts find start and end of a match and count both, hence a weight of 2.
+    The published counts find start and end of a match and count both, hence a weight of 2. The join
+    keeps the one row without a body, which counts nothing: an inner join would push a filter into
+    ``pairs`` and so keep its shuffle from being shared with the subjects.
     """
-    bodies = pairs.where(F.col("text_key").isNotNull()).groupBy(*by, "text_key").agg(F.count("*").alias("n"))
-    weighted = bodies.join(word_hits(sources, config), "text_key")
+    bodies = pairs.groupBy(*by, "text_key").agg(F.count("*").alias("n"))
+    weighted = bodies.join(word_hits(sources, config), "text_key", "left")
     counts = [
         F.when(F.col("hits")[i], F.col("n") * config.text_hit_weight).otherwise(0) for i in range(len(config.words))
     ]
@@ -57,46 +58,49 @@ def total_frequency(pairs: DataFrame, by: Sequence[str], sources: Sources, confi
     return both.groupBy(*by, "position", "word").agg(F.sum("freq").alias("freq"))
 
 
-def monthly_pairs(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:
-    """Distinct subject-body pairs per month."""
-    return topic_mails(exchange, side, config).select("year_month", "year", "subject", "text_key").distinct()
+def monthly_pairs(exchange: DataFrame) -> DataFrame:
+    """Distinct subject-body pairs per month; whose mails they are makes no difference."""
+    return exchange.select("year_month", "subject", "text_key").distinct()
 
 
-def keyword_subject(exchange: DataFrame, config: CorpusConfig, side: str = "sender") -> DataFrame:
-    return subject_frequency(monthly_pairs(exchange, side, config), [], config)
+def keyword_subject(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
+    return subject_frequency(monthly_pairs(exchange), [], config)
 
 
-def keyword_text(exchange: DataFrame, sources: Sources, config: CorpusConfig, side: str = "sender") -> DataFrame:
-    return text_frequency(monthly_pairs(exchange, side, config), [], sources, config)
+def keyword_text(exchange: DataFrame, sources: Sources, config: CorpusConfig) -> DataFrame:
+    return text_frequency(monthly_pairs(exchange), [], sources, config)
 
 
-def topical_pairs(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:
-    """Distinct subject-body pairs of months with any topic.
+def _topical(exchange: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
+    """Distinct subject-body pairs per group, of months in which the group has any topic.
 
-    The months are broadcast: the study period, a setting, bounds their number.
+    A group's sums are not all zero exactly if one of its pairs has a flag set. Groups and rows come
+    from one shuffled set of pairs, so the exchange table is read once. The groups are broadcast:
+    callers bound their number by months of the study period times the listed values of ``by``.
     """
-    mails = topic_mails(exchange, side, config)
-    months = topic_sums(mails, ["year_month"], config).where(any_topic(config)).select("year_month")
-    return mails.join(F.broadcast(months), "year_month", "left_semi").select("subject", "text_key").distinct()
+    months = ["year_month", *by]
+    topical = text.any_of([F.col(flag) for flag in config.topic_flags]).cast("int").alias("topical")
+    pairs = exchange.select(*months, "subject", "text_key", topical).distinct()
+    active = pairs.groupBy(*months).agg(F.sum("topical").alias("flagged")).where(F.col("flagged") > 0)
+    kept = pairs.alias("p").join(F.broadcast(active.drop("flagged")), months)
+    return kept.select(*by, "subject", "text_key").distinct()
 
 
-def keyword_total(exchange: DataFrame, side: str, sources: Sources, config: CorpusConfig) -> DataFrame:
-    return total_frequency(topical_pairs(exchange, side, config), [], sources, config)
+def topical_pairs(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
+    """Distinct subject-body pairs of months with any topic; the same for both sides."""
+    return _topical(exchange, [], config)
+
+
+def keyword_total(exchange: DataFrame, sources: Sources, config: CorpusConfig) -> DataFrame:
+    return total_frequency(topical_pairs(exchange, config), [], sources, config)
 
 
 def topical_status_pairs(
     exchange: DataFrame, side: str, config: CorpusConfig, statuses: Sequence[str] | None = None
 ) -> DataFrame:
-    """Distinct (status, subject, body) of months in which the status has any topic.
-
-    Only the listed statuses take part, so the broadcast groups are months times statuses at most.
-    """
+    """Distinct (status, subject, body) of months in which the status, one of those listed, has any topic."""
     status = f"status_{side}"
-    chosen = exchange.where(F.col(status).isin(list(statuses or config.statuses)))
-    mails = topic_mails(chosen, side, config)
-    by = ["year_month", status]
-    groups = topic_sums(mails, by, config).where(any_topic(config)).select(*by)
-    return mails.join(F.broadcast(groups), by, "left_semi").select(status, "subject", "text_key").distinct()
+    return _topical(exchange.where(F.col(status).isin(list(statuses or config.statuses))), [status], config)
 
 
 def keyword_status_total(
