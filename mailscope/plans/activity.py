@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailscope.operators.describe import describe, describe_weighted
+from mailscope.operators.sharing import read_whole
 from mailscope.operators.significance import anova, weighted_moments
 
 
@@ -20,13 +21,10 @@ def sent_ratio(exchange: DataFrame) -> DataFrame:
 
 
 def _received(exchange: DataFrame) -> DataFrame:
-    """Rows per day, both statuses and recipient, of recipients with a status.
-
-    Both uses below read all columns (the filter keeps ``n`` alive), so the shuffle is shared.
-    """
+    """Rows per day, both statuses and recipient, of recipients with a status."""
     known = exchange.where(F.col("status_recipient").isNotNull())
     grouped = known.groupBy("date", "status_sender", "status_recipient", "recipient")
-    return grouped.agg(F.count("*").alias("n")).where(F.col("n") > 0)
+    return read_whole(grouped.agg(F.count("*").alias("n")), ["n"])
 
 
 def received_ratio(exchange: DataFrame, by: str = "sender") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailscope.config import CorpusConfig
 from mailscope.operators.describe import box_statistics, describe, in_range
 from mailscope.operators.density import density
+from mailscope.operators.sharing import read_whole
 from mailscope.operators.significance import group_moments, welch_t
 
 Range = tuple[float, float] | None
@@ -26,8 +27,10 @@ def _sources(*entries: tuple[F.Column, F.Column]) -> F.Column:
 
 
 def _counts(exchange: DataFrame, side: str, config: CorpusConfig, *keys: str) -> DataFrame:
+    """All rows, and those of the status group, per day and address."""
     in_status = F.col(f"status_{side}") == config.focus_status
-    return exchange.groupBy("date", side, *keys).agg(F.count("*").alias("n"), F.count_if(in_status).alias("n_status"))
+    counts = exchange.groupBy("date", side, *keys).agg(F.count("*").alias("n"), F.count_if(in_status).alias("n_status"))
+    return read_whole(counts, ["n", "n_status"])
 
 
 def sent_counts(exchange: DataFrame, config: CorpusConfig) -> DataFrame:

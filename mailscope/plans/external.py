@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
 from mailscope.functions.text import any_of, contains
+from mailscope.operators.sharing import read_whole
 from mailscope.plans.topics import any_topic, long_topics, topic_sums
 
 CONVERSATION = ["date", "subject"]
@@ -83,7 +84,8 @@ def external_subjects(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
 
     Subjects and sums come from the same grouping by month and subject, so the mails are read once.
     """
-    subjects = topic_sums(_company_mails(exchange, config), ["year_month", "subject", "subject_company"], config)
+    by = ["year_month", "subject", "subject_company"]
+    subjects = read_whole(topic_sums(_company_mails(exchange, config), by, config), config.topic_sums)
     months = subjects.groupBy("year_month").agg(*[F.sum(c).alias(c) for c in config.topic_sums])
     topical = months.where(any_of([F.col(c) for c in config.subject_sums]))
     chosen = subjects.select("year_month", "subject", "subject_company").where(F.col("subject_company") == 1)
