@@ -123,6 +123,11 @@ def _analyses() -> dict[str, Analysis]:
         "address_status": lambda x, t, c: rank.address_status(x, c.focus_address),
         "profile_dimensions": lambda x, t, c: profile.dimensions(t),
         "profile_missing_values": lambda x, t, c: profile.missing_values(t.employees, t.employees.columns),
+        "profile_employee_numbers": lambda x, t, c: profile.numeric_profile(t.employees, ["eid"]),
+        "profile_message_numbers": lambda x, t, c: profile.numeric_profile(t.messages, ["mid"]),
+        "profile_recipient_numbers": lambda x, t, c: profile.numeric_profile(t.recipients, ["mid"]),
+        "profile_reference_numbers": lambda x, t, c: profile.numeric_profile(t.references, ["rfid", "mid"]),
+        "profile_message_dates": lambda x, t, c: profile.date_profile(t.messages, "date"),
         "profile_categories": lambda x, t, c: profile.category_profile(t.messages, ["sender", "subject"]),
         "profile_recipient_categories": lambda x, t, c: profile.category_profile(t.recipients, ["rtype", "rvalue"]),
         "profile_status_categories": lambda x, t, c: profile.category_profile(t.employees, ["status"], 3),

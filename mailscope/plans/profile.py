@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailscope.config import CorpusConfig
 from mailscope.operators.aliases import ALIAS_COLUMNS, alias_counts, same_address
 from mailscope.operators.cleaning import clean_employees, clean_messages, complete_messages
+from mailscope.operators.quantiles import exact_quantiles
 from mailscope.plans.exchange import build_exchange
 from mailscope.plans.people import person_column, person_mails
 from mailscope.sources.tables import Sources
@@ -46,6 +47,47 @@ def missing_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot(["n_rows"], list(columns), "column", "n_missing")
 
 
+def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Range, mean and exact quartiles of whole-number columns, identifiers included."""
+    parts = []
+    for column in columns:
+        quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75)).toDF("q1", "median", "q3")
+        simple = df.agg(
+            F.count(column).alias("n"),
+            F.count_if(F.col(column).isNull()).alias("n_missing"),
+            F.min(column).cast("double").alias("min"),
+            F.avg(column).alias("mean"),
+            F.max(column).cast("double").alias("max"),
+        )
+        parts += [part.withColumn("column", F.lit(column)) for part in (simple, quartiles)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    shown = ("n", "n_missing", "min", "q1", "median", "mean", "q3", "max")
+    return both.groupBy("column").agg(*[F.max(c).alias(c) for c in shown])
+
+
+def date_profile(df: DataFrame, column: str) -> DataFrame:
+    """Range, mean and quartiles of a date column, as days; a fraction of a day is cut off."""
+    days = F.unix_date(column)
+    quartiles = F.percentile(days, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+    numbers = df.agg(
+        F.count(column).alias("n"),
+        F.count_if(F.col(column).isNull()).alias("n_missing"),
+        F.min(column).alias("min"),
+        F.max(column).alias("max"),
+        F.avg(days).alias("mean"),
+        quartiles.alias("q"),
+    )
+
+    def as_date(day: F.Column) -> F.Column:
+        return F.date_from_unix_date(F.floor(day).cast("int"))
+
+    return numbers.select(
+        F.lit(column).alias("column"), "n", "n_missing", "min", as_date(F.col("q")[0]).alias("q1"),
+        as_date(F.col("q")[1]).alias("median"), as_date(F.col("mean")).alias("mean"), as_date(F.col("q")[2]).alias("q3"),
+        "max",
+    )
+
+
 def category_profile(df: DataFrame, columns: Sequence[str], k: int = 6) -> DataFrame:
     """The k most frequent levels of each column, the rest as one row, NULLs as another.
 

@@ -448,6 +448,29 @@ def _categories(table: str, columns: list[str], k: int) -> str:
     )
 
 
+def _numbers(table: str, columns: list[str]) -> str:
+    return _query(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_missing, min({c})::DOUBLE AS min,
+            {_r(f'quantile_cont({c}, 0.25)')} AS q1, {_r(f'quantile_cont({c}, 0.5)')} AS median, {_r(f'avg({c})')} AS mean,
+            {_r(f'quantile_cont({c}, 0.75)')} AS q3, max({c})::DOUBLE AS max FROM {table}"""
+            for c in columns
+        )
+    )
+
+
+def _dates() -> str:
+    def day(days: str) -> str:
+        return f"DATE '1970-01-01' + CAST(floor({days}) AS INT)"
+
+    return _query(
+        f"""SELECT 'date' AS "column", count(date) AS n, count(*) - count(date) AS n_missing, min(date) AS min,
+        {day('quantile_cont(d, 0.25)')} AS q1, {day('quantile_cont(d, 0.5)')} AS median, {day('avg(d)')} AS mean,
+        {day('quantile_cont(d, 0.75)')} AS q3, max(date) AS max
+        FROM (SELECT date, date - DATE '1970-01-01' AS d FROM messages)"""
+    )
+
+
 def _alias_rows(source: str, column: str, side: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{side}' AS side, '{a}' AS alias_column, count(*) AS n FROM {source} f JOIN employees e "
@@ -631,6 +654,11 @@ def _single_statements() -> dict[str, str]:
                 for c in ("eid", "first_name", "last_name", "email_id", "email2", "email3", "email4", "folder", "status")
             )
         ),
+        "profile_employee_numbers": _numbers("employees", ["eid"]),
+        "profile_message_numbers": _numbers("messages", ["mid"]),
+        "profile_recipient_numbers": _numbers("recipients", ["mid"]),
+        "profile_reference_numbers": _numbers("refs", ["rfid", "mid"]),
+        "profile_message_dates": _dates(),
         "profile_categories": _categories("messages", ["sender", "subject"], 6),
         "profile_recipient_categories": _categories("recipients", ["rtype", "rvalue"], 6),
         "profile_status_categories": _categories("employees", ["status"], 3),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailscope.functions.distributions import f_upper_tail, log_gamma, t_two_sided
 from mailscope.operators.density import density
 from mailscope.operators.describe import box_statistics, describe, describe_many, describe_weighted
+from mailscope.operators.quantiles import exact_quantiles
 from mailscope.operators.significance import anova, group_moments, pairwise_t, weighted_moments, welch_t
 from tests.conftest import rows
 
@@ -147,3 +148,18 @@ def test_density_covers_one(spark):
     assert {r["g"] for r in curve} == {"a"} and len(curve) == 200
     step = curve[1]["x"] - curve[0]["x"]
     assert sum(r["density"] for r in curve) * step == pytest.approx(1.0, abs=5e-3)
+
+
+@pytest.mark.parametrize(
+    "values", [[7], [1, 2, 3, 10], [-5, -5, -5, 0, 9, 10**15, 3 * 10**15, None], list(range(0, 700000, 7)), [3] * 50 + [4] * 3]
+)
+def test_exact_quantiles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    found = exact_quantiles(df, "x", shares).first()
+    expected = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in shares]))).first()[0]
+    assert list(found) == pytest.approx(expected)
+
+
+def test_exact_quantiles_of_nothing(spark):
+    assert exact_quantiles(spark.range(0).withColumnRenamed("id", "x"), "x", [0.5]).first()[0] is None
