@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +13,25 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\t\n\f\r\p{Z}]+"
 
 
+SPECIAL = re.compile(r"[.^$*+?()\[\]{}\\]")
+
+
+def literals(pattern: str) -> list[str] | None:
+    """The alternatives of a pattern made of plain words, None for any other pattern."""
+    words = list(dict.fromkeys(pattern.split("|")))
+    return words if all(words) and not SPECIAL.search(pattern) else None
+
+
 def contains(text: Column, pattern: str) -> Column:
-    """Whether the pattern occurs anywhere; NULL for NULL text."""
-    return F.rlike(text, F.lit(pattern))
+    """Whether the pattern occurs anywhere; NULL for NULL text.
+
+    Plain words are looked up one by one in the stored bytes, up to the first hit. A regular expression
+    would first decode the text and then try every alternative at every position.
+    """
+    words = literals(pattern)
+    if words is None:
+        return F.rlike(text, F.lit(pattern))
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
 
 
 def flag(text: Column, pattern: str) -> Column:
@@ -23,7 +41,11 @@ def flag(text: Column, pattern: str) -> Column:
 
 def occurrences(text: Column, pattern: str) -> Column:
     """Number of non-overlapping matches."""
-    return F.regexp_count(text, F.lit(pattern))
+    words = literals(pattern)
+    if words is None or len(words) > 1:
+        return F.regexp_count(text, F.lit(pattern))
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(words[0]), F.lit("")))
+    return (removed / len(words[0].encode())).cast("int")
 
 
 def first_position(text: Column, pattern: str) -> Column:

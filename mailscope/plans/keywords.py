@@ -32,7 +32,7 @@ def subject_frequency(pairs: DataFrame, by: Sequence[str], config: CorpusConfig)
 def word_hits(sources: Sources, config: CorpusConfig) -> DataFrame:
     """Which words each body contains: ``(text_key, hits)``. The bodies themselves never move."""
     body = F.col("reference")
-    hits = F.array(*[text.first_position(body, word).isNotNull() for word in config.words])
+    hits = F.array(*[text.contains(body, word) for word in config.words])
     found = sources.references.where(body.isNotNull())
     return found.select(text.text_key(body).alias("text_key"), hits.alias("hits")).distinct()
 
