@@ -10,39 +10,53 @@ from pyspark.sql import functions as F
 STATISTICS = ("mean", "median", "sd", "min", "q1", "q3", "max")
 
 
-def _rounded(columns: dict[str, Column], digits: int | None) -> list[Column]:
-    return [(c if digits is None else F.round(c, digits)).alias(name) for name, c in columns.items()]
-
-
-def statistic_columns(value: Column) -> dict[str, Column]:
-    """The seven statistics of a column. Quantiles interpolate linearly; ``sd`` of one value is NULL."""
-    return {
-        "mean": F.avg(value),
-        "median": F.median(value),
-        "sd": F.stddev_samp(value),
-        "min": F.min(value).cast("double"),
-        "q1": F.percentile(value, F.lit(0.25)),
-        "q3": F.percentile(value, F.lit(0.75)),
-        "max": F.max(value).cast("double"),
+def _quartiles(value: Column, weight: Column | None = None) -> Column:
+    """The three quartiles as one array, so that the values of a group are gathered once."""
+    shares = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
+    return F.percentile(value, shares) if weight is None else F.percentile(value, shares, weight)
+
+
+def _shown(prefix: str, named: str, digits: int | None) -> list[Column]:
+    """The seven statistics out of the aggregates that start with ``prefix``."""
+    q = F.col(f"{prefix}q")
+    columns = {
+        "mean": F.col(f"{prefix}mean"),
+        "median": q[1],
+        "sd": F.col(f"{prefix}sd"),
+        "min": F.col(f"{prefix}min").cast("double"),
+        "q1": q[0],
+        "q3": q[2],
+        "max": F.col(f"{prefix}max").cast("double"),
     }
+    return [(c if digits is None else F.round(c, digits)).alias(f"{named}{name}") for name, c in columns.items()]
+
+
+def _aggregates(value: str, prefix: str) -> list[Column]:
+    aggregates = {
+        "mean": F.avg(value), "sd": F.stddev_samp(value), "min": F.min(value), "max": F.max(value),
+        "q": _quartiles(F.col(value)),
+    }
+    return [c.alias(f"{prefix}{name}") for name, c in aggregates.items()]
 
 
 def describe(
-    df: DataFrame, by: Sequence[str], value: str, digits: int | None = None, extra: Sequence[Column] = ()
+    df: DataFrame, by: Sequence[str], value: str, digits: int | None = None, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Row count, ``extra`` aggregates and the seven statistics of ``value`` per group.
+    """Row count and the seven statistics of ``value`` per group; ``extra`` names flags to add up.
 
-    Meant for counts: an exact quantile keeps one entry per distinct value and group, and k distinct
-    counts need about k*k/2 counted rows, so the state stays near the square root of the input.
+    Quantiles interpolate linearly, and the deviation of a single value is NULL. Meant for counts: an
+    exact quantile keeps one entry per distinct value and group, and k distinct counts need about k*k/2
+    counted rows, so the state stays near the square root of the input.
     """
-    statistics = _rounded(statistic_columns(F.col(value)), digits)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *extra, *statistics)
+    sums = [F.count_if(F.col(flag)).alias(flag) for flag in extra]
+    grouped = df.groupBy(*by).agg(F.count("*").alias("n"), *sums, *_aggregates(value, "_"))
+    return grouped.select(*by, "n", *extra, *_shown("_", "", digits))
 
 
 def describe_many(df: DataFrame, by: Sequence[str], values: Sequence[str], digits: int | None = None) -> DataFrame:
     """The seven statistics of several columns, named ``{column}_{statistic}``."""
-    wanted = {f"{v}_{name}": c for v in values for name, c in statistic_columns(F.col(v)).items()}
-    return df.groupBy(*by).agg(*_rounded(wanted, digits))
+    grouped = df.groupBy(*by).agg(*[c for v in values for c in _aggregates(v, f"_{v}_")])
+    return grouped.select(*by, *[c for v in values for c in _shown(f"_{v}_", f"{v}_", digits)])
 
 
 def describe_weighted(
@@ -58,21 +72,21 @@ def describe_weighted(
     total = F.sum(w).over(group)
     means = [(F.sum(F.col(v) * w).over(group) / total).alias(f"_mean_{v}") for v in values]
     kept = df.where(w > 0).select("*", total.alias("_n"), *means)
-    wanted: dict[str, Column] = {}
+    aggregates = [F.first("_n").alias("n")]
     for v in values:
-        x, mean = F.col(v), F.first(f"_mean_{v}")
-        spread = F.sum(w * (x - F.col(f"_mean_{v}")) * (x - F.col(f"_mean_{v}")))
-        wanted[f"{v}_mean"] = mean
-        wanted[f"{v}_median"] = F.percentile(x, F.lit(0.5), w)
-        wanted[f"{v}_sd"] = F.sqrt(F.try_divide(spread, F.first("_n") - 1))
-        wanted[f"{v}_min"] = F.min(x).cast("double")
-        wanted[f"{v}_q1"] = F.percentile(x, F.lit(0.25), w)
-        wanted[f"{v}_q3"] = F.percentile(x, F.lit(0.75), w)
-        wanted[f"{v}_max"] = F.max(x).cast("double")
-    n = F.first("_n").alias("n")
-    if len(values) == 1:
-        wanted = {name.removeprefix(f"{values[0]}_"): c for name, c in wanted.items()}
-    return kept.groupBy(*by).agg(n, *_rounded(wanted, digits))
+        x, mean = F.col(v), F.col(f"_mean_{v}")
+        spread = F.sum(w * (x - mean) * (x - mean))
+        aggregates += [
+            F.first(mean).alias(f"_{v}_mean"),
+            F.sqrt(F.try_divide(spread, F.first("_n") - 1)).alias(f"_{v}_sd"),
+            F.min(x).alias(f"_{v}_min"),
+            F.max(x).alias(f"_{v}_max"),
+            _quartiles(x, w).alias(f"_{v}_q"),
+        ]
+    names = {v: "" if len(values) == 1 else f"{v}_" for v in values}
+    return kept.groupBy(*by).agg(*aggregates).select(
+        *by, "n", *[c for v in values for c in _shown(f"_{v}_", names[v], digits)]
+    )
 
 
 def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -85,7 +99,7 @@ def box_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     group = Window.partitionBy(*by)
     x, n = F.col("value"), F.col("n")
     hinges = value_histogram(df, by, value).withColumn(
-        "_q", F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]), n).over(group)
+        "_q", _quartiles(x, n).over(group)
     )
     q1, median, q3 = (F.col("_q")[i] for i in range(3))
     reach = 1.5 * (q3 - q1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailscope.config import CorpusConfig
 from mailscope.functions.text import any_of, contains
 from mailscope.operators.sharing import read_whole
-from mailscope.plans.topics import any_topic, long_topics, topic_sums
+from mailscope.plans.topics import distinct_mails, long_topics, topic_sums
 
 CONVERSATION = ["date", "subject"]
 
@@ -60,14 +60,8 @@ def external_count(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
 def _company_mails(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
     """Distinct external mails that name the company in subject or body."""
     named = (F.col("subject_company") == 1) | (F.col("email_company") == 1)
-    return (
-        external_exchanges(exchange, config)
-        .where(named)
-        .select(
-            "date", "year_month", "sender", "recipient", "subject", "subject_company", "text_key", *config.topic_flags
-        )
-        .distinct()
-    )
+    outside = external_exchanges(exchange, config).where(named)
+    return distinct_mails(outside, ["date", "year_month", "sender", "recipient", "subject_company"], config)
 
 
 def external_topics(exchange: DataFrame, config: CorpusConfig) -> DataFrame:

@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
 from mailscope.functions.text import any_of
+from mailscope.operators.cleaning import month_start
 from mailscope.operators.describe import describe, describe_weighted
 
 
-def topic_mails(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:
-    """Distinct mails of one side with their topic flags.
+def distinct_mails(rows: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
+    """Distinct combinations of ``by``, subject and body with their topic flags.
 
-    Bodies stay out: their key tells them apart, and the flags, set per message, come along.
+    Bodies stay out: their key tells them apart. The flags depend on subject and body alone, so they are
+    picked up by an aggregate rather than grouped by; where nobody reads them, no text is searched.
     """
-    return exchange.select(
-        "date", "year", "month", "year_month", side, f"status_{side}", "subject", "text_key", *config.topic_flags
-    ).distinct()
+    flags = [F.max(flag).alias(flag) for flag in config.topic_flags]
+    return rows.groupBy(*by, "subject", "text_key").agg(*flags)
+
+
+def topic_mails(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:
+    """Distinct mails of one side with their topic flags."""
+    status = f"status_{side}"
+    return distinct_mails(exchange, ["date", side, status], config).select(
+        "date",
+        F.year("date").alias("year"),
+        F.month("date").alias("month"),
+        month_start(F.col("date")).alias("year_month"),
+        side, status, "subject", "text_key", *config.topic_flags,
+    )
 
 
 def topic_sums(mails: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
@@ -102,8 +115,7 @@ def word_count_stats(exchange: DataFrame) -> DataFrame:
     """Words per distinct body-subject pair: statistics of both lengths, and bodies missing."""
     pairs = exchange.select("text_key", "subject", "email_words", "subject_words").distinct()
     long = pairs.unpivot([], ["email_words", "subject_words"], "text", "words")
-    missing = F.count_if(F.col("words").isNull()).alias("n_missing")
-    return describe(long, ["text"], "words", extra=[missing])
+    return describe(long.withColumn("n_missing", F.col("words").isNull()), ["text"], "words", extra=["n_missing"])
 
 
 def body_share(exchange: DataFrame) -> DataFrame:

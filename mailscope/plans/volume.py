@@ -19,20 +19,21 @@ Range = tuple[float, float] | None
 def kpis(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
     """The key figures, one row.
 
-    A distinct count over several columns would skip rows with a NULL in any of them, hence the
-    structs. The shares relate to direct exchanges, as published, so they can pass 100 %.
+    Five distinct counts side by side would copy every row five times. Rows are reduced to distinct
+    exchanges instead, with and without their statuses, and the counts read off the reduced rows. The
+    shares relate to direct exchanges, as published, so they can pass 100 %.
     """
-    mail = F.struct("sender", "recipient", "subject", "text_key")
-    known = F.struct("sender", "status_sender", "recipient", "status_recipient", "subject", "text_key")
-    reply = contains(F.col("subject"), config.reply_pattern)
-    counts = exchange.agg(
+    mail = ["sender", "recipient", "subject", "text_key"]
+    is_direct = F.coalesce(F.col("rtype") == config.direct_rtype, F.lit(False))
+    known = F.col("status_sender").isNotNull() | F.col("status_recipient").isNotNull()
+    with_statuses = exchange.groupBy(*mail, "status_sender", "status_recipient").agg(F.max(is_direct).alias("direct"))
+    mails = with_statuses.groupBy(*mail).agg(F.max("direct").alias("direct"), F.count_if(known).alias("known"))
+    counts = mails.agg(
         F.count_distinct("sender").alias("senders"),
         F.count_distinct("recipient").alias("recipients"),
-        F.count_distinct(F.when(F.col("rtype") == config.direct_rtype, mail)).alias("direct_exchanges"),
-        F.count_distinct(F.when(reply, mail)).alias("replies"),
-        F.count_distinct(
-            F.when(F.col("status_sender").isNotNull() | F.col("status_recipient").isNotNull(), known)
-        ).alias("known_status"),
+        F.count_if("direct").alias("direct_exchanges"),
+        F.count_if(contains(F.col("subject"), config.reply_pattern)).alias("replies"),
+        F.coalesce(F.sum("known"), F.lit(0)).alias("known_status"),
     )
     direct = F.col("direct_exchanges")
     return counts.select(
