@@ -49,6 +49,10 @@ def _per_side() -> dict[str, Callable[[str], Analysis]]:
         "daily_status_density": lambda s: lambda x, _, c: volume.daily_status_density(x, s, points=64),
         "per_person_ratio_stats": lambda s: lambda x, _, c: activity.per_person_ratio_stats(x, s),
         "per_person_ratio_anova": lambda s: lambda x, _, c: activity.per_person_ratio_anova(x, s),
+        "per_person_ratio_box": lambda s: lambda x, _, c: activity.per_person_ratio_box(x, s),
+        "per_person_ratio_density": lambda s: lambda x, _, c: activity.per_person_ratio_density(x, s, points=32),
+        "active_people_box": lambda s: lambda x, _, c: activity.active_people_box(x, s),
+        "active_people_density": lambda s: lambda x, _, c: activity.active_people_density(x, s, points=32),
         "active_people_by_status": lambda s: lambda x, _, c: activity.active_people_by_status(x, s),
         "yearly_status_stats": lambda s: lambda x, _, c: volume.yearly_status_stats(x, s),
         "monthly_status_volume": lambda s: lambda x, _, c: volume.monthly_status_volume(x, s),
@@ -120,6 +124,7 @@ def _analyses() -> dict[str, Analysis]:
         "top_senders": lambda x, t, c: rank.top_senders(x),
         "top_recipients_filter_first": lambda x, t, c: rank.top_recipients_filter_first(x, c),
         "top_recipients_dedupe_first": lambda x, t, c: rank.top_recipients_dedupe_first(x, c),
+        "first_exchanges": lambda x, t, c: exchange.with_text(rank.first_exchanges(x), t),
         "address_status": lambda x, t, c: rank.address_status(x, c.focus_address),
         "profile_dimensions": lambda x, t, c: profile.dimensions(t),
         "profile_missing_values": lambda x, t, c: profile.missing_values(t.employees, t.employees.columns),

@@ -11,7 +11,12 @@ from mailscope.operators.describe import in_range, value_histogram
 
 
 def density(
-    df: DataFrame, group: str, value: str, points: int = 512, value_range: tuple[float, float] | None = None
+    df: DataFrame,
+    group: str,
+    value: str,
+    points: int = 512,
+    value_range: tuple[float, float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(group, point, x, density)`` on an even grid reaching three bandwidths past the data.
 
@@ -20,7 +25,7 @@ def density(
     """
     x, n = F.col("value"), F.col("n")
     of_group = Window.partitionBy(group)
-    counted = value_histogram(in_range(df, value, value_range), [group], value)
+    counted = value_histogram(in_range(df, value, value_range), [group], value, weight)
     sized = (
         counted.withColumn("_total", F.sum(n).over(of_group))
         .withColumn("_mean", F.sum(x * n).over(of_group) / F.col("_total"))

@@ -89,16 +89,17 @@ def describe_weighted(
     )
 
 
-def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """``(by…, value, n)``: how often each value occurs in each group."""
-    return df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+def value_histogram(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """``(by…, value, n)``: how often each value occurs in each group, rows counting ``weight`` times."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(*by, F.col(value).alias("value")).agg(n.alias("n"))
 
 
-def box_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def box_statistics(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Quartiles and whiskers per group; a whisker is the last value within 1.5 interquartile ranges."""
     group = Window.partitionBy(*by)
     x, n = F.col("value"), F.col("n")
-    hinges = value_histogram(df, by, value).withColumn(
+    hinges = value_histogram(df, by, value, weight).withColumn(
         "_q", _quartiles(x, n).over(group)
     )
     q1, median, q3 = (F.col("_q")[i] for i in range(3))

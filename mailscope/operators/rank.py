@@ -35,6 +35,13 @@ def first_value(df: DataFrame, keys: Sequence[str], value: Column, order: str) -
     return df.groupBy(*keys).agg(F.min_by(value, F.col(order)).alias("first"))
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The first row of each key group with all its columns, again without a sorted window."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return first.select(*keys, "_first.*")
+
+
 def peek(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     """Rows ``start`` to ``stop``, counted from 1 in key order."""
     return df.orderBy(key).offset(start - 1).limit(stop - start + 1)

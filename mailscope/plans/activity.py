@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailscope.operators.describe import describe, describe_weighted
+from mailscope.operators.density import density
+from mailscope.operators.describe import box_statistics, describe, describe_weighted
 from mailscope.operators.sharing import read_whole
 from mailscope.operators.significance import anova, weighted_moments
 
@@ -56,12 +57,28 @@ def per_person_ratio_stats(exchange: DataFrame, side: str, by: str = "sender") -
     return describe(rows, ["status_recipient"], "ratio_nb_email")
 
 
+def _ratio_rows(exchange: DataFrame, side: str, by: str) -> tuple[DataFrame, str]:
+    """The ratio of every row, with equal rows of a status counted, and the column that counts them."""
+    if side == "sender":
+        return sent_ratio(exchange), "nb_send"
+    counted = received_ratio(exchange, by).groupBy("status_recipient", "ratio_nb_email").agg(F.sum("n").alias("n"))
+    return counted, "n"
+
+
 def per_person_ratio_anova(exchange: DataFrame, side: str, by: str = "sender") -> DataFrame:
     """Analysis of variance of the ratio between statuses, over all rows."""
-    if side == "sender":
-        return anova(weighted_moments(sent_ratio(exchange), "status_sender", "ratio_nb_email", "nb_send"))
-    rows = received_ratio(exchange, by).groupBy("status_recipient", "ratio_nb_email").agg(F.sum("n").alias("n"))
-    return anova(weighted_moments(rows, "status_recipient", "ratio_nb_email", "n"))
+    rows, weight = _ratio_rows(exchange, side, by)
+    return anova(weighted_moments(rows, f"status_{side}", "ratio_nb_email", weight))
+
+
+def per_person_ratio_box(exchange: DataFrame, side: str, by: str = "sender") -> DataFrame:
+    rows, weight = _ratio_rows(exchange, side, by)
+    return box_statistics(rows, [f"status_{side}"], "ratio_nb_email", weight)
+
+
+def per_person_ratio_density(exchange: DataFrame, side: str, points: int = 512, by: str = "sender") -> DataFrame:
+    rows, weight = _ratio_rows(exchange, side, by)
+    return density(rows, f"status_{side}", "ratio_nb_email", points, weight=weight)
 
 
 def extreme_days(exchange: DataFrame, status: str, k: int | None = 10, ratio: float | None = None) -> DataFrame:
@@ -109,7 +126,18 @@ def active_people_stats(exchange: DataFrame) -> DataFrame:
     return stats.agg(*wanted)
 
 
+def _people_by_status(exchange: DataFrame, side: str) -> DataFrame:
+    return active_people(exchange).where((F.col("side") == side) & F.col("status").isNotNull())
+
+
 def active_people_by_status(exchange: DataFrame, side: str) -> DataFrame:
     """Active persons of one side, described per known status over all rows."""
-    people = active_people(exchange).where((F.col("side") == side) & F.col("status").isNotNull())
-    return describe_weighted(people, ["status"], ["persons"], "n")
+    return describe_weighted(_people_by_status(exchange, side), ["status"], ["persons"], "n")
+
+
+def active_people_box(exchange: DataFrame, side: str) -> DataFrame:
+    return box_statistics(_people_by_status(exchange, side), ["status"], "persons", "n")
+
+
+def active_people_density(exchange: DataFrame, side: str, points: int = 512) -> DataFrame:
+    return density(_people_by_status(exchange, side), "status", "persons", points, weight="n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
-from mailscope.operators.rank import first_value, top, with_share
+from mailscope.operators.rank import first_rows, first_value, top, with_share
 
 EXCHANGE_KEY = ("sender", "subject", "recipient")
 
@@ -34,6 +34,12 @@ def top_recipients_dedupe_first(exchange: DataFrame, config: CorpusConfig, k: in
     return _top_with_share(direct, "recipient", k, digits)
 
 
+def first_exchanges(exchange: DataFrame) -> DataFrame:
+    """The first row of each sender, subject and recipient, with the key of its body."""
+    columns = ["rid", "date", "year", "month", "status_sender", "rtype", "status_recipient", "text_key"]
+    return first_rows(exchange.select(*EXCHANGE_KEY, *columns), EXCHANGE_KEY, "rid")
+
+
 def address_status(exchange: DataFrame, address: str) -> DataFrame:
     """The status of one sender address, one row."""
     return exchange.where(F.col("sender") == address).agg(F.max("status_sender").alias("status_sender"))

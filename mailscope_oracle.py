@@ -319,6 +319,7 @@ def _side_statements(side: str) -> dict[str, str]:
         ratio_all = "SELECT status_recipient AS g, ratio AS v FROM rows"
     active = f"""SELECT {status} AS status, count(DISTINCT {side}) OVER (PARTITION BY date, {status}) AS persons
       FROM exchange"""
+    active_values = "SELECT status AS g, persons AS v FROM active WHERE status IS NOT NULL"
     per_person = f"""SELECT year, {status}, {side}, count(*) AS nb_email FROM (SELECT DISTINCT year, sender, {status},
       subject, reference, recipient FROM exchange WHERE {known}) GROUP BY ALL"""
     return {
@@ -337,6 +338,10 @@ def _side_statements(side: str) -> dict[str, str]:
             **_ratio(side), stat_rows=ratio_rows,
         ),
         "per_person_ratio_anova": _anova(ratio_all, **_ratio(side)),
+        "per_person_ratio_box": _box(ratio_all, status, **_ratio(side)),
+        "per_person_ratio_density": _density(ratio_all, status, 32, **_ratio(side)),
+        "active_people_box": _box(active_values, "status", active=active),
+        "active_people_density": _density(active_values, "status", 32, active=active),
         "active_people_by_status": _query(
             f"SELECT status, count(*) AS n, {_statistics('persons')} FROM active WHERE status IS NOT NULL GROUP BY status",
             active=active,
@@ -636,6 +641,10 @@ def _single_statements() -> dict[str, str]:
             FROM exchange) WHERE rk = 1 AND rtype = 'TO'""",
             3,
         ),
+        "first_exchanges": _query(
+            f"""SELECT date, year, month, sender, status_sender, rtype, recipient, status_recipient, subject, reference
+            FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY rid) AS rk FROM exchange) WHERE rk = 1"""
+        ),
         "address_status": _query(
             f"SELECT max(status_sender) AS status_sender FROM exchange WHERE sender = '{C.focus_address}'"
         ),
