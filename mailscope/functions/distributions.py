@@ -1,13 +1,14 @@
 """Tail probabilities of the F and t distributions as Spark expressions.
 
 Spark has no incomplete beta function. It is evaluated here on the few rows a test produces, by its
-continued fraction, with Spark's own higher-order functions; no Python worker is involved.
+continued fraction, with Spark's own higher-order functions; no Python worker is involved. The
+expressions are put together as SQL text, arguments included, because handing over each arithmetic step
+as a column object takes longer than evaluating all of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,73 +22,66 @@ LANCZOS = (
 
 #: Pairs of terms of the continued fraction. Where it is used it settles within a few dozen.
 TERMS = 300
-TINY = 1e-300
 
+#: Added where a sum must not be exactly 0; anywhere else it is lost in rounding.
+TINY = "1e-300D"
 
-def log_gamma(z: Column) -> Column:
-    """Logarithm of the gamma function, for z >= 0.5."""
-    series = F.lit(LANCZOS[0])
-    for i, coefficient in enumerate(LANCZOS[1:]):
-        series = series + F.lit(coefficient) / (z + float(i))
-    t = z + (LANCZOS_G - 0.5)
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z - 0.5) * F.log(t) - t + F.log(series)
 
+def _log_gamma(z: str) -> str:
+    series = " + ".join([f"{LANCZOS[0]!r}D"] + [f"({c!r}D) / ({z} + {i}D)" for i, c in enumerate(LANCZOS[1:])])
+    t = f"({z} + {LANCZOS_G - 0.5}D)"
+    return f"({0.5 * math.log(2 * math.pi)!r}D + ({z} - 0.5D) * ln{t} - {t} + ln({series}))"
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
 
+def log_gamma(z: str) -> Column:
+    """Logarithm of the gamma function of a SQL expression, for values from 0.5."""
+    return F.expr(_log_gamma(f"({z})"))
 
-def _fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction, by the modified Lentz method."""
 
-    def state(c: Column, d: Column, value: Column) -> Column:
-        return F.struct(c.alias("c"), d.alias("d"), value.alias("value"))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def step(s: Column, term: Column) -> Column:
-        # Adding a tiny number only matters where the sum would be exactly 0.
-        return state(1.0 + term / s["c"] + TINY, 1.0 / (1.0 + term * s["d"] + TINY), s["value"] * s["c"] * s["d"])
 
-    def even(m: Column) -> Column:
-        return m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+def _fraction(v: str) -> str:
+    """The continued fraction for the arguments ``v.p, v.q, v.z``, by the modified Lentz method."""
+    p, q, z = f"{v}.p", f"{v}.q", f"{v}.z"
 
-    def odd(m: Column) -> Column:
-        return -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+    def step(s: str, term: str) -> str:
+        return (
+            f"named_struct('c', 1D + {term} / {s}.c + {TINY}, 'd', 1D / (1D + {term} * {s}.d + {TINY}), "
+            f"'value', {s}.value * {s}.c * {s}.d)"
+        )
 
-    first = 1.0 / (1.0 - (a + b) * x / (a + 1.0) + TINY)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(TERMS)),
-        state(F.lit(1.0), first, F.lit(1.0)),
-        lambda s, m: _let(step(s, even(m)), lambda half: step(half, odd(m))),
-        lambda s: s["value"] * s["c"] * s["d"],
-    )
+    even = f"(m * ({q} - m) * {z} / (({p} + 2D * m - 1D) * ({p} + 2D * m)))"
+    odd = f"(-({p} + m) * ({p} + {q} + m) * {z} / (({p} + 2D * m) * ({p} + 2D * m + 1D)))"
+    start = f"named_struct('c', 1D, 'd', 1D / (1D - ({p} + {q}) * {z} / ({p} + 1D) + {TINY}), 'value', 1D)"
+    pair = _let("half", step("s", even), step("half", odd))
+    return f"aggregate(sequence(1, {TERMS}), {start}, (s, m) -> {pair}, s -> s.value * s.c * s.d)"
 
 
-def regularised_beta(a: Column, b: Column, x: Column) -> Column:
+def _regularised_beta(a: str, b: str, x: str) -> str:
     """I_x(a, b) for a, b >= 0.5; NULL where an argument is."""
     # The fraction settles fast on one side of the mean; the other side is its complement.
-    swap = x > (a + 1.0) / (a + b + 2.0)
-    arguments = F.struct(
-        swap.alias("swap"),
-        F.when(swap, b).otherwise(a).alias("p"),
-        F.when(swap, a).otherwise(b).alias("q"),
-        F.when(swap, 1.0 - x).otherwise(x).alias("z"),
+    swapped = "u.x > (u.a + 1D) / (u.a + u.b + 2D)"
+    ordered = (
+        f"named_struct('swap', {swapped}, 'p', if({swapped}, u.b, u.a), 'q', if({swapped}, u.a, u.b), "
+        f"'z', if({swapped}, 1D - u.x, u.x))"
     )
-
-    def tail(v: Column) -> Column:
-        p, q, z = v["p"], v["q"], v["z"]
-        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(z) + q * F.log1p(-z)) / p
-        part = front * _fraction(p, q, z)
-        return F.when(v["swap"], 1.0 - part).otherwise(part)
-
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(x.isNotNull(), _let(arguments, tail))
+    logs = f"{_log_gamma('(v.p + v.q)')} - {_log_gamma('v.p')} - {_log_gamma('v.q')}"
+    part = f"exp({logs} + v.p * ln(v.z) + v.q * log1p(-v.z)) / v.p * {_fraction('v')}"
+    tail = _let("v", ordered, _let("part", part, "if(v.swap, 1D - part, part)"))
+    cases = f"CASE WHEN u.x <= 0D THEN 0D WHEN u.x >= 1D THEN 1D WHEN u.x IS NOT NULL THEN {tail} END"
+    arguments = f"named_struct('a', double({a}), 'b', double({b}), 'x', double({x}))"
+    return _let("u", arguments, cases)
 
 
-def f_upper_tail(f: Column, df_between: Column, df_within: Column) -> Column:
-    """P(F >= f)."""
-    return regularised_beta(df_within / 2, df_between / 2, df_within / (df_within + df_between * f))
+def f_upper_tail(f: str, df_between: str, df_within: str) -> Column:
+    """P(F >= f), for SQL expressions such as column names."""
+    x = f"({df_within}) / (({df_within}) + ({df_between}) * ({f}))"
+    return F.expr(_regularised_beta(f"({df_within}) / 2", f"({df_between}) / 2", x))
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|)."""
-    return regularised_beta(df / 2, F.lit(0.5), df / (df + t * t))
+def t_two_sided(t: str, df: str) -> Column:
+    """P(|T| >= |t|), for SQL expressions such as column names."""
+    return F.expr(_regularised_beta(f"({df}) / 2", "0.5", f"({df}) / (({df}) + ({t}) * ({t}))"))

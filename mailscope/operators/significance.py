@@ -59,7 +59,7 @@ def anova(moments: DataFrame) -> DataFrame:
         F.try_divide(F.col("between"), F.col("df_between")), F.try_divide(F.col("within"), F.col("df_within"))
     )
     return spread.select(f.alias("f"), "df_between", "df_within").withColumn(
-        "p", f_upper_tail(F.col("f"), F.col("df_between"), F.col("df_within"))
+        "p", f_upper_tail("f", "df_between", "df_within")
     )
 
 
@@ -87,7 +87,7 @@ def pairwise_t(moments: DataFrame) -> DataFrame:
     t = (a["mean"] - b["mean"]) / (F.col("deviation") * F.sqrt(1 / a["n"] + 1 / b["n"]))
     return (
         each.select(a["group"].alias("group_a"), b["group"].alias("group_b"), t.alias("t"), "df", "tests")
-        .withColumn("p", t_two_sided(F.col("t"), F.col("df")))
+        .withColumn("p", t_two_sided("t", "df"))
         .withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * F.col("tests")))
         .drop("tests")
     )
@@ -108,4 +108,4 @@ def welch_t(moments: DataFrame, reference: str) -> DataFrame:
         b["group"].alias("group_b"),
         ((a["mean"] - b["mean"]) / F.sqrt(ea + eb)).alias("t"),
         (squared / (ea * ea / (a["n"] - 1) + eb * eb / (b["n"] - 1))).alias("df"),
-    ).withColumn("p", t_two_sided(F.col("t"), F.col("df")))
+    ).withColumn("p", t_two_sided("t", "df"))
