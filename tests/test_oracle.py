@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+import mailscope_oracle
+from mailscope import catalog
 from tests.comparison import connect, oracle_result, spark_result
 from tests.conftest import SF_DIR
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = mailscope_oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,7 @@ def engine():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
