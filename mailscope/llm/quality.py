@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailscope.llm.scan import bound
 from mailscope.llm.scratch import materialise
 from mailscope.llm.words import SPACE, WORD
 
@@ -23,9 +24,6 @@ SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once per row, however often `body` uses it."""
-    return F.transform(F.array(value), body)[0]
 
 
 def _repeat_words(words: Column) -> Column:
