@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailscope.llm import langid, mixing, packing, quality, secret_scan, simhash, simple8b
+from mailscope.llm import cover_tree, langid, mixing, packing, quality, secret_scan, simhash, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_top_k": op3_top_k,
     "op4_langid": op4_langid,
     "op6_simhash": op6_simhash,
     "op7_simple8b": op7_simple8b,
