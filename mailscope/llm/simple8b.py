@@ -31,26 +31,25 @@ MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIIQQ")  # magic, documents, runs, ids, words
 RUN = 1024
 #: Ids after which a block is closed; a longer document is a block of its own.
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 
 
-def _choices(values: np.ndarray) -> np.ndarray:
-    """The selector with most fields that can start at each value; what follows a run's end counts as zeros."""
-    padded = np.zeros((values.shape[0], RUN + int(COUNTS.max())), np.uint64)
-    padded[:, :RUN] = values
-    best = np.full(values.shape, ESCAPE, np.uint8)
-    fits = np.ones(values.size, bool).nonzero()[0]  # narrower fields fit only where wider ones do
+def _choices(padded: np.ndarray) -> np.ndarray:
+    """The selector with most fields that can start at each value of each run; what follows a run's end is zeros."""
+    best = np.full((len(padded), RUN), ESCAPE, np.uint8)
+    fits = np.arange(best.size)  # narrower fields fit only where wider ones do
+    largest = int(padded.max(initial=0))
     for selector in (*range(14, 0, -1), ZEROS):
-        small = (padded >> np.uint64(WIDTHS[selector])) == 0
-        run = int(COUNTS[selector])
-        if len(fits) * run < small.size:
-            row, at = np.divmod(fits, RUN)
-            ok = small[row[:, None], at[:, None] + np.arange(run)].all(1)
-        else:
-            sums = np.zeros((len(padded), padded.shape[1] + 1), np.int32)
-            np.cumsum(small, axis=1, out=sums[:, 1:])
-            ok = (sums[:, run : run + RUN] - sums[:, :RUN] == run).reshape(-1)[fits]
-        fits = fits[ok]
+        width, run = WIDTHS[selector], int(COUNTS[selector])
+        if largest >> width:
+            if len(fits) * run < padded.size // 2:
+                row, at = np.divmod(fits, RUN)
+                ok = (padded[row[:, None], at[:, None] + np.arange(run)] >> np.uint64(width) == 0).all(1)
+            else:
+                large = np.zeros((len(padded), padded.shape[1] + 1), np.int32)
+                np.cumsum(padded >> np.uint64(width) != 0, axis=1, out=large[:, 1:])
+                ok = (large[:, run : run + RUN] == large[:, :RUN]).reshape(-1)[fits]
+            fits = fits[ok]
         if not len(fits):
             break
         best.reshape(-1)[fits] = selector
@@ -61,10 +60,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of unsigned values and the table of each run's first word."""
     n = len(values)
     runs = -(-n // RUN)
-    grid = np.zeros((runs, RUN), np.uint64)
-    grid.reshape(-1)[:n] = values
+    padded = np.zeros((runs, RUN + int(COUNTS.max())), np.uint64)
+    padded[:, :RUN] = np.pad(values.astype(np.uint64), (0, runs * RUN - n)).reshape(runs, RUN)
     lengths = np.minimum(RUN, n - RUN * np.arange(runs))
-    best = _choices(grid)
+    best = _choices(padded)
     at, found = np.zeros(runs, np.int64), []
     live = np.arange(runs)
     while len(live):  # all runs step from word to word together
@@ -79,12 +78,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run, start, selector = run[order], start[order], selector[order]
     places = np.cumsum(1 + (selector == ESCAPE)) - 1 - (selector == ESCAPE)
     words = np.zeros(len(selector) + int((selector == ESCAPE).sum()), np.uint64)
-    padded = np.zeros((runs, RUN + int(COUNTS.max())), np.uint64)
-    padded[:, :RUN] = grid
     for s in np.unique(selector):
         here = selector == s
         if s == ESCAPE:
-            words[places[here] + 1] = grid[run[here], start[here]]
+            words[places[here] + 1] = padded[run[here], start[here]]
             continue
         fields = np.arange(COUNTS[s])
         taken = padded[run[here][:, None], start[here][:, None] + fields]
@@ -161,7 +158,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, shard = encoder(tokenizer).ids, TaskContext.get().partitionId()
+        encode_all, shard = encoder(tokenizer).batch, TaskContext.get().partitionId()
         doc_ids: list[int | None] = []
         found: list[np.ndarray] = []
         first = size = number = 0
@@ -173,9 +170,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "word_bpe_49k
             return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                doc_ids.append(doc_id.as_py())
-                found.append(ids_of(text.as_py(), end))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist(), end)):
+                doc_ids.append(doc_id)
+                found.append(ids)
                 size += len(found[-1])
                 if size >= BLOCK:
                     yield row()

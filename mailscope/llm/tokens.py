@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space before a run of anything else, or at the end. Both tokenizers' patterns start a new token there.
 CUT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -21,8 +25,10 @@ SPACED = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 MARKS = ".,;:!?"
-#: Cuts remembered by a worker, and the longest that is worth it.
-REMEMBERED, LONGEST = 600_000, 40
+#: Cuts remembered by a worker.
+REMEMBERED = 600_000
+#: Characters of texts that are cut and looked up together.
+TOGETHER = 1 << 23
 #: The name of a tokenizer's file with the package that holds the files.
 DEFAULT_PACKAGE = "public_tokenizers"
 
@@ -44,7 +50,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Ids (as bytes) of what stands between two spaces, or, after a NUL, of the same without a space before it."""
+    """Places of the ids of what stands between two spaces, or, after a NUL, of the same without a space before it.
+
+    A place leads to a stretch of one long array of ids. What is met beyond `REMEMBERED` is forgotten again."""
 
     def __init__(self, name: str):
         super().__init__()
@@ -55,46 +63,55 @@ class _Known(dict):
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
         self.spells = _byte_letters()
+        self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
         self.newline = self.encode("\n")
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, word: str, bare: bool) -> bytes:
+    def _letters(self, word: str, bare: bool) -> list[int]:
         """A word of letters is one piece to the merges of the vocabulary."""
         if self.lowers:
             word, bare = word.lower(), True
         if not word.isascii():
             word = "".join(map(self.spells.__getitem__, word.encode()))
-        pieces = self.model.tokenize(word if bare else self.spells[0x20] + word)
-        return array("I", [p.id for p in pieces]).tobytes()
+        return [p.id for p in self.model.tokenize(word if bare else self.spells[0x20] + word)]
+
+    def stretch(self, cut: str) -> list[int]:
+        place = self[cut]
+        return self.flat[self.starts[place] : self.starts[place] + self.lengths[place]].tolist()
 
-    def _composed(self, cut: str) -> bytes:
+    def _composed(self, cut: str) -> list[int]:
         bare = cut[:1] == "\0"
         word = cut[1:] if bare else cut
-        if "\n" in word:
-            first, *lines = word.split("\n")
-            if first and all(lines):
-                return self["\0" + first if bare else first] + b"".join([self.newline + self["\0" + x] for x in lines])
+        if word[:1] == "\n" and len(word) > 1:
+            return self.newline + self.stretch("\0" + word[1:])
         stem = word.rstrip(MARKS)
         if LETTERS.fullmatch(stem):
             if len(stem) == len(word):
                 return self._letters(word, bare)
-            return self["\0" + stem if bare else stem] + self["\0" + word[len(stem):]]
+            return self.stretch("\0" + stem if bare else stem) + self.stretch("\0" + word[len(stem):])
         return self.encode(word if bare else " " + word)
 
-    def __missing__(self, cut: str) -> bytes:
+    def add(self, ids: list[int]) -> int:
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.starts) - 1
+
+    def __missing__(self, cut: str) -> int:
         simple = cut.isalpha() and (cut.isascii() or LETTERS.fullmatch(cut))
-        ids = self._letters(cut, False) if simple else self._composed(cut)
-        if len(self) < (REMEMBERED if simple else REMEMBERED // 4) and len(cut) <= LONGEST:
-            self[cut] = ids
-        return ids
+        place = self[cut] = self.add(self._letters(cut, False) if simple else self._composed(cut))
+        return place
 
-    def spaced(self, cut: str) -> bytes:
-        """A cut with its white space."""
-        if cut[0] not in " \t\n\r":
-            return self["\0" + cut]
-        return self[cut[1:]] if cut[0] == " " and cut[1:2].strip() else self.encode(cut)
+    def forget(self) -> None:
+        """Back to the first `REMEMBERED` places, between batches."""
+        if len(self.starts) > REMEMBERED:
+            for cut in list(islice(reversed(self), len(self) - REMEMBERED)):
+                if self[cut] >= REMEMBERED:
+                    del self[cut]
+            del self.flat[self.starts[REMEMBERED] :]
+            del self.starts[REMEMBERED:], self.lengths[REMEMBERED:]
 
 
 class Encoder:
@@ -103,19 +120,67 @@ class Encoder:
     def __init__(self, name: str):
         self._known = _Known(name)
 
-    def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
-        """Ids of a text as unsigned 32-bit numbers, with `end` after them; a null text is empty."""
+    def _alone(self, text: str) -> list[int]:
+        """Ids of a text in which cuts at single spaces are not enough."""
+        if not text.replace("\n", " ").isprintable() and UNUSUAL.search(text):
+            return self._known.encode(text)
+        return list(chain.from_iterable(map(self._spaced, CUT.findall(text))))
+
+    def _spaced(self, cut: str) -> list[int]:
+        if cut[0] not in " \t\n\r":
+            return self._known.stretch("\0" + cut)
+        return self._known.stretch(cut[1:]) if cut[0] == " " and cut[1:2].strip() else self._known.encode(cut)
+
+    def _together(self, texts: list[str], end: list[int]) -> list[np.ndarray]:
+        """Ids of texts with single spaces and line feeds only, `end` after each: each different cut is looked up once."""
         known = self._known
-        if not text:
-            found = b""
-        elif not text.replace("\n", " ").isprintable() and UNUSUAL.search(text):
-            found = known.encode(text)
-        elif text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, SPACED)):
-            found = b"".join(map(known.spaced, CUT.findall(text)))
-        else:
-            first, *cuts = text.split(" ")
-            found = known["\0" + first] + b"".join(map(known.__getitem__, cuts))
-        return np.frombuffer(found if end is None else found + end.to_bytes(4, "little"), "<u4")
+        known.forget()
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts), "\n", " " if known.lowers else " \n"), " ")
+        cuts = split.flatten().dictionary_encode()
+        words = cuts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, bounds = cuts.indices.to_numpy(), split.offsets.to_numpy()
+        firsts = [known["\0" + words[which[at]]] for at in bounds[:-1]]
+        places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[which]
+        places[bounds[:-1]] = firsts
+        places = np.insert(places, bounds[1:], known.add(end))
+        lengths = np.frombuffer(known.lengths, np.int64)[places]
+        ends = np.cumsum(lengths)
+        shift = np.frombuffer(known.starts, np.int64)[places] - (ends - lengths)
+        ids = np.frombuffer(known.flat, np.uint32)[np.repeat(shift, lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[bounds[1:-1] + np.arange(len(texts) - 1)])
+
+    def batch(self, texts: list[str | None], end: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text as unsigned 32-bit numbers, with `end` after them; a null text is empty."""
+        tail = [] if end is None else [end]
+        plain: list[str] = []
+        odd: dict[int, np.ndarray] = {}
+
+        def done() -> Iterator[np.ndarray]:
+            found = iter(self._together(plain, tail) if plain else ())
+            for i in range(len(plain) + len(odd)):
+                yield odd[i] if i in odd else next(found)
+            plain.clear()
+            odd.clear()
+
+        size = 0
+        for text in texts:
+            if not text:
+                odd[len(plain) + len(odd)] = np.array(tail, np.uint32)
+            elif (
+                text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, SPACED))
+                or not text.replace("\n", " ").isprintable() and UNUSUAL.search(text)
+            ):
+                odd[len(plain) + len(odd)] = np.array(self._alone(text) + tail, np.uint32)
+            else:
+                plain.append(text)
+            size += len(text or "")
+            if size > TOGETHER:
+                yield from done()
+                size = 0
+        yield from done()
+
+    def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
+        return next(self.batch([text], end))
 
 
 @lru_cache(maxsize=4)
