@@ -75,18 +75,17 @@ class Pool:
     def __init__(self) -> None:
         self._slot: dict[tuple[int, int], int] = {}
         self._stacks: list[list[Piece]] = []
-        self._demand = np.zeros((256, 2))
-        self._count = np.zeros(256, np.int64)
+        self._tokens, self._loss, self._count = (np.zeros(256, np.int64) for _ in range(3))
         self.size = 0
 
     def add(self, piece: Piece) -> None:
         slot = self._slot.setdefault(piece.demand, len(self._stacks))
         if slot == len(self._stacks):
             self._stacks.append([])
-            if slot == len(self._demand):
-                self._demand = np.concatenate([self._demand, np.zeros_like(self._demand)])
-                self._count = np.concatenate([self._count, np.zeros_like(self._count)])
-            self._demand[slot] = piece.demand
+            if slot == len(self._count):
+                grown = (np.concatenate([a, np.zeros_like(a)]) for a in (self._tokens, self._loss, self._count))
+                self._tokens, self._loss, self._count = grown
+            self._tokens[slot], self._loss[slot] = piece.demand
         self._stacks[slot].append(piece)
         self._count[slot] += 1
         self.size += 1
@@ -96,16 +95,18 @@ class Pool:
 
         Every piece takes one segment, so segments bear on whether a piece fits, not on which."""
         used = len(self._stacks)
-        demand, count = self._demand[:used], self._count[:used]
-        weights = np.array([left[0] / limits.tokens**2, left[1] / limits.loss**2])
-        worth = np.where((count > 0) & (demand <= left).all(1), demand @ weights, -1.0)
-        return self._pop(int(worth.argmax())) if used and worth.max() >= 0 else None
+        tokens, loss = self._tokens[:used], self._loss[:used]
+        fits = np.flatnonzero((self._count[:used] > 0) & (tokens <= left[0]) & (loss <= left[1]))
+        if not len(fits):
+            return None
+        worth = tokens[fits] * (left[0] / limits.tokens**2) + loss[fits] * (left[1] / limits.loss**2)
+        return self._pop(int(fits[worth.argmax()]))
 
     def longest(self) -> Piece | None:
         used = len(self._stacks)
         if not self.size:
             return None
-        return self._pop(int(np.where(self._count[:used] > 0, self._demand[:used, 0], -1).argmax()))
+        return self._pop(int(np.where(self._count[:used] > 0, self._tokens[:used], -1).argmax()))
 
     def _pop(self, slot: int) -> Piece:
         self._count[slot] -= 1
@@ -194,13 +195,12 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).batch
 
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1)):
-                    ids = encode(text.as_py(), end)
-                    yield Piece(doc_id.as_py(), 0, len(ids), ids, None)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end)):
+                    yield Piece(doc_id, 0, len(ids), ids, None)
 
         return _rows(pieces(), limits, with_ids)
 
