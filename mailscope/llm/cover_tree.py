@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from mailscope.llm.scratch import materialise
 
 #: Rows of data and queries in a block at most (about, as rows are dealt by a hash).
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 2048, 1024
 #: Rows from which pivots are chosen, and pivots at most.
 SAMPLE, PIVOTS = 256, 64
 #: Points of a node that is not covered further; points scored at a time.
-LEAF, CHUNK = 24, 512
+LEAF, CHUNK = 24, 1024
 #: For rounding in bounds.
-SLACK = 1e-9
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,9 @@ def cover_tree(points: np.ndarray) -> tuple[list[Level], np.ndarray]:
     """Levels from the root down and the node of the last level that each point is in.
 
     A node with few points, or with equal ones only, stays as it is on all further levels."""
-    far = np.sqrt(((points - points[0]) ** 2).sum(1))
+    size = (points * points).sum(1)
+    between = np.sqrt((size[:, None] + size[None] - 2 * (points @ points.T)).clip(0))
+    far = between[0]
     levels = [Level(np.array([0]), np.array([0]), np.array([far.max()]))]
     node = np.zeros(len(points), np.int64)
     scale = far.max() / 2
@@ -66,7 +68,7 @@ def cover_tree(points: np.ndarray) -> tuple[list[Level], np.ndarray]:
                 continue
             rest, centre = own, levels[-1].centres[number]
             while len(rest):
-                apart = np.sqrt(((points[rest] - points[centre]) ** 2).sum(1))
+                apart = between[centre, rest]
                 near = apart <= scale
                 below[rest[near]] = len(centres)
                 centres.append(centre)
@@ -126,16 +128,21 @@ def search(
         bound = _bounds(queries[q.centres], q.radii, points[r.centres], r.radii)
         alive = alive & (bound >= worst(q_up[at_q], len(q.centres))[:, None])
 
-    by_node = np.split(np.argsort(r_node, kind="stable"), np.cumsum(np.bincount(r_node, minlength=len(r.centres)))[:-1])
+    sizes, by_node = np.bincount(r_node, minlength=len(r.centres)), np.argsort(r_node, kind="stable")
+    starts = np.cumsum(sizes) - sizes
     for number in range(len(q.centres)):
         own = np.flatnonzero(q_node == number)
         todo = np.flatnonzero(alive[number])
         todo = todo[np.argsort(-bound[number, todo])]
         while len(todo):
             todo = todo[bound[number, todo] >= kth[own].min()]
-            taken = np.searchsorted(np.cumsum([len(by_node[t]) for t in todo]), CHUNK) + 1
-            places = np.concatenate([by_node[t] for t in todo[:taken]]) if len(todo) else np.zeros(0, np.int64)
+            ends = np.cumsum(sizes[todo])
+            taken = int(np.searchsorted(ends, CHUNK)) + 1
+            now, ends = todo[:taken], ends[:taken]
             todo = todo[taken:]
+            if not len(now):
+                break
+            places = by_node[np.repeat(starts[now] - ends + sizes[now], sizes[now]) + np.arange(ends[-1])]
             for i, row in zip(own, _scores(queries[own], points[places])):
                 good = np.flatnonzero((row >= kth[i]) & (r_ids[places] != q_ids[i]))
                 if not len(good):
