@@ -166,10 +166,11 @@ def mixed_documents(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFram
         F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
         F.round(F.col("_taken") / F.col("_rows") / F.col("size")).cast("int").alias("_copies"),
     )
-    sized = documents.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(amounts, (
+    rows = documents.select(
+        F.struct(*documents.columns).alias("it"), "doc_id", "source", word_count(F.col("text")).alias("_words")
+    )
+    joined = rows.join(amounts, (
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
         & (F.col("_words") == F.col("_size"))
     ))
-    copies = F.explode(F.array_repeat(F.lit(True), F.col("_copies")))
-    return joined.withColumn("_copy", copies).select(*documents.columns)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies")))).select("it.*")

@@ -206,4 +206,5 @@ def verdicts(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def keep_quality(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that are kept, all columns as they were."""
-    return _judged(documents, documents.columns, rules).filter(F.col("_q.kept")).select(*documents.columns)
+    rows = documents.select("text", F.struct(*documents.columns).alias("it"))
+    return _judged(rows, ["it"], rules).filter(F.col("_q.kept")).select("it.*")

@@ -169,26 +169,28 @@ def redacted(documents: DataFrame, kinds: Sequence[Kind] = KINDS, reach: int = 2
     """The documents, all columns, with every reported span replaced by `mark` and `n_chars`, if there, recounted.
 
     Spans that overlap or touch become one mark. Documents without spans stay as they are."""
-    found = _scanned(documents, documents.columns, kinds, reach)
+    rows = documents.select("doc_id", "text", F.struct(*documents.columns).alias("it"))
+    found = _scanned(rows, ["it"], kinds, reach)
+    given = F.col("it.text")
     strong = [F.col("_s.strong")[k.name] for k in kinds if not k.weak]
     spans = F.sort_array(F.flatten(F.array(*strong, F.col("_linked"))))
 
     def rewritten(s: Column) -> Column:
-        reached = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        reached = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
 
         def join(ends: Column) -> Column:
             before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
             pieces = F.transform(s, lambda x, i: F.when(
                 (i == 0) | (x["start"] > before(i)),
-                F.concat(F.substring(F.col("text"), before(i) + 1, x["start"] - before(i)), F.lit(mark)),
+                F.concat(F.substring(given, before(i) + 1, x["start"] - before(i)), F.lit(mark)),
             ).otherwise(""))
-            return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text")))
+            return F.concat(F.array_join(pieces, ""), F.substring(given, F.element_at(ends, -1) + 1, F.length(given)))
 
         return bound(reached, join)
 
-    text = F.when(F.size(spans) > 0, bound(spans, rewritten)).otherwise(F.col("text"))
-    renewed = found.withColumn("text", text)
+    changed = F.size(spans) > 0
+    renewed = found.withColumn("text", F.when(changed, bound(spans, rewritten)).otherwise(given))
+    new = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        changed = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        renewed = renewed.withColumn("n_chars", changed)
-    return renewed.select(*documents.columns)
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("it.n_chars"))
+    return renewed.select(*[new.get(c, F.col("it")[c]).alias(c) for c in documents.columns])

@@ -9,7 +9,9 @@ rest of the chain prunes candidates before the full Hamming check.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +86,9 @@ def parts_for(distinct: int) -> int:
     return 2 if distinct <= 1 << 24 else 4 if distinct <= 1 << 28 else 8
 
 
-def _keys(nodes: DataFrame, parts: int) -> DataFrame:
-    """`fp` under each of its `4 * parts` keys: `key`, `segment`, and `free`, the bits that the key leaves open."""
+def _keys(nodes: DataFrame, parts: int, *more: str) -> DataFrame:
+    """`fp` and `more` under each of its `4 * parts` keys: `key`, `segment`, and `free`, the bits that the key leaves
+    open. Equal keys also agree in `more`."""
     found, step = [], WIDTH // parts
     for segment in range(SEGMENTS):
         for part in range(parts):
@@ -93,9 +96,9 @@ def _keys(nodes: DataFrame, parts: int) -> DataFrame:
             free = open_bits | ((1 << (BITS - 2 * WIDTH)) - 1)
             fixed = _rotated(F.col("fp"), segment).bitwiseAND(F.lit(_signed(~free)))
             back = _turned_back(free, segment)
-            key = F.xxhash64(fixed, F.lit(segment), F.lit(part))
+            key = F.xxhash64(fixed, F.lit(segment), F.lit(part), *more)
             found.append(F.struct(key.alias("key"), F.lit(segment).alias("segment"), F.lit(_signed(back)).alias("free")))
-    return nodes.select("fp", F.inline(F.array(*found)))
+    return nodes.select("fp", *[c for c in nodes.columns if c != "fp"], F.inline(F.array(*found)))
 
 
 def _signed(bits: int) -> int:
@@ -192,6 +195,13 @@ def _search(group):
     return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
 
+def _labelled(prints: DataFrame) -> DataFrame:
+    """`fp` and `component`, for every distinct fingerprint."""
+    nodes = materialise(prints.select("fp").distinct(), "simhash-nodes")
+    joined = components(links(nodes)).withColumnRenamed("node", "fp")
+    return nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """One row per document: `doc_id`, `fingerprint` (16 hexadecimal digits) and `component_id`, the smallest
     `doc_id` reachable through fingerprints that differ in at most three bits, the document's own included.
@@ -201,10 +211,132 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     name to its component; a component of such only has a null id. Other columns are ignored. No rows in, no rows out.
     """
     prints = materialise(fingerprints(documents, shingle), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")), "simhash-nodes")
-    joined = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = nodes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("_least").alias("component_id"))
-    named = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
+    labelled = _labelled(prints)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("_least")).join(labelled, "fp")
+    named = labelled.join(least.groupBy("component").agg(F.min("_least").alias("component_id")), "component")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", digits, "component_id")
+    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", digits, "component_id")
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Texts are alike if their sets of word shingles have at least this Jaccard similarity.
+
+    It is read off a wide fingerprint of the set, `words` times 64 bits: sets with similarity s are vectors at an angle
+    of acos(2 s / (1 + s)), and as many of the bits differ, of all, as that angle is of pi. The bound on differences
+    is what `jaccard` gives and two standard errors. Candidates come from `tables` fingerprints of the set of words, of
+    which one at least is within three bits: for pairs at the bound, each is with about one half."""
+
+    shingle: int = 5
+    jaccard: float = 0.8
+    words: int = 16
+    tables: int = 8
+
+    @property
+    def bits(self) -> int:
+        share = math.acos(2 * self.jaccard / (1 + self.jaccard)) / math.pi
+        return int(BITS * self.words * share + 2 * math.sqrt(BITS * self.words * share * (1 - share)))
+
+
+def _many_prints(hashes: np.ndarray, count: int) -> list[int]:
+    """`count` independent fingerprints of a set of 64-bit hashes, which are mixed anew for each."""
+    found = []
+    for n in range(count):
+        mixed = hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.packbits(2 * _bit_counts(mixed ^ (mixed >> np.uint64(31))) > len(hashes))
+        found.append(int(bits.view(">u8")[0].astype(np.int64)))
+    return found
+
+
+def set_prints(text: str | None, similarity: Similarity) -> tuple[list[int], list[int]]:
+    """Fingerprints of the set of shingles and of the set of words; zeros without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * similarity.words, [0] * similarity.tables
+    width, digest = min(similarity.shingle, len(words)), xxhash.xxh64_intdigest
+    shingles = {digest(b" ".join(words[i : i + width]), 42) for i in range(len(words) - width + 1)}
+    single = {digest(w, 42) for w in set(words)}
+    wanted = ((shingles, similarity.words), (single, similarity.tables))
+    return tuple(_many_prints(np.fromiter(s, np.uint64, len(s)), count) for s, count in wanted)
+
+
+def _alike(nodes: DataFrame, similarity: Similarity) -> DataFrame:
+    """`a`, `b`: links between `node`s by their `wide` fingerprints, candidates by `narrow` ones, enough to connect.
+
+    As in `links`, keys with few nodes give pairs and larger groups a spanning forest. A group beyond the bound is
+    dealt to blocks, and each two blocks are searched together: no link is lost, and no task gets more than the bound.
+    """
+    tables = nodes.select("node", F.posexplode("narrow").alias("table", "fp"))
+    keyed = _with_size(materialise(_keys(tables, parts_for(nodes.count()), "table").drop("free"), "simhash-keys"))
+    small = keyed.filter(F.col("size") <= SMALL).select("key", "node", "fp", "segment")
+    other = small.select("key", F.col("node").alias("b"), F.col("fp").alias("other"))
+    pairs = small.join(other, "key").filter(F.col("node") < F.col("b"))
+    pairs = pairs.filter(_chain_holds(F.col("fp"), F.col("other"), F.col("segment"))).select(F.col("node").alias("a"), "b").distinct()
+    wide = [nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
+    apart = F.aggregate(
+        F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
+    )
+    near = pairs.join(wide[0], "a").join(wide[1], "b").filter(apart <= similarity.bits).select("a", "b")
+
+    blocks = F.ceil(F.col("size") / (GROUP // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = keyed.filter(F.col("size") > SMALL).select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    group = dealt.select("node", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("group"))
+    limit = similarity.bits
+
+    def search(rows):
+        import pandas as pd
+
+        ids, prints = rows["node"].to_numpy(np.int64), np.stack(rows["wide"].to_numpy()).astype(np.int64)
+        left, right = _wide_tree(ids, prints, limit)
+        return pd.DataFrame({"a": left, "b": right})
+
+    searched = group.join(nodes.select("node", "wide"), "node").groupBy("group").applyInPandas(search, "a long, b long")
+    return near.union(searched)
+
+
+def _wide_tree(ids: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `_tree`, of rows of several words, by `ids`."""
+    left, right, rest = [], [], np.arange(len(ids))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = np.bitwise_count(prints[rest] ^ prints[at]).sum(1, dtype=np.int32) <= limit
+            if near.any():
+                found = rest[near]
+                left.append(np.full(len(found), ids[at]))
+                right.append(ids[found])
+                queue.extend(found)
+                rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
+def keep_one(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """The documents, all columns, one of each group of alike texts: that with the smallest `doc_id`, one without only
+    if there is no other; of rows that agree in it, any one.
+
+    Texts without words are alike. Rows are numbered once, in a written table. No rows in, no rows out.
+    """
+    rows = documents.select(F.struct(*documents.columns).alias("it"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "simhash-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            both = [set_prints(t.as_py(), similarity) for t in batch.column(0)]
+            columns = [*batch.columns[1:], pa.array([w for w, _ in both], kind), pa.array([n for _, n in both], kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "wide", "narrow"])
+
+    chosen = rows.select("it.text", F.col("it.doc_id").cast("long").alias("doc_id"), "row")
+    prints = materialise(chosen.mapInArrow(run, "doc_id long, row long, wide array<long>, narrow array<long>"), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "narrow")).alias("first")
+    nodes = prints.groupBy("wide").agg(first).select("wide", "first", F.col("first.row").alias("node"), "first.narrow")
+    nodes = materialise(nodes, "simhash-nodes")
+    joined = components(_alike(nodes.select("node", "wide", "narrow"), similarity))
+    labelled = nodes.select("node", "first").join(joined, "node", "left").groupBy(F.coalesce("component", "node"))
+    kept = labelled.agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("it.*")
