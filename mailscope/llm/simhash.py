@@ -317,26 +317,28 @@ def _wide_tree(ids: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndar
 
 def keep_one(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
     """The documents, all columns, one of each group of alike texts: that with the smallest `doc_id`, one without only
-    if there is no other; of rows that agree in it, any one.
+    if there is no other; of rows that agree in it, the first by a digest of the whole row.
 
-    Texts without words are alike. Rows are numbered once, in a written table. No rows in, no rows out.
+    Texts without words are alike. Equal rows are one. The digest also finds the rows again, so that only they and no
+    copy of the corpus is written. No rows in, no rows out.
     """
-    rows = documents.select(F.struct(*documents.columns).alias("it"), F.monotonically_increasing_id().alias("row"))
-    rows = materialise(rows, "simhash-rows")
+    rows = documents.select(F.struct(*documents.columns).alias("it"))
+    rows = rows.withColumn("digest", F.md5(F.to_json("it")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for batch in batches:
             both = [set_prints(t.as_py(), similarity) for t in batch.column(0)]
             columns = [*batch.columns[1:], pa.array([w for w, _ in both], kind), pa.array([n for _, n in both], kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "wide", "narrow"])
-
-    chosen = rows.select("it.text", F.col("it.doc_id").cast("long").alias("doc_id"), "row")
-    prints = materialise(chosen.mapInArrow(run, "doc_id long, row long, wide array<long>, narrow array<long>"), "simhash-prints")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "narrow")).alias("first")
-    nodes = prints.groupBy("wide").agg(first).select("wide", "first", F.col("first.row").alias("node"), "first.narrow")
-    nodes = materialise(nodes, "simhash-nodes")
-    joined = components(_alike(nodes.select("node", "wide", "narrow"), similarity))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "wide", "narrow"])
+
+    chosen = rows.select("it.text", F.col("it.doc_id").cast("long").alias("doc_id"), "digest")
+    schema = "doc_id long, digest string, wide array<long>, narrow array<long>"
+    prints = materialise(chosen.mapInArrow(run, schema), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "narrow")).alias("first")
+    numbered = prints.groupBy("wide").agg(first).select("wide", "first", F.monotonically_increasing_id().alias("node"))
+    nodes = materialise(numbered, "simhash-nodes")
+    joined = components(_alike(nodes.select("node", "wide", "first.narrow"), similarity))
     labelled = nodes.select("node", "first").join(joined, "node", "left").groupBy(F.coalesce("component", "node"))
-    kept = labelled.agg(F.min("first").alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select("it.*")
+    kept = labelled.agg(F.min("first").alias("first")).select("first.digest")
+    return rows.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("it.*")
