@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from mailscope.llm.scratch import materialise
 
+#: Results per query, and which rows are queries: those whose id is divisible by this.
+TOP, QUERY_EVERY = 5, 50
 #: Rows of data and queries in a block at most (about, as rows are dealt by a hash).
 BLOCK, QUERIES = 2048, 1024
 #: Rows from which pivots are chosen, and pivots at most.
@@ -218,7 +220,7 @@ def _searched(data: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return sides.cogroup(probes.groupBy("block", "q_block")).applyInArrow(run, "key long, query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, vector: str = "embedding") -> DataFrame:
     """For each row whose `vec_id` is divisible by `every`, its `k` best others: `query_id`, `rank` (from 1), `vec_id`,
     `score`, the inner product of floor(256 x). Ties go to the smaller `vec_id`; fewer rows give fewer results.
 

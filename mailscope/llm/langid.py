@@ -83,7 +83,7 @@ def codewords(languages: int) -> np.ndarray:
     two of which differ in half their bits. A single language has one bit."""
     if languages <= 5:
         ways = range(1, 1 << max(languages - 1, 1)) if languages > 1 else [0]
-        return np.array([[-1 if way >> i & 1 else 1 for way in ways] for i in range(languages)], float).reshape(languages, -1)
+        return np.array([[-1 if way >> i & 1 else 1 for way in ways] for i in range(languages)], float).reshape(languages, len(ways))
     matrix = np.ones((1, 1))
     while len(matrix) < max(16, languages + 1):
         matrix = np.block([[matrix, matrix], [matrix, -matrix]])
@@ -109,7 +109,7 @@ def model_of(languages: list[str], counts: np.ndarray) -> Model:
     """`counts`: language by n-gram, the three lengths one after another. Languages weigh the same however many texts
     they have."""
     shares = counts.reshape(len(languages), 3, TABLE) + SMOOTHING
-    shares = (shares / shares.sum(2, keepdims=True)).reshape(len(languages), -1)
+    shares = (shares / shares.sum(2, keepdims=True)).reshape(len(languages), 3 * TABLE)
     words = codewords(len(languages))
     weights, trust = [], []
     for bit in words.T:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mailscope.llm import (
-    cover_tree, langid, mixing, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
+    cover_tree, langid, mixing, oracle, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
 )
 
 
@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.STATEMENTS

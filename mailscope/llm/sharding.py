@@ -17,6 +17,8 @@ from mailscope.llm.scratch import materialise
 
 #: Bits that a digest gives at a time, so that they stay a positive LONG, and bits looked at further in one round.
 BITS, STEP = 60, 10
+#: Bytes of a shard: what a training loader fetches at a time.
+SHARD_BYTES = 1 << 20
 
 
 def hash_bits(text: Column) -> Column:
@@ -80,7 +82,7 @@ def shards(rows: DataFrame, keys: Sequence[str], size: Column, limit: int) -> Da
             low, high = 0 if stage > 1 else 1, STEP
 
 
-def document_shards(documents: DataFrame, limit: int = 1 << 20) -> DataFrame:
+def document_shards(documents: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """`doc_id`, `n_bytes` (of the text) and the shard of every document, by the hash of `doc_id`."""
     return shards(documents.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).na.fill(0, ["n_bytes"]), ["doc_id"], F.col("n_bytes"), limit)
 

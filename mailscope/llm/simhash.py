@@ -143,9 +143,9 @@ def _split(groups: DataFrame) -> DataFrame:
     return groups.join(parts, "free").select("fp", "segment", key.alias("key"), rest.alias("free"))
 
 
-def _tree(prints: np.ndarray) -> tuple[list[int], list[int]]:
+def _tree(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of all pairs within the radius, by breadth-first search over the bits."""
-    left, right, rest = [], [], prints
+    left, right, rest = [], [], prints.view(np.uint64)  # the bits of a signed number would be counted in its absolute value
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
@@ -153,11 +153,12 @@ def _tree(prints: np.ndarray) -> tuple[list[int], list[int]]:
             near = np.bitwise_count(rest ^ at) <= RADIUS
             if near.any():
                 found = rest[near]
-                left += [int(at)] * len(found)
-                right += found.tolist()
+                left.append(np.full(len(found), at))
+                right.append(found)
                 queue.extend(found)
                 rest = rest[~near]
-    return left, right
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(left or [none]).view(np.int64), np.concatenate(right or [none]).view(np.int64)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def _search(group):
     import pandas as pd
 
     left, right = _tree(np.unique(group["fp"].to_numpy(np.int64)))
-    return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+    return pd.DataFrame({"a": left, "b": right})
 
 
 def _labelled(prints: DataFrame) -> DataFrame:
@@ -289,7 +290,7 @@ def _alike(nodes: DataFrame, similarity: Similarity) -> DataFrame:
     def search(rows):
         import pandas as pd
 
-        ids, prints = rows["node"].to_numpy(np.int64), np.stack(rows["wide"].to_numpy()).astype(np.int64)
+        ids, prints = rows["node"].to_numpy(np.int64), np.stack(rows["wide"].to_numpy()).astype(np.int64).view(np.uint64)
         left, right = _wide_tree(ids, prints, limit)
         return pd.DataFrame({"a": left, "b": right})
 

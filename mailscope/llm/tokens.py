@@ -11,7 +11,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +107,8 @@ class _Known(dict):
     def forget(self) -> None:
         """Back to the first `REMEMBERED` places, between batches."""
         if len(self.starts) > REMEMBERED:
-            for cut in list(islice(reversed(self), len(self) - REMEMBERED)):
-                if self[cut] >= REMEMBERED:
-                    del self[cut]
+            for cut in list(takewhile(lambda c: self[c] >= REMEMBERED, reversed(self))):  # later cuts, later places
+                del self[cut]
             del self.flat[self.starts[REMEMBERED] :]
             del self.starts[REMEMBERED:], self.lengths[REMEMBERED:]
 
