@@ -46,13 +46,13 @@ def _per_side() -> dict[str, Callable[[str], Analysis]]:
         "daily_status_anova": lambda s: lambda x, _, c: volume.daily_status_anova(x, s),
         "daily_status_anova_clipped": lambda s: lambda x, _, c: volume.daily_status_anova(x, s, (0, 6)),
         "daily_status_pairwise": lambda s: lambda x, _, c: volume.daily_status_pairwise(x, s),
-        "daily_status_density": lambda s: lambda x, _, c: volume.daily_status_density(x, s, points=64),
+        "daily_status_density": lambda s: lambda x, _, c: volume.daily_status_density(x, s),
         "per_person_ratio_stats": lambda s: lambda x, _, c: activity.per_person_ratio_stats(x, s),
         "per_person_ratio_anova": lambda s: lambda x, _, c: activity.per_person_ratio_anova(x, s),
         "per_person_ratio_box": lambda s: lambda x, _, c: activity.per_person_ratio_box(x, s),
-        "per_person_ratio_density": lambda s: lambda x, _, c: activity.per_person_ratio_density(x, s, points=32),
+        "per_person_ratio_density": lambda s: lambda x, _, c: activity.per_person_ratio_density(x, s),
         "active_people_box": lambda s: lambda x, _, c: activity.active_people_box(x, s),
-        "active_people_density": lambda s: lambda x, _, c: activity.active_people_density(x, s, points=32),
+        "active_people_density": lambda s: lambda x, _, c: activity.active_people_density(x, s),
         "active_people_by_status": lambda s: lambda x, _, c: activity.active_people_by_status(x, s),
         "yearly_status_stats": lambda s: lambda x, _, c: volume.yearly_status_stats(x, s),
         "monthly_status_volume": lambda s: lambda x, _, c: volume.monthly_status_volume(x, s),
@@ -68,12 +68,12 @@ def _per_side() -> dict[str, Callable[[str], Analysis]]:
             keywords.keyword_total(x, t, c), [], len(c.words), c
         ),
         "keyword_status_total": lambda s: lambda x, t, c: keywords.keyword_status_total(x, s, t, c),
-        "keyword_top_status": lambda s: lambda x, t, c: keywords.keyword_top_status(x, s, t, c, k=4),
+        "keyword_top_status": lambda s: lambda x, t, c: keywords.keyword_top_status(x, s, t, c),
         "compare_stats": lambda s: lambda x, _, c: compare.compare_stats(x, s, c),
         "compare_box": lambda s: lambda x, _, c: compare.compare_box(x, s, c),
         "compare_welch": lambda s: lambda x, _, c: compare.compare_welch(x, s, c),
         "compare_welch_clipped": lambda s: lambda x, _, c: compare.compare_welch(x, s, c, (-10, 5)),
-        "compare_density": lambda s: lambda x, _, c: compare.compare_density(x, s, c, points=64),
+        "compare_density": lambda s: lambda x, _, c: compare.compare_density(x, s, c),
         "person_mails": lambda s: lambda x, t, c: exchange.with_text(people.person_mails(x, s, c), t),
         "person_year_stats": lambda s: lambda x, _, c: people.person_year_stats(x, s, c),
         "person_monthly": lambda s: lambda x, _, c: people.person_monthly(x, s, c),
@@ -93,12 +93,12 @@ def _analyses() -> dict[str, Analysis]:
         "conversation_flags": lambda x, t, c: external.with_internal_counts(x, c).select(
             "date", "sender", "recipient", "subject", "sum_sender", "sum_recipient"
         ),
-        "external_exchanges": lambda x, t, c: external.external_exchanges(x, c).select(
-            "date", "year", "month", "sender", "recipient", "subject", "reference"
-        ),
-        "internal_exchanges": lambda x, t, c: external.internal_exchanges(x, c).select(
-            "date", "sender", "recipient", "subject", "reference"
-        ),
+        "external_exchanges": lambda x, t, c: exchange.with_text(external.external_exchanges(x, c).select(
+            "date", "year", "month", "sender", "recipient", "subject", "text_key"
+        ), t),
+        "internal_exchanges": lambda x, t, c: exchange.with_text(external.internal_exchanges(x, c).select(
+            "date", "sender", "recipient", "subject", "text_key"
+        ), t),
         "external_topics": lambda x, t, c: external.external_topics(x, c),
         "external_topics_long": lambda x, t, c: external.external_topics_long(x, c),
         "external_subject_overlap": lambda x, t, c: exchange.with_text(external.external_subject_overlap(x, c), t),

@@ -20,8 +20,15 @@ LANCZOS = (
     12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
 )
 
-#: Pairs of terms of the continued fraction. Where it is used it settles within a few dozen.
-TERMS = 300
+#: From here on the gamma function is taken from Stirling's series, whose main parts cancel on paper.
+LARGE = 10
+
+#: An argument so large that a tail has its limiting form, and how far out that is used.
+HUGE, NEAR = 100000, 40
+
+#: How near to 1 the last factor of the continued fraction must be; a result that has not settled is NULL, unless
+#: the whole tail is smaller than the last digit of a probability.
+SETTLED, NOTHING = 1e-11, 1e-16
 
 #: Added where a sum must not be exactly 0; anywhere else it is lost in rounding.
 TINY = "1e-300D"
@@ -43,8 +50,44 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _fraction(v: str) -> str:
-    """The continued fraction for the arguments ``v.p, v.q, v.z``, by the modified Lentz method."""
+def _stirling(z: str) -> str:
+    """What Stirling's formula leaves out of log gamma, for values from :data:`LARGE`."""
+    return f"((1D / 12 - (1D / 360 - (1D / 1260 - 1D / 1680 / ({z} * {z})) / ({z} * {z})) / ({z} * {z})) / {z})"
+
+
+def _log_front(v: str) -> str:
+    """log of z^p w^q / B(p, q) for the arguments ``v.p, v.q, v.z`` and ``v.w`` = 1 - z.
+
+    Three large log gammas would cancel, so their main parts are put together beforehand: with two large
+    arguments as distances of z and w from the mean, with one as a logarithm near 1.
+    """
+    p, q, z, w = (f"{v}.{name}" for name in "pqzw")
+    both = (
+        f"{p} * log1p(({z} * {q} - {w} * {p}) / {p}) + {q} * log1p(({w} * {p} - {z} * {q}) / {q}) "
+        f"+ 0.5D * ln({p} / ({p} + {q}) * {q} / {2 * math.pi!r}D) "
+        f"+ {_stirling(f'({p} + {q})')} - {_stirling(p)} - {_stirling(q)}"
+    )
+
+    def one(big: str, small: str, at_big: str, log_big: str, log_small: str) -> str:
+        total = f"({big} + {small})"
+        return (
+            f"({big} - 0.5D) * log1p({small} / {big}) + {small} * (ln{total} + {log_small}) - {small} "
+            f"+ {_stirling(total)} - {_stirling(big)} - {_log_gamma(small)} + {big} * {log_big}"
+        )
+
+    log_z, log_w = f"if({z} > 0.5D, log1p(-{w}), ln({z}))", f"if({w} > 0.5D, log1p(-{z}), ln({w}))"
+    none = f"{_log_gamma(f'({p} + {q})')} - {_log_gamma(p)} - {_log_gamma(q)} + {p} * {log_z} + {q} * {log_w}"
+    return (
+        f"CASE WHEN {p} >= {LARGE} AND {q} >= {LARGE} THEN {both} WHEN {p} >= {LARGE} THEN {one(p, q, z, log_z, log_w)} "
+        f"WHEN {q} >= {LARGE} THEN {one(q, p, w, log_w, log_z)} ELSE {none} END"
+    )
+
+
+def _fraction(v: str, front: str) -> str:
+    """The continued fraction for the arguments ``v.p, v.q, v.z``, by the modified Lentz method.
+
+    It settles within a number of terms that grows with the square root of the smaller argument.
+    """
     p, q, z = f"{v}.p", f"{v}.q", f"{v}.z"
 
     def step(s: str, term: str) -> str:
@@ -57,31 +100,44 @@ def _fraction(v: str) -> str:
     odd = f"(-({p} + m) * ({p} + {q} + m) * {z} / (({p} + 2D * m) * ({p} + 2D * m + 1D)))"
     start = f"named_struct('c', 1D, 'd', 1D / (1D - ({p} + {q}) * {z} / ({p} + 1D) + {TINY}), 'value', 1D)"
     pair = _let("half", step("s", even), step("half", odd))
-    return f"aggregate(sequence(1, {TERMS}), {start}, (s, m) -> {pair}, s -> s.value * s.c * s.d)"
-
-
-def _regularised_beta(a: str, b: str, x: str) -> str:
-    """I_x(a, b) for a, b >= 0.5; NULL where an argument is."""
-    # The fraction settles fast on one side of the mean; the other side is its complement.
-    swapped = "u.x > (u.a + 1D) / (u.a + u.b + 2D)"
+    terms = f"cast(100 + 6 * sqrt(least({p}, {q})) AS INT)"
+    settled = f"abs(s.c * s.d - 1D) < {SETTLED!r}D OR {front} < {NOTHING!r}D"
+    result = f"s -> if({settled}, s.value * s.c * s.d, NULL)"
+    return f"aggregate(sequence(1, {terms}), {start}, (s, m) -> {pair}, {result})"
+
+
+def _regularised_beta(a: str, b: str, x: str, y: str) -> str:
+    """I_x(a, b) for a, b >= 0.5 and y = 1 - x; NULL where an argument is."""
+    # The fraction settles fast on one side of the mean; the other side is its complement. With one huge argument
+    # the far side loses digits, and the near one, though above its mean, still settles.
+    swapped = (
+        f"CASE WHEN u.a >= {HUGE} AND u.b < {LARGE} AND u.y * u.a < {NEAR} THEN true "
+        f"WHEN u.b >= {HUGE} AND u.a < {LARGE} AND u.x * u.b < {NEAR} THEN false "
+        "ELSE u.x > (u.a + 1D) / (u.a + u.b + 2D) END"
+    )
     ordered = (
         f"named_struct('swap', {swapped}, 'p', if({swapped}, u.b, u.a), 'q', if({swapped}, u.a, u.b), "
-        f"'z', if({swapped}, 1D - u.x, u.x))"
+        f"'z', if({swapped}, u.y, u.x), 'w', if({swapped}, u.x, u.y))"
     )
-    logs = f"{_log_gamma('(v.p + v.q)')} - {_log_gamma('v.p')} - {_log_gamma('v.q')}"
-    part = f"exp({logs} + v.p * ln(v.z) + v.q * log1p(-v.z)) / v.p * {_fraction('v')}"
+    part = _let("front", f"exp({_log_front('v')}) / v.p", f"front * {_fraction('v', 'front')}")
     tail = _let("v", ordered, _let("part", part, "if(v.swap, 1D - part, part)"))
-    cases = f"CASE WHEN u.x <= 0D THEN 0D WHEN u.x >= 1D THEN 1D WHEN u.x IS NOT NULL THEN {tail} END"
-    arguments = f"named_struct('a', double({a}), 'b', double({b}), 'x', double({x}))"
+    cases = f"CASE WHEN u.x <= 0D THEN 0D WHEN u.y <= 0D THEN 1D WHEN u.x IS NOT NULL THEN {tail} END"
+    arguments = f"named_struct('a', double({a}), 'b', double({b}), 'x', double({x}), 'y', double({y}))"
     return _let("u", arguments, cases)
 
 
 def f_upper_tail(f: str, df_between: str, df_within: str) -> Column:
     """P(F >= f), for SQL expressions such as column names."""
-    x = f"({df_within}) / (({df_within}) + ({df_between}) * ({f}))"
-    return F.expr(_regularised_beta(f"({df_within}) / 2", f"({df_between}) / 2", x))
+    within, between = f"double({df_within})", f"double({df_between}) * ({f})"
+    both = f"({within} + {between})"
+    return F.expr(_regularised_beta(
+        f"{within} / 2", f"double({df_between}) / 2", f"try_divide({within}, {both})", f"try_divide({between}, {both})"
+    ))
 
 
 def t_two_sided(t: str, df: str) -> Column:
     """P(|T| >= |t|), for SQL expressions such as column names."""
-    return F.expr(_regularised_beta(f"({df}) / 2", "0.5", f"({df}) / (({df}) + ({t}) * ({t}))"))
+    both = f"(({df}) + ({t}) * ({t}))"
+    return F.expr(_regularised_beta(
+        f"({df}) / 2", "0.5", f"try_divide(double({df}), {both})", f"try_divide(double({t}) * ({t}), {both})"
+    ))

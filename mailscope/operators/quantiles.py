@@ -61,6 +61,9 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], levels:
     do not allow. Here equal values are counted once, and each level narrows the range of every target
     by a factor of :data:`CELLS`, so no task ever holds more than the cells of a level.
     """
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; quantiles are exact for whole numbers only")
     known = df.where(F.col(column).isNotNull())
     values = known.groupBy(F.col(column).cast("long").alias("x")).agg(F.count("*").alias("n"))
     targets = _targets(df, column, shares)

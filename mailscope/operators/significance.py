@@ -1,5 +1,7 @@
 """Significance tests from per-group counts, means and variances.
 
+What a test cannot say - no rows, one group, groups without spread - is NULL, never an error.
+
 Spark reduces the data to one row per group; a test then needs nothing else. The groups are the
 levels of a category, so the array they are gathered in holds a handful of entries.
 """
@@ -47,7 +49,7 @@ def anova(moments: DataFrame) -> DataFrame:
         _total(g, lambda x: x["n"]).alias("total"),
         (F.size(g) - 1).cast("double").alias("df_between"),
         _total(g, lambda x: (x["n"] - 1) * x["variance"]).alias("within"),
-        (_total(g, lambda x: x["n"] * x["mean"]) / _total(g, lambda x: x["n"])).alias("grand"),
+        F.try_divide(_total(g, lambda x: x["n"] * x["mean"]), _total(g, lambda x: x["n"])).alias("grand"),
     )
     spread = sized.select(
         "df_between",
@@ -84,7 +86,7 @@ def pairwise_t(moments: DataFrame) -> DataFrame:
         "df", "tests", "deviation", F.explode(pairs).alias("pair")
     )
     a, b = F.col("pair.a"), F.col("pair.b")
-    t = (a["mean"] - b["mean"]) / (F.col("deviation") * F.sqrt(1 / a["n"] + 1 / b["n"]))
+    t = F.try_divide(a["mean"] - b["mean"], F.col("deviation") * F.sqrt(1 / a["n"] + 1 / b["n"]))
     return (
         each.select(a["group"].alias("group_a"), b["group"].alias("group_b"), t.alias("t"), "df", "tests")
         .withColumn("p", t_two_sided("t", "df"))
@@ -106,6 +108,6 @@ def welch_t(moments: DataFrame, reference: str) -> DataFrame:
     return each.select(
         a["group"].alias("group_a"),
         b["group"].alias("group_b"),
-        ((a["mean"] - b["mean"]) / F.sqrt(ea + eb)).alias("t"),
-        (squared / (ea * ea / (a["n"] - 1) + eb * eb / (b["n"] - 1))).alias("df"),
+        F.try_divide(a["mean"] - b["mean"], F.sqrt(ea + eb)).alias("t"),
+        F.try_divide(squared, ea * ea / (a["n"] - 1) + eb * eb / (b["n"] - 1)).alias("df"),
     ).withColumn("p", t_two_sided("t", "df"))

@@ -77,15 +77,31 @@ def _text_columns(config: CorpusConfig) -> list[F.Column]:
     ]
 
 
-def texts(sources: Sources) -> DataFrame:
-    """``(text_key, reference)``: every distinct body once, to put bodies back on reduced rows."""
+#: Over how many keys rows without a body are spread before a join on the body's key.
+SPREAD = 4096
+
+
+def texts(sources: Sources, needed: DataFrame) -> DataFrame:
+    """``(text_key, reference)``: the bodies whose keys are in ``needed``, each once.
+
+    Keys decide, before anything is grouped; one shuffle by key serves the choice, the grouping and the
+    caller's join.
+    """
     body = F.col("reference")
-    return sources.references.where(body.isNotNull()).select(text.text_key(body).alias("text_key"), body).distinct()
+    keyed = sources.references.where(body.isNotNull()).select(text.text_key(body).alias("text_key"), body)
+    return keyed.join(needed.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
 
 
 def with_text(df: DataFrame, sources: Sources) -> DataFrame:
-    """Replace ``text_key`` by the body it stands for."""
-    return df.join(texts(sources), "text_key", "left").drop("text_key")
+    """Replace ``text_key`` by the body it stands for.
+
+    Most messages have no body. Their missing key, which matches nothing, would be one hot key of the
+    join, so it gets one of many values that no body has.
+    """
+    bodies = texts(sources, df.where(F.col("text_key").isNotNull()))
+    none = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
+    spread = df.withColumn("text_key", F.coalesce("text_key", none))
+    return spread.join(bodies, "text_key", "left").drop("text_key")
 
 
 def corpus_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:

@@ -75,14 +75,13 @@ def _topical(exchange: DataFrame, by: Sequence[str], config: CorpusConfig) -> Da
     """Distinct subject-body pairs per group, of months in which the group has any topic.
 
     A group's sums are not all zero exactly if one of its pairs has a flag set. Groups and rows come
-    from one shuffled set of pairs, so the exchange table is read once. The groups are broadcast:
-    callers bound their number by months of the study period times the listed values of ``by``.
+    from one shuffled set of pairs, so the exchange table is read once.
     """
     months = ["year_month", *by]
     topical = text.any_of([F.col(flag) for flag in config.topic_flags]).cast("int").alias("topical")
     pairs = exchange.select(*months, "subject", "text_key", topical).distinct()
     active = pairs.groupBy(*months).agg(F.sum("topical").alias("flagged")).where(F.col("flagged") > 0)
-    kept = pairs.alias("p").join(F.broadcast(active.drop("flagged")), months)
+    kept = pairs.alias("p").join(active.drop("flagged"), months)
     return kept.select(*by, "subject", "text_key").distinct()
 
 

@@ -101,8 +101,8 @@ def daily_status_box(exchange: DataFrame, side: str, value_range: Range = None)
     return box_statistics(daily, [f"status_{side}"], "email_count")
 
 
-def daily_status_anova(exchange: DataFrame, side: str, value_range: Range = (0, 250)) -> DataFrame:
-    """Do the daily volumes differ between statuses? The axis limits apply before the test."""
+def daily_status_anova(exchange: DataFrame, side: str, value_range: Range = None) -> DataFrame:
+    """Do the daily volumes differ between statuses? Axis limits, if given, apply before the test."""
     return anova(group_moments(daily_volume(exchange, side), f"status_{side}", "email_count", value_range))
 
 
@@ -111,7 +111,7 @@ def daily_status_pairwise(exchange: DataFrame, side: str) -> DataFrame:
 
 
 def daily_status_density(
-    exchange: DataFrame, side: str, points: int = 512, value_range: Range = (0, 250)
+    exchange: DataFrame, side: str, points: int = 512, value_range: Range = None
 ) -> DataFrame:
     return density(daily_volume(exchange, side), f"status_{side}", "email_count", points, value_range)
 

@@ -17,6 +17,13 @@ RECOMMENDED = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that someone else has made."""
+    for key, value in RECOMMENDED.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **options: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     builder = (

@@ -38,7 +38,7 @@ def messages(orders: DataFrame) -> DataFrame:
         .otherwise(_address("cust", customer, "@corp.example"))
         .alias("sender"),
         F.col("o_orderdate").cast("date").alias("date"),
-        F.concat(F.lit("<"), order.cast("string"), F.lit("@mail>")).alias("message_id"),
+        F.concat(F.lit("<"), (order - F.when(order % 40 == 1, 1).otherwise(0)).cast("string"), F.lit("@mail>")).alias("message_id"),
         F.concat(
             F.when(state == "F", "RE: ").when(state == "P", "FW: ").otherwise(""),
             F.col("o_orderpriority"),
@@ -107,7 +107,9 @@ TESTBED = CorpusConfig(
         Topic("core_business", "LOW|RE:", "all|License"),
         Topic("company_event", "1[0-9]$", "@mail|token"),
     ),
-    words=("the", "and", "date", "all", "License", "HIGH", "LOW", "token", "the"),
+    words=(
+        "the", "and", "date", "all", "License", "HIGH", "LOW", "token", "the", "MEDIUM", "RE", "with", "URGENT", "for", "SPEC",
+    ),
     statuses=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
     status_groups={
         "BUILDING": "goods",

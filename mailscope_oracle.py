@@ -26,7 +26,7 @@ messages AS (
     CASE WHEN o_custkey % 4 = 0 THEN 'ext' || (o_custkey % 40) || '@mail.example'
          WHEN o_custkey % 50 = 7 THEN 'cust ' || o_custkey || '@corp.example'
          ELSE 'cust' || o_custkey || '@corp.example' END AS sender,
-    CAST(o_orderdate AS DATE) AS date, '<' || o_orderkey || '@mail>' AS message_id,
+    CAST(o_orderdate AS DATE) AS date, '<' || (o_orderkey - CASE WHEN o_orderkey % 40 = 1 THEN 1 ELSE 0 END) || '@mail>' AS message_id,
     CASE o_orderstatus WHEN 'F' THEN 'RE: ' WHEN 'P' THEN 'FW: ' ELSE '' END
       || o_orderpriority || ' ' || (o_orderkey % 200) AS subject
   FROM orders),
@@ -329,19 +329,19 @@ def _side_statements(side: str) -> dict[str, str]:
         "daily_status_stats": _query(_describe("daily", status, "email_count"), daily=daily),
         "daily_status_box": _box(daily_values, status, daily=daily),
         "daily_status_box_clipped": _box(f"{daily_values} WHERE email_count BETWEEN 0 AND 15", status, daily=daily),
-        "daily_status_anova": _anova(f"{daily_values} WHERE email_count BETWEEN 0 AND 250", daily=daily),
+        "daily_status_anova": _anova(daily_values, daily=daily),
         "daily_status_anova_clipped": _anova(f"{daily_values} WHERE email_count BETWEEN 0 AND 6", daily=daily),
         "daily_status_pairwise": _pairwise(daily_values, daily=daily),
-        "daily_status_density": _density(f"{daily_values} WHERE email_count BETWEEN 0 AND 250", status, 64, daily=daily),
+        "daily_status_density": _density(daily_values, status, 512, daily=daily),
         "per_person_ratio_stats": _query(
             f"SELECT s AS {status}, count(*) AS n, {_statistics('ratio')} FROM stat_rows GROUP BY s",
             **_ratio(side), stat_rows=ratio_rows,
         ),
         "per_person_ratio_anova": _anova(ratio_all, **_ratio(side)),
         "per_person_ratio_box": _box(ratio_all, status, **_ratio(side)),
-        "per_person_ratio_density": _density(ratio_all, status, 32, **_ratio(side)),
+        "per_person_ratio_density": _density(ratio_all, status, 512, **_ratio(side)),
         "active_people_box": _box(active_values, "status", active=active),
-        "active_people_density": _density(active_values, "status", 32, active=active),
+        "active_people_density": _density(active_values, "status", 512, active=active),
         "active_people_by_status": _query(
             f"SELECT status, count(*) AS n, {_statistics('persons')} FROM active WHERE status IS NOT NULL GROUP BY status",
             active=active,
@@ -367,13 +367,13 @@ def _side_statements(side: str) -> dict[str, str]:
         ),
         "keyword_status_total": _query(_frequency("pairs", status), **_topical_status(side)),
         "keyword_top_status": _query(
-            f"SELECT * FROM ({ranked}) WHERE rank <= 4", **_topical_status(side), freqs=_frequency("pairs", status)
+            f"SELECT * FROM ({ranked}) WHERE rank <= 10", **_topical_status(side), freqs=_frequency("pairs", status)
         ),
         "compare_stats": _query(f"SELECT g AS source, count(*) AS n, {_statistics('v')} FROM counts GROUP BY g", **compare),
         "compare_box": _box(values, "source", **compare),
         "compare_welch": _welch(values, C.focus_label, **compare),
         "compare_welch_clipped": _welch(f"{values} WHERE v BETWEEN -10 AND 5", C.focus_label, **compare),
-        "compare_density": _density(values, "source", 64, **compare),
+        "compare_density": _density(values, "source", 512, **compare),
         "person_mails": _query("SELECT * FROM persons", **_person(side)),
         "person_year_stats": _query(
             _describe("yearly", person, "nb_email", 2), **_person(side),

@@ -107,8 +107,9 @@ def test_text_keys_stand_for_bodies(corpus, config):
         recipients=[(m, "TO", "b") for m in (1, 2, 3)],
         bodies=[(1, "same"), (2, "same")],
     )
-    assert rows(texts(sources), "reference") == [("same",)]
     table = build_exchange(sources, config)
+    assert rows(texts(sources, table), "reference") == [("same",)]
+    assert rows(texts(sources, table.where("false")), "reference") == []
     back = with_text(table.select("text_key"), sources)
     assert rows(back, "reference") == [("same",), ("same",), (None,)]
     assert table.where(F.col("text_key").isNull()).count() == 1

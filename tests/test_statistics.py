@@ -163,3 +163,30 @@ def test_exact_quantiles(spark, values):
 
 def test_exact_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.range(0).withColumnRenamed("id", "x"), "x", [0.5]).first()[0] is None
+
+
+@pytest.mark.parametrize("df", [1e9, 1e11])
+def test_tails_at_huge_degrees_of_freedom(spark, df):
+    one = spark.createDataFrame([(1.0, df, 4.0)], "x double, df double, four double")
+    f, t = one.select(f_upper_tail("x", "four", "df"), t_two_sided("x", "df")).first()
+    assert f == pytest.approx(3 * math.exp(-2), abs=1e-9)
+    assert t == pytest.approx(math.erfc(math.sqrt(0.5)), abs=1e-9)
+
+
+@pytest.mark.parametrize("df", [2.0, 30.0, 1e3, 1e7])
+def test_equal_degrees_of_freedom_give_a_half(spark, df):
+    one = spark.createDataFrame([(1.0, df)], "f double, df double")
+    assert one.select(f_upper_tail("f", "df", "df")).first()[0] == pytest.approx(0.5, abs=1e-9)
+
+
+@pytest.mark.parametrize("values", [[], [("a", 1.0)], [("a", 1.0), ("a", 2.0)], [("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0)]])
+def test_tests_of_flat_and_empty_groups_are_null(spark, values):
+    moments = group_moments(spark.createDataFrame(values, "g string, v double"), "g", "v")
+    assert [r.f for r in anova(moments).collect()] == [None]
+    assert all(r.t is None and r.p is None for r in pairwise_t(moments).collect())
+    assert all(r.t is None and r.p is None for r in welch_t(moments, "a").collect())
+
+
+def test_quantiles_of_fractions_are_refused(spark):
+    with pytest.raises(TypeError):
+        exact_quantiles(spark.createDataFrame([(1.5,)], "x double"), "x", [0.5])
