@@ -128,6 +128,11 @@ def _analyses() -> dict[str, Analysis]:
         "address_status": lambda x, t, c: rank.address_status(x, c.focus_address),
         "profile_dimensions": lambda x, t, c: profile.dimensions(t),
         "profile_missing_values": lambda x, t, c: profile.missing_values(t.employees, t.employees.columns),
+        "profile_all_missing_values": lambda x, t, c: profile.all_missing_values(t),
+        "profile_employee_categories": lambda x, t, c: profile.category_profile(
+            t.employees, ["first_name", "last_name", "email_id", "email3", "folder"]
+        ),
+        "profile_message_id_categories": lambda x, t, c: profile.category_profile(t.messages, ["message_id"]),
         "profile_employee_numbers": lambda x, t, c: profile.numeric_profile(t.employees, ["eid"]),
         "profile_message_numbers": lambda x, t, c: profile.numeric_profile(t.messages, ["mid"]),
         "profile_recipient_numbers": lambda x, t, c: profile.numeric_profile(t.recipients, ["mid"]),

@@ -47,6 +47,17 @@ def missing_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot(["n_rows"], list(columns), "column", "n_missing")
 
 
+def all_missing_values(sources: Sources) -> DataFrame:
+    """Type, rows and NULLs of every column of every source, one pass per source."""
+    parts = []
+    for name, df in tables(sources).items():
+        kinds = F.create_map(*[F.lit(x) for kind in column_types(df).items() for x in kind])
+        parts.append(missing_values(df, df.columns).select(
+            F.lit(name).alias("table"), "column", kinds[F.col("column")].alias("type"), "n_rows", "n_missing"
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Range, mean and exact quartiles of whole-number columns, identifiers included."""
     parts = []

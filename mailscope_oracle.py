@@ -11,6 +11,19 @@ from mailscope.sources.testbed import TESTBED as C
 
 FLAGS, SUMS = C.topic_flags, C.topic_sums
 WORDS = list(enumerate(C.words, start=1))
+#: Name of each source here, and the types its columns have. Recipients are numbered by their whole row.
+ROW = (
+    "struct<l_orderkey:bigint,l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double,"
+    "l_discount:double,l_tax:double,l_returnflag:string,l_linestatus:string,l_shipdate:timestamp_ntz>"
+)
+COLUMN_TYPES = {
+    "employees": ("employees", {"eid": "bigint"} | dict.fromkeys(
+        ("first_name", "last_name", "email_id", "email2", "email3", "email4", "folder", "status"), "string"
+    )),
+    "messages": ("messages", {"mid": "bigint", "sender": "string", "date": "date", "message_id": "string", "subject": "string"}),
+    "recipients": ("recipients", {"rid": ROW, "mid": "bigint", "rtype": "string", "rvalue": "string"}),
+    "references": ("refs", {"rfid": "bigint", "mid": "bigint", "reference": "string"}),
+}
 MATCH = "regexp_matches({0}, '{1}')"
 
 BASE = f"""
@@ -663,6 +676,16 @@ def _single_statements() -> dict[str, str]:
                 for c in ("eid", "first_name", "last_name", "email_id", "email2", "email3", "email4", "folder", "status")
             )
         ),
+        "profile_all_missing_values": _query(
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, "
+                f"count(*) - count({c}) AS n_missing FROM {table}"
+                for name, (table, columns) in COLUMN_TYPES.items()
+                for c, kind in columns.items()
+            )
+        ),
+        "profile_employee_categories": _categories("employees", ["first_name", "last_name", "email_id", "email3", "folder"], 6),
+        "profile_message_id_categories": _categories("messages", ["message_id"], 6),
         "profile_employee_numbers": _numbers("employees", ["eid"]),
         "profile_message_numbers": _numbers("messages", ["mid"]),
         "profile_recipient_numbers": _numbers("recipients", ["mid"]),
