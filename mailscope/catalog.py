@@ -98,7 +98,7 @@ def _analyses() -> dict[str, Analysis]:
         ), t),
         "internal_exchanges": lambda x, t, c: exchange.with_text(external.internal_exchanges(x, c).select(
             "date", "sender", "recipient", "subject", "text_key"
-        ), t),
+        ), t, most=True),
         "external_topics": lambda x, t, c: external.external_topics(x, c),
         "external_topics_long": lambda x, t, c: external.external_topics_long(x, c),
         "external_subject_overlap": lambda x, t, c: exchange.with_text(external.external_subject_overlap(x, c), t),

@@ -81,24 +81,29 @@ def _text_columns(config: CorpusConfig) -> list[F.Column]:
 SPREAD = 4096
 
 
-def texts(sources: Sources, needed: DataFrame) -> DataFrame:
-    """``(text_key, reference)``: the bodies whose keys are in ``needed``, each once.
+def texts(sources: Sources, needed: DataFrame | None = None) -> DataFrame:
+    """``(text_key, reference)``: the bodies whose keys are in ``needed``, or all, each once.
 
     Keys decide, before anything is grouped; one shuffle by key serves the choice, the grouping and the
     caller's join.
     """
     body = F.col("reference")
     keyed = sources.references.where(body.isNotNull()).select(text.text_key(body).alias("text_key"), body)
-    return keyed.join(needed.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    if needed is not None:
+        keyed = keyed.join(needed.select("text_key"), "text_key", "left_semi")
+    return keyed.dropDuplicates(["text_key"])
 
 
-def with_text(df: DataFrame, sources: Sources) -> DataFrame:
+def with_text(df: DataFrame, sources: Sources, most: bool = False) -> DataFrame:
     """Replace ``text_key`` by the body it stands for.
 
+    The keys of ``df`` choose the bodies, unless it holds ``most`` of them anyway: then looking for the keys
+    would cost more than it saves.
+
     Most messages have no body. Their missing key, which matches nothing, would be one hot key of the
     join, so it gets one of many values that no body has.
     """
-    bodies = texts(sources, df.where(F.col("text_key").isNotNull()))
+    bodies = texts(sources, None if most else df.where(F.col("text_key").isNotNull()))
     none = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
     spread = df.withColumn("text_key", F.coalesce("text_key", none))
     return spread.join(bodies, "text_key", "left").drop("text_key")
