@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailscope.llm.scratch import scratch_path
-from mailscope.llm.tokens import encoder
+from mailscope.llm.tokens import REMEMBERED_ALONE, encoder
 
 #: Fixed values of the format. Selector 0 is the escape, 1 to 14 have fields of these widths, 15 is a word of zeros.
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
@@ -39,15 +39,17 @@ def _choices(padded: np.ndarray) -> np.ndarray:
     best = np.full((len(padded), RUN), ESCAPE, np.uint8)
     fits = np.arange(best.size)  # narrower fields fit only where wider ones do
     largest = int(padded.max(initial=0))
+    kind = np.uint64 if largest >> 32 else np.uint32  # half the memory to go through
+    padded = padded.astype(kind)
     for selector in (*range(14, 0, -1), ZEROS):
         width, run = WIDTHS[selector], int(COUNTS[selector])
         if largest >> width:
             if len(fits) * run < padded.size // 2:
                 row, at = np.divmod(fits, RUN)
-                ok = (padded[row[:, None], at[:, None] + np.arange(run)] >> np.uint64(width) == 0).all(1)
+                ok = (padded[row[:, None], at[:, None] + np.arange(run)] >> kind(width) == 0).all(1)
             else:
-                large = np.zeros((len(padded), padded.shape[1] + 1), np.int32)
-                np.cumsum(padded >> np.uint64(width) != 0, axis=1, out=large[:, 1:])
+                large = np.zeros((len(padded), padded.shape[1] + 1), np.int16)
+                np.cumsum(padded >> kind(width) != 0, axis=1, out=large[:, 1:])
                 ok = (large[:, run : run + RUN] == large[:, :RUN]).reshape(-1)[fits]
             fits = fits[ok]
         if not len(fits):
@@ -158,7 +160,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, shard = encoder(tokenizer).batch, TaskContext.get().partitionId()
+        encode_all, shard = encoder(tokenizer, REMEMBERED_ALONE).batch, TaskContext.get().partitionId()
         doc_ids: list[int | None] = []
         found: list[np.ndarray] = []
         first = size = number = 0

@@ -25,10 +25,10 @@ SPACED = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 MARKS = ".,;:!?"
-#: Cuts remembered by a worker.
-REMEMBERED = 600_000
+#: Cuts remembered by a worker, about 200 bytes each: where memory is shared with other stages, and where it is not.
+REMEMBERED, REMEMBERED_ALONE = 300_000, 900_000
 #: Characters of texts that are cut and looked up together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: The name of a tokenizer's file with the package that holds the files.
 DEFAULT_PACKAGE = "public_tokenizers"
 
@@ -52,10 +52,11 @@ def _byte_letters() -> dict[int, str]:
 class _Known(dict):
     """Places of the ids of what stands between two spaces, or, after a NUL, of the same without a space before it.
 
-    A place leads to a stretch of one long array of ids. What is met beyond `REMEMBERED` is forgotten again."""
+    A place leads to a stretch of one long array of ids. What is met beyond `remembered` is forgotten again."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, remembered: int):
         super().__init__()
+        self.remembered = remembered
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
@@ -105,19 +106,19 @@ class _Known(dict):
         return place
 
     def forget(self) -> None:
-        """Back to the first `REMEMBERED` places, between batches."""
-        if len(self.starts) > REMEMBERED:
-            for cut in list(takewhile(lambda c: self[c] >= REMEMBERED, reversed(self))):  # later cuts, later places
+        """Back to the first `remembered` places, between batches."""
+        if len(self.starts) > self.remembered:
+            for cut in list(takewhile(lambda c: self[c] >= self.remembered, reversed(self))):  # later cuts, later places
                 del self[cut]
-            del self.flat[self.starts[REMEMBERED] :]
-            del self.starts[REMEMBERED:], self.lengths[REMEMBERED:]
+            del self.flat[self.starts[self.remembered] :]
+            del self.starts[self.remembered :], self.lengths[self.remembered :]
 
 
 class Encoder:
     """Ids of texts by one vocabulary file. Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, name: str):
-        self._known = _Known(name)
+    def __init__(self, name: str, remembered: int = REMEMBERED):
+        self._known = _Known(name, remembered)
 
     def _alone(self, text: str) -> list[int]:
         """Ids of a text in which cuts at single spaces are not enough."""
@@ -134,7 +135,10 @@ class Encoder:
         """Ids of texts with single spaces and line feeds only, `end` after each: each different cut is looked up once."""
         known = self._known
         known.forget()
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts), "\n", " " if known.lowers else " \n"), " ")
+        joined = pc.replace_substring(pa.array(texts), "\n", " " if known.lowers else " \n")
+        if known.lowers:  # what the vocabulary does anyway; so fewer cuts differ
+            joined = pc.ascii_lower(joined)
+        split = pc.split_pattern(joined, " ")
         cuts = split.flatten().dictionary_encode()
         words = cuts.dictionary.to_numpy(zero_copy_only=False).tolist()
         which, bounds = cuts.indices.to_numpy(), split.offsets.to_numpy()
@@ -183,6 +187,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per worker and file, kept between tasks."""
-    return Encoder(name)
+    return Encoder(name, remembered)

@@ -68,6 +68,5 @@ def test_ids_are_those_of_whole_texts(monkeypatch, name):
     texts = ["", " ", "a\nb", "It's.\nThe end", "<|endoftext|> x", "A  B", "x y z", "word " * 400, "l'été, où! ça?"]
     texts += ["".join(pick.choice("abZé' \n\t!1.,́") for _ in range(pick.randint(0, 16))) for _ in range(1500)]
     monkeypatch.setattr(tokens, "TOGETHER", 500)
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
-    got = list(tokens.Encoder(name).batch([*texts, None], 1))
+    got = list(tokens.Encoder(name, remembered=50).batch([*texts, None], 1))
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in [*texts, ""]]
