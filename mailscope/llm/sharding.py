@@ -88,6 +88,8 @@ def document_shards(documents: DataFrame, limit: int = SHARD_BYTES) -> DataFrame
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = 1 << 26) -> None:
-    """The documents, all columns, one folder per shard, each written by one task."""
+    """The documents, all columns, one folder per shard, each written by one task.
+
+    The folders are named by bits: a reader gives a schema, lest Spark takes them for numbers."""
     sharded = shards(documents, ["doc_id"], F.octet_length("text"), limit)
     sharded.repartition("shard").write.partitionBy("shard").parquet(path)

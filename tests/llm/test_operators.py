@@ -16,7 +16,7 @@ from mailscope.llm import (
     cover_tree, langid, mixing, packing, quality, secret_scan, sharding, simhash, simple8b, tokens, warc,
 )
 from tests.conftest import SF_DIR
-from tests.llm.helpers import CLASHES, corpus, prose
+from tests.llm.helpers import CLASHES, DOCUMENTS, corpus, prose
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -531,3 +531,25 @@ def test_linking_against_brute_force(spark, reach):
     got = {r.doc_id: r.spans for r in secret_scan.scan(corpus(spark, rows), reach=reach).collect()}
     assert got == {i: brute_scan(t, secret_scan.KINDS, reach) for i, t, *_ in rows}
     assert any("value" in s for s in got.values()) and any("service" in s for s in got.values())
+
+
+def test_written_shards_and_records(spark, tmp_path):
+    docs = corpus(spark)
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=3000)
+    back = spark.read.schema(f"{DOCUMENTS}, shard string").parquet(str(tmp_path / "shards"))
+    assert result(back, *docs.columns) == result(docs)
+    pages = spark.createDataFrame([(1, "http://x", "<p>One</p><p>two</p>"), (2, None, None)], "page_id long, url string, html string")
+    made = warc.derivatives(warc.responses(pages))
+    warc.write_warc(made.coalesce(1), str(tmp_path / "warc"))
+    import gzip
+
+    (file,) = (tmp_path / "warc").glob("part-*.gz")
+    data, records = gzip.decompress(file.read_bytes()), []
+    while data:  # read by the lengths in the headers, as any reader would
+        head, _, data = data.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        length = int(fields["Content-Length"])
+        records.append((fields["WARC-Type"], data[:length].decode()))
+        assert data[length : length + 4] == b"\r\n\r\n"
+        data = data[length + 4 :]
+    assert sorted(records) == sorted((r.warc_type, r.block) for r in made.collect())
