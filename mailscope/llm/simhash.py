@@ -270,7 +270,7 @@ def _alike(nodes: DataFrame, similarity: Similarity) -> DataFrame:
     dealt to blocks, and each two blocks are searched together: no link is lost, and no task gets more than the bound.
     """
     tables = nodes.select("node", F.posexplode("narrow").alias("table", "fp"))
-    keyed = _with_size(materialise(_keys(tables, parts_for(nodes.count()), "table").drop("free"), "simhash-keys"))
+    keyed = _with_size(_keys(tables, parts_for(nodes.count()), "table").drop("free"))
     small = keyed.filter(F.col("size") <= SMALL).select("key", "node", "fp", "segment")
     other = small.select("key", F.col("node").alias("b"), F.col("fp").alias("other"))
     pairs = small.join(other, "key").filter(F.col("node") < F.col("b"))
