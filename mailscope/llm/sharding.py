@@ -27,16 +27,17 @@ def hash_bits(text: Column) -> Column:
 
 
 def _leaves(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Shards between `low` and `high` bits: a map from the prefix of `high` bits, `_cell`, to `_depth`, `_bytes` and
+    """Shards between `low` and `high` bits: a map from the bits used so far, `_bits`, and the
+    prefix of `high` bits, `_cell`, to `_depth`, `_bytes` and
     `_count`, null where more bits are needed."""
-    cells = rows.groupBy(F.shiftright("_hash", BITS - high).alias("_cell")).agg(F.sum("_size").alias("_b"), F.count("*").alias("_n"))
+    cells = rows.groupBy("_bits", F.shiftright("_hash", BITS - high).alias("_cell")).agg(F.sum("_size").alias("_b"), F.count("*").alias("_n"))
     cells = materialise(cells, "shard-cells")
     levels = cells.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_depth"))
     levels = levels.withColumn("_prefix", F.expr(f"shiftright(_cell, {high} - _depth)"))
-    sums = levels.groupBy("_depth", "_prefix").agg(F.sum("_b").alias("_bytes"), F.sum("_n").alias("_count"))
+    sums = levels.groupBy("_bits", "_depth", "_prefix").agg(F.sum("_b").alias("_bytes"), F.sum("_n").alias("_count"))
     fitting = sums.filter((F.col("_bytes") <= limit) | (F.col("_count") == 1))
-    first = levels.join(fitting, ["_depth", "_prefix"]).groupBy("_cell").agg(F.min(F.struct("_depth", "_bytes", "_count")).alias("_s"))
-    return cells, first.select("_cell", "_s.*")
+    first = levels.join(fitting, ["_bits", "_depth", "_prefix"]).groupBy("_bits", "_cell").agg(F.min(F.struct("_depth", "_bytes", "_count")).alias("_s"))
+    return cells, first.select("_bits", "_cell", "_s.*")
 
 
 def shards(rows: DataFrame, keys: Sequence[str], size: Column, limit: int) -> DataFrame:
@@ -57,7 +58,7 @@ def shards(rows: DataFrame, keys: Sequence[str], size: Column, limit: int) -> Da
     while True:
         _, leaves = _leaves(left, low, high, limit)
         cell = F.shiftright("_hash", BITS - high).alias("_cell")
-        placed = left.select("*", cell).join(materialise(leaves, "shard-leaves"), "_cell", "left").drop("_cell")
+        placed = left.select("*", cell).join(materialise(leaves, "shard-leaves"), ["_bits", "_cell"], "left").drop("_cell")
         bits = F.expr(f"concat(_bits, substring(lpad(bin(_hash), {BITS}, '0'), 1, _depth))")
         found = placed.filter("_depth is not null").select(
             *names, bits.alias("shard"), F.length(bits).alias("depth"), F.col("_bytes").alias("shard_bytes"), F.col("_count").alias("shard_rows")

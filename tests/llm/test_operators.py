@@ -392,6 +392,21 @@ def test_keep_one_does_not_depend_on_the_size_of_groups(spark):
     assert other == kept_by_brute_force(rows[:3] + rows[19:36]) == [k for k in kept if k < 3 or 19 <= k < 36]
 
 
+# --- shards of repeated keys
+
+
+def test_shards_of_two_hot_keys(spark):
+    rows = spark.createDataFrame([(n % 2, n, 10) for n in range(400)], "doc_id long, other long, n_bytes long")
+    found = sharding.shards(rows, ["doc_id"], F.col("n_bytes"), 200).collect()
+    inside = collections.defaultdict(list)
+    for r in found:
+        inside[r.shard].append(r)
+    assert len(found) == 400 and len({r.other for r in found}) == 400
+    for members in inside.values():
+        assert {(r.shard_rows, r.shard_bytes) for r in members} == {(len(members), 10 * len(members))}
+        assert 10 * len(members) <= 200
+
+
 # --- token ids
 
 
