@@ -9,9 +9,7 @@ rest of the chain prunes candidates before the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from fractions import Fraction
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailscope.llm.components import components
+from mailscope.llm.rows import row_digest
 from mailscope.llm.scratch import materialise
 
 BITS, SEGMENTS, RADIUS = 64, 4, 3
@@ -31,8 +30,6 @@ SMALL = 16
 #: Fingerprints in a group at most; larger groups are split on further bits, which loses no link. Twelve free bits
 #: leave no more than this, so splitting ends.
 GROUP = 4096
-#: Shingles whose counts are known when all are put in order.
-COMMON = 1 << 18
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -63,16 +60,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > total).view(">u8")[0].astype(np.int64))
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """`doc_id` and `fp`, the fingerprint as LONG, one row per document."""
+def fingerprints(documents: DataFrame, shingle: int = 3, carried: Sequence[str] = ()) -> DataFrame:
+    """`doc_id`, the LONG columns `carried`, and `fp`, the fingerprint as LONG, one row per document."""
+    names = ["doc_id", *carried, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
+            texts = (t.as_py() for t in batch.column(0))
             prints = np.fromiter((fingerprint(t, shingle) for t in texts), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    chosen = documents.select("text", F.col("doc_id").cast("long"), *carried)
+    return chosen.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def _rotated(fp: Column, segment: int) -> Column:
@@ -220,224 +219,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", digits, "component_id")
 
 
-@dataclass(frozen=True)
-class Similarity:
-    """Texts are alike if their sets of shingles of `shingle` words have a Jaccard similarity of `jaccard` or more."""
+def keep_one(documents: DataFrame, shingle: int = 3) -> DataFrame:
+    """The documents, all columns, one of each group that :func:`near_duplicates` puts together: that with the smallest
+    `doc_id`, one without only if there is no other; of rows that agree in it, the first by a digest of the whole row.
 
-    shingle: int = 5
-    jaccard: float = 0.8
-
-    @property
-    def ratio(self) -> tuple[int, int]:
-        """`jaccard` in whole numbers, so that pairs right at the bound count."""
-        exact = Fraction(self.jaccard).limit_denominator(10**6)
-        return exact.numerator, exact.denominator
-
-    def prefix(self, size: int) -> int:
-        """How many shingles of a set, first in any order that all sets share, contain one of every set that is alike."""
-        over, under = self.ratio
-        return size + over * -size // under + 1 if size else 0
-
-    def apart(self, sizes):
-        """The most shingles that are in only one of two sets which are alike, by the sum of their sizes."""
-        over, under = self.ratio
-        return sizes + 2 * (-over * sizes // (over + under))
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The different shingles of a text as sorted 64-bit hashes; none without words, one of fewer words than a shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    width = min(width, len(words))
-    single = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    total = len(words) - width + 1
-    mixed = np.full(total, width, np.uint64)
-    for at in range(width):
-        mixed = (mixed ^ single[at : at + total]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-    return np.unique(mixed)
-
-
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    """Bits that say of how many hashes with that place the set has an odd number, two bits a hash or more.
-
-    Two sets differ in as many hashes at least as their bits differ in. Twice as many bits fold to half by XOR."""
-    words = 1 << max(0, (2 * len(hashes) - 1).bit_length() - 6) if len(hashes) else 1
-    counts = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
-
-
-def _folded(bits: Column, words: Column) -> Column:
-    half = F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(bits) > words, half).otherwise(bits)
-
-
-def _maybe_alike(similarity: Similarity) -> Column:
-    """What is true of all alike sets by their sizes and parities, `size_a`, `bits_a` and so on."""
-    over, under = similarity.ratio
-    sizes, words = F.col("size_a") + F.col("size_b"), F.least(F.size("bits_a"), F.size("bits_b"))
-    differ = F.zip_with(_folded(F.col("bits_a"), words), _folded(F.col("bits_b"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    apart = sizes - 2 * F.ceil(over * sizes / (over + under))
-    long_enough = F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over
-    # The division is in doubles: one shingle more for its rounding costs a few pairs and loses none.
-    return long_enough & (F.aggregate(differ, F.lit(0).cast("long"), lambda t, x: t + x) <= apart + 2)
-
-
-def _common_first(rows: DataFrame, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts have, sorted, and how many of an eighth of the rows.
-
-    They only decide which shingles come last in the order that all sets share, so that keys stay small; any order
-    gives the same links. `COMMON` of them at most come to the driver, whatever the data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingle_set(text.as_py(), similarity.shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    sample = rows.filter(F.pmod(F.xxhash64("digest"), F.lit(8)) == 0).select("it.text").mapInArrow(run, "shingle long")
-    counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON)
-    table = counts.toArrow()
-    shingles, n = table.column(0).to_numpy().astype(np.int64).view(np.uint64), table.column(1).to_numpy().astype(np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
-
-
-def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
-    """The first `length` in the order that all sets share: by how common they are, then by hash."""
-    shingles, n = common
-    if not len(shingles):
-        return hashes[:length]
-    at = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
-    return hashes[np.argsort(np.where(shingles[at] == hashes, n[at], 0), kind="stable")[:length]]
-
-
-def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: Similarity) -> DataFrame:
-    """`node` and its `shingles`, of the nodes in `pairs`: from the text again, since few nodes are in any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1)):
-                found = shingle_set(text.as_py(), similarity.shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()]), pa.array([found], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.digest"), "node")
-    texts = rows.select("digest", "it.text").join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
-    return materialise(texts.mapInArrow(run, "node long, shingles array<long>"), "alike-sets")
-
-
-def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: Similarity) -> DataFrame:
-    """Those `pairs` whose sets of shingles are alike."""
-    over, under = similarity.ratio
-    sets = _sets(rows, nodes, pairs, similarity)
-    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    enough = shared * (over + under) >= over * (F.size("set_a") + F.size("set_b"))
-    return materialise(pairs.join(b, "b").join(a, "a").filter(enough).select("a", "b"), "alike-links")
-
-
-def _searched(keyed: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: Similarity) -> DataFrame:
-    """`a`, `b`: pairs under a key that sizes and parities do not rule out and that no link connects so far.
-
-    A group beyond the bound is dealt to blocks, and each two blocks are searched together: no task gets more."""
-    labelled = keyed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_ = labelled.join(mixed.select("key"), "key")
-    blocks = F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    group = dealt.select("node", "component", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("group"))
-
-    def search(found):
-        import pandas as pd
-
-        left, right = _open_pairs(
-            found["node"].to_numpy(np.int64), found["component"].to_numpy(np.int64), found["n"].to_numpy(np.int64), found["bits"].tolist(), similarity
-        )
-        return pd.DataFrame({"a": left, "b": right})
-
-    return group.join(nodes.select("node", "n", "bits"), "node").groupBy("group").applyInPandas(search, "a long, b long").distinct()
-
-
-def _open_pairs(ids, labels, sizes, bits, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels that sizes and parities do not rule out, the smaller id first."""
-    over, under = similarity.ratio
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    words = np.fromiter(map(len, bits), np.int64, len(bits))
-    for width in np.unique(words):
-        # Alike sets have as many words of parities, or one of them has twice as many, which are folded.
-        rows = np.flatnonzero((words == width) | (words == 2 * width))
-        rows = rows[np.argsort(sizes[rows], kind="stable")]
-        prints = np.stack([
-            np.asarray(bits[r], np.int64).reshape(-1, width).view(np.uint64)[[0, -1]] if words[r] > width
-            else np.stack([np.asarray(bits[r], np.int64).view(np.uint64), np.zeros(width, np.uint64)]) for r in rows
-        ])
-        prints = prints[:, 0] ^ prints[:, 1]
-        n, label, id_ = sizes[rows], labels[rows], ids[rows]
-        ends = np.searchsorted(n, n * under // over, side="right")
-        for at in range(int(np.count_nonzero(words[rows] == width))):  # the shorter ones come first
-            to = slice(at + 1, ends[at])
-            near = np.bitwise_count(prints[to] ^ prints[at]).sum(1, dtype=np.int64) <= similarity.apart(n[to] + n[at])
-            other = id_[to][near & (label[to] != label[at])]
-            left.append(np.minimum(other, id_[at]))
-            right.append(np.maximum(other, id_[at]))
-    return np.concatenate(left), np.concatenate(right)
-
-
-def alike(rows: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
-    """`node` and `component`, of all nodes that are alike to another, directly or by others in between.
-
-    Candidates share a shingle of their prefixes, which all alike sets do. First each is compared with the smallest
-    node under each of its keys, so that thousands of near copies do not become millions of pairs; then all pairs
-    that are still in different components are. Sizes and parities rule pairs out, the sets of shingles decide.
-    """
-    tokens = nodes.select("node", F.explode("prefix").alias("key"))
-    keyed = materialise(_with_size(tokens), "alike-keys")
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"))
-    stars = keyed.join(least, "key").filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
-    stars = materialise(stars.join(b, "b").join(a, "a").filter(_maybe_alike(similarity)).select("a", "b"), "alike-pairs")
-    links = _confirmed(rows, nodes, stars, similarity)
-    rest = _searched(keyed, nodes, components(links), similarity).join(stars, ["a", "b"], "left_anti")
-    rest = materialise(rest, "alike-pairs")
-    if rest.isEmpty():
-        return components(links)
-    return components(links.union(_confirmed(rows, nodes, rest, similarity)))
-
-
-def keep_one(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """The documents, all columns, one of each group of alike texts: that with the smallest `doc_id`, one without only
-    if there is no other; of rows that agree in it, the first by a digest of the whole row.
-
-    Texts without words are alike. Equal rows are one. The digest also finds the rows again, so that only they and no
-    copy of the corpus is written. No rows in, no rows out.
+    Texts without words are one group. Equal rows are one. The digest also finds the rows again, so that only
+    fingerprints and no copy of the corpus is written. No rows in, no rows out.
     """
-    rows = documents.select(F.struct(*documents.columns).alias("it"))
-    rows = rows.withColumn("digest", F.md5(F.to_json("it")))
-    common = _common_first(rows, similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
-        for batch in batches:
-            marks, sizes, bits, prefixes = [], [], [], []
-            for text in batch.column(0):
-                found = shingle_set(text.as_py(), similarity.shingle)
-                marks.append(xxhash.xxh128_digest(found.tobytes()))
-                sizes.append(len(found))
-                bits.append(_parities(found).view(np.int64))
-                prefixes.append(_prefix(found, common, similarity.prefix(len(found))).view(np.int64))
-            columns = [*batch.columns[1:], pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, kind), pa.array(prefixes, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "mark", "n", "bits", "prefix"])
-
-    chosen = rows.select("it.text", F.col("it.doc_id").cast("long").alias("doc_id"), "digest")
-    prints = chosen.mapInArrow(run, "doc_id long, digest string, mark binary, n long, bits array<long>, prefix array<long>")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "n", "bits", "prefix")).alias("first")
-    numbered = prints.groupBy("mark").agg(first).select(F.monotonically_increasing_id().alias("node"), "first")
-    light = F.struct("first.unnamed", "first.doc_id", "first.digest").alias("first")
-    nodes = materialise(numbered.select("node", light, "first.n", "first.bits", "first.prefix"), "alike-nodes")
-    joined = alike(rows, nodes, similarity)
-    labelled = nodes.select("node", "first").join(joined, "node", "left").groupBy(F.coalesce("component", "node"))
-    kept = labelled.agg(F.min("first").alias("first")).select("first.digest")
-    return rows.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("it.*")
+    rows = documents.select(F.struct(*documents.columns).alias("it"), *row_digest(documents, "d1", "d2"))
+    chosen = rows.select("it.text", "it.doc_id", "d1", "d2")
+    prints = materialise(fingerprints(chosen, shingle, ["d1", "d2"]), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "d1", "d2")).alias("first")
+    least = prints.groupBy("fp").agg(first).join(_labelled(prints), "fp")
+    kept = least.groupBy("component").agg(F.min("first").alias("first")).select("first.d1", "first.d2")
+    return rows.join(kept, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"]).select("it.*")

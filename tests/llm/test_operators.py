@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mailscope.llm import (
     cover_tree, langid, mixing, packing, quality, secret_scan, sharding, simhash, simple8b, tokens, warc,
 )
+from mailscope.llm.rows import row_digest
 from tests.conftest import SF_DIR
 from tests.llm.helpers import CLASHES, DOCUMENTS, corpus, prose
 
@@ -296,100 +297,50 @@ def test_links_connect_what_is_near(spark, monkeypatch, group):
     assert len(set(parent)) == len(set(label)) and parent == label
 
 
-@pytest.mark.parametrize("group", [4096, 6])
-def test_keep_one_of_alike_texts(spark, monkeypatch, group):
-    monkeypatch.setattr(simhash, "GROUP", group)
-    monkeypatch.setattr(simhash, "SMALL", 2)
-    rows, expected = [], set()
+def kept_by_brute_force(rows):
+    label = brute_components([brute_print(row[1]) for row in rows])
+    return sorted(min(r[0] for r, x in zip(rows, label) if x == at) for at in set(label))
+
+
+def families(edits):
+    """Rows: texts of 400 words, and copies of each with up to `edits` words replaced."""
+    rows, pick = [], np.random.default_rng(edits)
     for family in range(6):
         words = prose(100 + family, 400).split()
-        expected.add(family * 100)
         for copy in range(20):
             changed = list(words)
-            if copy:
-                changed[(copy * 17) % 400] = "edited"
+            for at in pick.integers(0, 400, int(pick.integers(0, edits + 1)) if copy else 0):
+                changed[at] = f"edited{pick.integers(0, 1000)}"
             rows.append((family * 100 + copy, " ".join(changed), "en", "s", 1))
-    rows += [(9000, None, None, None, None), (9001, "", "en", "s", 0), (None, prose(500, 70), "en", "s", 1)]
-    kept = [r.doc_id for r in simhash.keep_one(corpus(spark, rows)).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted([*expected, 9000]) and kept.count(None) == 1
-
-
-def five_words(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def kept_by_brute_force(rows):
-    sets = [five_words(text) for _, text, *_ in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    return sorted(min(r[0] for r, x in zip(rows, label) if x == at) for at in set(label))
-
-
-def fresh(pick, count):
-    return [f"w{n}" for n in pick.zipf(1.3, count) % 50_000]
-
-
-def share(a, b):
-    a, b = five_words(a), five_words(b)
-    return len(a & b) / len(a | b)
-
-
-def pairs_of_texts(seed, edit, low, high):
-    """Rows two by two: a text, and the same after `edit(pick, words)`, from `low` up to below `high` alike."""
-    pick, rows = np.random.default_rng(seed), []
-    while len(rows) < 80:
-        words = fresh(pick, int(pick.integers(100, 1000)))
-        both = [" ".join(words), " ".join(edit(pick, list(words)))]
-        if low <= share(*both) < high:
-            rows += [(len(rows) + n, text, "en", "s", 1) for n, text in enumerate(both)]
     return rows
 
 
-def test_keep_one_keeps_texts_below_the_bound(spark):
-    def edit(pick, words):
-        count = int(len(words) * pick.uniform(0.115, 0.16))
-        at = int(pick.integers(0, len(words) - count))
-        words[at : at + count] = fresh(pick, count)
-        return words
-
-    rows = pairs_of_texts(1, edit, 0.7, 0.8)
+@pytest.mark.parametrize(("group", "edits"), [(4096, 1), (4096, 12), (24, 4)])
+def test_keep_one_of_each_component(spark, monkeypatch, group, edits):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    rows = families(edits)
     kept = sorted(r.doc_id for r in simhash.keep_one(corpus(spark, rows)).collect())
-    assert kept == kept_by_brute_force(rows) == list(range(len(rows)))
+    assert kept == kept_by_brute_force(rows) and 6 <= len(kept) < len(rows)
+    groups = simhash.near_duplicates(corpus(spark, rows)).collect()
+    assert kept == sorted({r.component_id for r in groups})
 
 
-@pytest.mark.parametrize("appended", [False, True])
-def test_keep_one_finds_replaced_and_appended_paragraphs(spark, appended):
-    def edit(pick, words):
-        count = int(len(words) * (pick.uniform(0.1, 0.23) if appended else pick.uniform(0.03, 0.09)))
-        at = len(words) if appended else int(pick.integers(0, len(words) - count))
-        words[at : at + count] = fresh(pick, count)
-        return words
+def test_keep_one_of_rows_without_words_or_name(spark):
+    rows = [
+        (9000, None, None, None, None), (9001, "", "en", "s", 0), (9001, "", "en", "s", 0),
+        (None, prose(500, 70), "en", "s", 1), (None, prose(500, 70), "en", "s", 1), (5, prose(600, 70), None, "s", 1),
+        (5, prose(600, 70), "s", None, 1), (5, prose(600, 70), "s", None, 1),
+    ]
+    kept = [r.doc_id for r in simhash.keep_one(corpus(spark, rows)).collect()]
+    assert sorted(kept, key=str) == [5, 9000, None]
 
-    rows = pairs_of_texts(2, edit, 0.8, 0.95)
-    kept = sorted(r.doc_id for r in simhash.keep_one(corpus(spark, rows)).collect())
-    assert kept == kept_by_brute_force(rows) == list(range(0, len(rows), 2))
-
-
-def test_keep_one_does_not_depend_on_the_size_of_groups(spark):
-    """A family whose copies are mostly below the bound from the first, as few and as many."""
-    pick, rows = np.random.default_rng(3), []
-    for copies in (3, 16, 17, 60):
-        words = fresh(pick, 300)
-        for _ in range(copies):
-            text, count = list(words), int(pick.integers(5, 35))
-            at = int(pick.integers(0, 300 - count))
-            text[at : at + count] = fresh(pick, count)
-            rows.append((len(rows), " ".join(text), "en", "s", 1))
-    kept = sorted(r.doc_id for r in simhash.keep_one(corpus(spark, rows)).collect())
-    assert kept == kept_by_brute_force(rows)
-    other = sorted(r.doc_id for r in simhash.keep_one(corpus(spark, rows[:3] + rows[19:36])).collect())
-    assert other == kept_by_brute_force(rows[:3] + rows[19:36]) == [k for k in kept if k < 3 or 19 <= k < 36]
+
+def test_row_digest_tells_nulls_apart(spark):
+    rows = [("a", None, [None, 1]), (None, "a", [None, 1]), ("a", None, [1, None]), ("a", None, [1]), ("a", "", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z array<int>")
+    assert df.select(*row_digest(df, "d1", "d2")).distinct().count() == len(rows)
+    assert df.union(df).select(*row_digest(df, "d")).distinct().count() == len(rows)
 
 
 # --- shards of repeated keys
