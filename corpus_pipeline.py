@@ -14,7 +14,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles of five words have a similarity of 0.8 or more."""
+    """One document of each group linked by SimHash: shingles of three words, at most three differing bits."""
     return simhash.keep_one(docs)
 
 
