@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailscope.llm import warc
+from mailscope.llm import divergence, filter_audit, warc
 from mailscope.llm.cover_tree import QUERY_EVERY, TOP
 from mailscope.llm.mixing import MixPlan
 from mailscope.llm.sharding import BITS, SHARD_BYTES
@@ -122,4 +122,81 @@ SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '197
   CAST(strlen(block) AS BIGINT) AS content_length, {_digest('block')} AS block_digest, source_payload_digest, block
 FROM blocks"""
 
-STATEMENTS = {"op1_sharding": SHARDING, "op2_mixing": MIXING, "op3_top_k": TOP_K, "op5_warc": WARC}
+_LETTERS = [*(f.letter for f in filter_audit.FILTERS), filter_audit.DUPLICATES]
+_BITS = ", ".join(f"('{letter}', {1 << bit})" for bit, letter in enumerate(_LETTERS))
+_PLACES = range(1, len(_LETTERS) + 1)
+_APART = " AND ".join(f"l{a}.letter <> l{b}.letter" for b in _PLACES for a in range(1, b))
+_ORDER = " || ".join(f"l{n}.letter" for n in _PLACES)
+FILTER_AUDIT = f"""
+WITH read AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM read),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters(letter, bit) AS (VALUES {_BITS}),
+orders AS (
+  SELECT {_ORDER} AS filter_order FROM {", ".join(f"letters l{n}" for n in _PLACES)} WHERE {_APART}),
+steps AS (
+  SELECT filter_order, CAST(s AS INT) AS step, substr(filter_order, s, 1) AS letter,
+    (SELECT coalesce(sum(bit), 0) FROM letters WHERE contains(substr(filter_order, 1, s - 1), letter)) AS before
+  FROM orders, range(1, {len(_LETTERS) + 1}) r(s)),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM masks, (SELECT filter_order, step, letter, CAST(before AS INT) AS before, bit FROM steps JOIN letters USING (letter))
+  GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted"""
+
+AUDIT = divergence.AuditPlan()
+DIVERGENCE = f"""
+WITH read AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+long AS (SELECT n, lang, source, unnest(terms) AS term FROM read),
+kept AS (SELECT lang, term FROM long GROUP BY ALL HAVING count(DISTINCT n) >= {AUDIT.min_documents}),
+counts AS (SELECT lang, source, term, count(*) AS c FROM long JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM read),
+totals AS (SELECT lang, source, sum(c) AS total FROM counts GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+    1 + CAST({divergence.SCALE} AS HUGEINT) * (coalesce(c, 0) + 1) // CAST(coalesce(total, 0) + v AS HUGEINT) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+common AS (
+  SELECT lang, term, 1 + CAST({divergence.SCALE} AS HUGEINT) * (c + 1) // CAST(sum(c) OVER (PARTITION BY lang) + v AS HUGEINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL) JOIN sizes USING (lang)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT)
+  FROM grid JOIN common USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM valued)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {AUDIT.top}"""
+
+STATEMENTS = {
+    "op1_sharding": SHARDING, "op2_mixing": MIXING, "op3_top_k": TOP_K, "op5_warc": WARC,
+    "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mailscope.llm import (
-    cover_tree, langid, mixing, oracle, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
+    cover_tree, divergence, filter_audit, langid, mixing, oracle, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
 )
 
 
@@ -55,6 +55,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE: dict[str, str] = oracle.STATEMENTS
