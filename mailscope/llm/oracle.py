@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailscope.llm import divergence, filter_audit, warc
+from mailscope.llm import chat_format, divergence, filter_audit, warc
 from mailscope.llm.cover_tree import QUERY_EVERY, TOP
 from mailscope.llm.mixing import MixPlan
 from mailscope.llm.sharding import BITS, SHARD_BYTES
@@ -162,6 +162,20 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM counted"""
 
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations
+  UNION ALL SELECT -1, r, {_quoted(chat_format.SAYS)}, n FROM (VALUES ('user', 0), ('assistant', 1)) v(r, n)),
+placed AS (
+  SELECT *, md5(role || chr(0) || text) AS place,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') AS shown_role,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS shown FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat_format.OPEN) + len(chat_format.CLOSE) + 2} + length(shown_role) + length(shown)) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
 AUDIT = divergence.AuditPlan()
 DIVERGENCE = f"""
 WITH read AS (
@@ -198,5 +212,5 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 STATEMENTS = {
     "op1_sharding": SHARDING, "op2_mixing": MIXING, "op3_top_k": TOP_K, "op5_warc": WARC,
-    "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE,
+    "op11_chat_format": CHAT, "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mailscope.llm import (
-    cover_tree, divergence, filter_audit, langid, mixing, oracle, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
+    chat_format, cover_tree, divergence, filter_audit, langid, mixing, oracle, packing, quality, secret_scan, sharding, simhash, simple8b, warc,
 )
 
 
@@ -55,6 +55,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_and_digest(chat_format.with_control(_table(spark, sf_dir, "conversations")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_chat_format": op11_chat_format,
     "op12_filter_audit": op12_filter_audit,
     "op13_divergence": op13_divergence,
 }
