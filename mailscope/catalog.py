@@ -93,12 +93,12 @@ def _analyses() -> dict[str, Analysis]:
         "conversation_flags": lambda x, t, c: external.with_internal_counts(x, c).select(
             "date", "sender", "recipient", "subject", "sum_sender", "sum_recipient"
         ),
-        "external_exchanges": lambda x, t, c: exchange.with_text(external.external_exchanges(x, c).select(
-            "date", "year", "month", "sender", "recipient", "subject", "text_key"
-        ), t),
-        "internal_exchanges": lambda x, t, c: exchange.with_text(external.internal_exchanges(x, c).select(
-            "date", "sender", "recipient", "subject", "text_key"
-        ), t, most=True),
+        "external_exchanges": lambda x, t, c: exchange.with_text(external.external_exchanges(external.chosen_columns(
+            x, ["date", "year", "month", "sender", "recipient", "subject", "text_key"]
+        ), c), t),
+        "internal_exchanges": lambda x, t, c: exchange.with_text(external.internal_exchanges(external.chosen_columns(
+            x, ["date", "sender", "recipient", "subject", "text_key"]
+        ), c), t, most=True),
         "external_topics": lambda x, t, c: external.external_topics(x, c),
         "external_topics_long": lambda x, t, c: external.external_topics_long(x, c),
         "external_subject_overlap": lambda x, t, c: exchange.with_text(external.external_subject_overlap(x, c), t),

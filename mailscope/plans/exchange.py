@@ -9,6 +9,7 @@ from mailscope.config import CorpusConfig
 from mailscope.functions import text
 from mailscope.operators.aliases import status_directory, with_status
 from mailscope.operators.cleaning import clean_employees, clean_messages, complete_messages
+from mailscope.operators.sharing import always
 from mailscope.sources.tables import Sources, write_table
 
 #: Columns a reader of the table asks for; the others serve the analyses.
@@ -77,7 +78,7 @@ def _text_columns(config: CorpusConfig) -> list[F.Column]:
     ]
 
 
-#: Over how many keys rows without a body are spread before a join on the body's key.
+#: Over how many keys rows without a body are spread before a join on the body's key; a power of two.
 SPREAD = 4096
 
 
@@ -85,12 +86,15 @@ def texts(sources: Sources, needed: DataFrame | None = None) -> DataFrame:
     """``(text_key, reference)``: the bodies whose keys are in ``needed``, or all, each once.
 
     Keys decide, before anything is grouped; one shuffle by key serves the choice, the grouping and the
-    caller's join.
+    caller's join. The choice reads all columns of ``needed``: a caller that joins back to the same rows then
+    has the same shuffle, which Spark runs once.
     """
     body = F.col("reference")
     keyed = sources.references.where(body.isNotNull()).select(text.text_key(body).alias("text_key"), body)
     if needed is not None:
-        keyed = keyed.join(needed.select("text_key"), "text_key", "left_semi")
+        key, wanted = F.col("b.text_key"), [F.col(f"n.{c}") for c in needed.columns]
+        same = (key == F.col("n.text_key")) & always(*wanted, key)
+        keyed = keyed.alias("b").join(needed.alias("n"), same, "left_semi")
     return keyed.dropDuplicates(["text_key"])
 
 
@@ -98,14 +102,15 @@ def with_text(df: DataFrame, sources: Sources, most: bool = False) -> DataFrame:
     """Replace ``text_key`` by the body it stands for.
 
     The keys of ``df`` choose the bodies, unless it holds ``most`` of them anyway: then looking for the keys
-    would cost more than it saves.
+    would cost more than it saves. ``df`` is shuffled by key once, for the choice and for the join back.
 
     Most messages have no body. Their missing key, which matches nothing, would be one hot key of the
-    join, so it gets one of many values that no body has.
+    join, so it gets one of many values that no body has. The key is then known not to be null; were it
+    not, Spark would filter one of the two uses and no longer see that they are equal.
     """
-    bodies = texts(sources, None if most else df.where(F.col("text_key").isNotNull()))
-    none = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
+    none = F.concat(F.lit("-"), F.xxhash64(*df.columns).bitwiseAND(SPREAD - 1).cast("string"))
     spread = df.withColumn("text_key", F.coalesce("text_key", none))
+    bodies = texts(sources, None if most else spread)
     return spread.join(bodies, "text_key", "left").drop("text_key")
 
 

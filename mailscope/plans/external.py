@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
 from mailscope.functions.text import any_of, contains
-from mailscope.operators.sharing import read_whole
+from mailscope.operators.sharing import read_columns, read_whole
 from mailscope.plans.topics import distinct_mails, long_topics, topic_sums
 
 CONVERSATION = ["date", "subject"]
@@ -30,13 +32,14 @@ def with_internal_counts(exchange: DataFrame, config: CorpusConfig) -> DataFrame
     return exchange.join(internal_counts(exchange, config), CONVERSATION)
 
 
-def _external(exchange: DataFrame, config: CorpusConfig) -> F.Column:
-    return (F.col("sum_sender") == 0) & (F.col("sum_recipient") == 0)
+def chosen_columns(exchange: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns, all read by every use: counting conversations and taking their rows then share their inputs."""
+    return read_columns(exchange.select(*columns))
 
 
 def external_exchanges(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
     """Rows of conversations without an internal address."""
-    only = internal_counts(exchange, config).where(_external(exchange, config))
+    only = internal_counts(exchange, config).where((F.col("sum_sender") == 0) & (F.col("sum_recipient") == 0))
     return exchange.join(only.select(*CONVERSATION), CONVERSATION, "left_semi")
 
 
@@ -58,10 +61,15 @@ def external_count(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
 
 
 def _company_mails(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Distinct external mails that name the company in subject or body."""
-    named = (F.col("subject_company") == 1) | (F.col("email_company") == 1)
-    outside = external_exchanges(exchange, config).where(named)
-    return distinct_mails(outside, ["date", "year_month", "sender", "recipient", "subject_company"], config)
+    """Distinct external mails that name the company in subject or body.
+
+    Whether they do follows from subject and body, so it is an aggregate of the mail: a condition on it stays above
+    the grouping, and what is below is the same for other uses of the exchanges.
+    """
+    outside = external_exchanges(exchange, config)
+    named = ["subject_company", "email_company"]
+    mails = distinct_mails(outside, ["date", "year_month", "sender", "recipient"], config, named)
+    return mails.where((F.col("subject_company") == 1) | (F.col("email_company") == 1))
 
 
 def external_topics(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -78,15 +86,18 @@ def external_subjects(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
 
     Subjects and sums come from the same grouping by month and subject, so the mails are read once.
     """
-    by = ["year_month", "subject", "subject_company"]
-    subjects = read_whole(topic_sums(_company_mails(exchange, config), by, config), config.topic_sums)
+    mails = _company_mails(exchange, config)
+    sums = topic_sums(mails, ["year_month", "subject"], config, [F.max("subject_company").alias("subject_company")])
+    subjects = read_whole(sums, config.topic_sums)
     months = subjects.groupBy("year_month").agg(*[F.sum(c).alias(c) for c in config.topic_sums])
     topical = months.where(any_of([F.col(c) for c in config.subject_sums]))
-    chosen = subjects.select("year_month", "subject", "subject_company").where(F.col("subject_company") == 1)
-    return chosen.drop("subject_company").join(topical, "year_month")
+    chosen = subjects.where(F.col("subject_company") == 1).select(F.col("year_month").alias("month"), "subject")
+    # Months are never missing; a plain equality would look for missing ones down to the messages, in this use only.
+    return chosen.join(topical, F.col("month").eqNullSafe(F.col("year_month"))).drop("month")
 
 
 def external_subject_overlap(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
     """Internal rows whose subject is among :func:`external_subjects`; one row per month of the subject."""
-    inside = internal_exchanges(exchange, config).select("date", "sender", "recipient", "subject", "text_key")
-    return inside.join(external_subjects(exchange, config), "subject")
+    shown = ["date", "sender", "recipient", "subject", "text_key"]
+    read = chosen_columns(exchange, [*shown, "year_month", "subject_company", "email_company", *config.topic_flags])
+    return internal_exchanges(read, config).select(*shown).join(external_subjects(read, config), "subject")

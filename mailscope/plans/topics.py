@@ -14,13 +14,15 @@ from mailscope.operators.cleaning import month_start
 from mailscope.operators.describe import describe, describe_weighted
 
 
-def distinct_mails(rows: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
-    """Distinct combinations of ``by``, subject and body with their topic flags.
+def distinct_mails(
+    rows: DataFrame, by: Sequence[str], config: CorpusConfig, more_flags: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct combinations of ``by``, subject and body with their topic flags, and ``more_flags`` of the kind.
 
     Bodies stay out: their key tells them apart. The flags depend on subject and body alone, so they are
     picked up by an aggregate rather than grouped by; where nobody reads them, no text is searched.
     """
-    flags = [F.max(flag).alias(flag) for flag in config.topic_flags]
+    flags = [F.max(flag).alias(flag) for flag in [*config.topic_flags, *more_flags]]
     return rows.groupBy(*by, "subject", "text_key").agg(*flags)
 
 
@@ -36,10 +38,12 @@ def topic_mails(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFra
     )
 
 
-def topic_sums(mails: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
-    """Mails per topic and group; the sum over nothing but NULLs is 0."""
+def topic_sums(
+    mails: DataFrame, by: Sequence[str], config: CorpusConfig, more: Sequence[F.Column] = ()
+) -> DataFrame:
+    """Mails per topic and group, and ``more`` aggregates; the sum over nothing but NULLs is 0."""
     sums = [F.coalesce(F.sum(flag), F.lit(0)).alias(f"sum_{flag}") for flag in config.topic_flags]
-    return mails.groupBy(*by).agg(*sums)
+    return mails.groupBy(*by).agg(*sums, *more)
 
 
 def any_topic(config: CorpusConfig) -> F.Column:

@@ -178,6 +178,16 @@ def test_large_tables_are_scanned_once(spark, name):
     assert scans(catalog.queries()[name](spark, SF_DIR))["lineitem"] == 1
 
 
+@pytest.mark.parametrize(
+    "name", ["topic_flags_received", "person_mails_received", "external_exchanges", "internal_exchanges",
+             "external_subject_overlap", "first_exchanges"]
+)
+def test_bodies_join_rows_that_are_computed_once(spark, name):
+    """Bodies are read once for what is derived from them and once for their text; everything else once."""
+    found = scans(catalog.queries()[name](spark, SF_DIR.replace("0.001", "0.01")))
+    assert (found["lineitem"], found["orders"], found["documents"]) == (1, 1, 2)
+
+
 def test_a_second_scan_is_seen(spark):
     sources, table = catalog._testbed(spark, SF_DIR)
     again = sources.recipients.agg(F.count("*").alias("n")).select("n", F.lit("x").alias("sender"))
