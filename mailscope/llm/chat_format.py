@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailscope.llm.batches import map_batches
 from mailscope.llm.prefix import hashed_shifts, total_before
 from mailscope.llm.scratch import materialise
 from mailscope.llm.template import Rendered, Template, unescape, unline
@@ -156,7 +157,7 @@ def format_conversations(conversations: DataFrame, template: Template = CHAT, la
         if done:
             yield _batch(done)
 
-    formatted = [part.mapInArrow(run, _FORMATTED) for part in parts]
+    formatted = [map_batches(part, run, _FORMATTED) for part in parts]
     return formatted[0] if len(formatted) == 1 else formatted[0].union(formatted[1])
 
 
@@ -223,7 +224,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     one, more = formatted.where("blocks = 1"), formatted.where("blocks > 1")
     keyed = more.select("*", *_conversation(F.col("conv_id")))
     more = keyed.repartition(*key).sortWithinPartitions(*key, "block").drop(*key)
-    return one.mapInArrow(run, _DIGESTS).union(more.mapInArrow(run, _DIGESTS))
+    return map_batches(one, run, _DIGESTS).union(map_batches(more, run, _DIGESTS))
 
 
 def format_and_digest(conversations: DataFrame) -> DataFrame:

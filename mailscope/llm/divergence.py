@@ -24,6 +24,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mailscope.llm.batches import map_batches
 from mailscope.llm.scratch import materialise, scratch_path
 
 #: One of so many terms, by hash, is counted to tell how many there are.
@@ -76,7 +77,7 @@ def count_of_terms(documents: DataFrame) -> int:
                     seen.clear()
             yield chosen(seen)
 
-    found = _read(documents).select("lang", "text").mapInArrow(run, "lang string, term binary")
+    found = map_batches(_read(documents).select("lang", "text"), run, "lang string, term binary")
     return found.distinct().count() * EVERY
 
 
@@ -123,7 +124,7 @@ def cells(documents: DataFrame, count: int) -> DataFrame:
         columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(places, pa.int32())]
         return pa.RecordBatch.from_arrays([*columns, _lists(b"".join(parts), np.concatenate(lengths), sizes)], names=names)
 
-    return _read(documents).select("lang", "source", "text").mapInArrow(run, "lang string, source string, cell int, terms array<string>")
+    return map_batches(_read(documents), run, "lang string, source string, cell int, terms array<string>")
 
 
 def _cell_sums(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFrame:

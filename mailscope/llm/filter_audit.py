@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailscope.llm.batches import map_batches
 from mailscope.llm.scratch import materialise
 
 #: Parts whose rows are put out together.
@@ -197,7 +198,7 @@ def failures(documents: DataFrame, filters: Sequence[Filter] = FILTERS) -> DataF
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "mask", "t1", "t2"])
 
     part = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part")
-    return documents.select(F.col("doc_id").cast("long"), part, "text").mapInArrow(run, kind)
+    return map_batches(documents.select(F.col("doc_id").cast("long"), part, "text"), run, kind)
 
 
 def mask_counts(documents: DataFrame, labels: DataFrame, filters: Sequence[Filter] = FILTERS) -> DataFrame:

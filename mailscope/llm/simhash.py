@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailscope.llm.batches import map_batches
 from mailscope.llm.components import components
 from mailscope.llm.rows import row_digest
 from mailscope.llm.scratch import materialise
@@ -71,7 +72,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3, carried: Sequence[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], names=names)
 
     chosen = documents.select("text", F.col("doc_id").cast("long"), *carried)
-    return chosen.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    return map_batches(chosen, run, ", ".join(f"{name} long" for name in names))
 
 
 def _rotated(fp: Column, segment: int) -> Column:
