@@ -137,6 +137,9 @@ def _analyses() -> dict[str, Analysis]:
         "profile_message_numbers": lambda x, t, c: profile.numeric_profile(t.messages, ["mid"]),
         "profile_recipient_numbers": lambda x, t, c: profile.numeric_profile(t.recipients, ["mid"]),
         "profile_reference_numbers": lambda x, t, c: profile.numeric_profile(t.references, ["rfid", "mid"]),
+        "profile_ratio_numbers": lambda x, t, c: profile.numeric_profile(
+            activity.sent_ratio(x), ["nb_send", "nb_sender_per_gp", "ratio_nb_email"]
+        ),
         "profile_message_dates": lambda x, t, c: profile.date_profile(t.messages, "date"),
         "profile_categories": lambda x, t, c: profile.category_profile(t.messages, ["sender", "subject"]),
         "profile_recipient_categories": lambda x, t, c: profile.category_profile(t.recipients, ["rtype", "rvalue"]),

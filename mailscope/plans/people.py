@@ -16,11 +16,16 @@ def person_column(side: str) -> str:
     return f"email_label_{side}"
 
 
+def person_label(side: str, config: CorpusConfig) -> F.Column:
+    """The label of a row's address if it is on the shortlist, NULL otherwise; an address without one is its own."""
+    label = relabel(F.col(side), config.persons.get(side, {}))
+    return F.when(contains(F.col(side), config.person_shortlist), label)
+
+
 def person_mails(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:
-    """Distinct mails of the shortlist, with the person's label; an unlisted address is its own label."""
+    """Distinct mails of the shortlist, with the person's label; an address without one is its own."""
     listed = exchange.where(contains(F.col(side), config.person_shortlist))
-    label = relabel(F.col(side), config.persons.get(side, {}))
-    return topic_mails(listed, side, config).withColumn(person_column(side), label)
+    return topic_mails(listed, side, config).withColumn(person_column(side), person_label(side, config))
 
 
 def person_year_stats(exchange: DataFrame, side: str, config: CorpusConfig) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from mailscope.config import CorpusConfig
 from mailscope.operators.aliases import ALIAS_COLUMNS, alias_counts, same_address
 from mailscope.operators.cleaning import clean_employees, clean_messages, complete_messages
-from mailscope.operators.quantiles import exact_quantiles
-from mailscope.plans.exchange import build_exchange
-from mailscope.plans.people import person_column, person_mails
+from mailscope.operators.quantiles import column_quantiles
+from mailscope.plans.people import person_label
 from mailscope.sources.tables import Sources
 
 
@@ -59,19 +58,18 @@ def all_missing_values(sources: Sources) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Range, mean and exact quartiles of whole-number columns, identifiers included."""
-    parts = []
-    for column in columns:
-        quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75)).toDF("q1", "median", "q3")
-        simple = df.agg(
-            F.count(column).alias("n"),
-            F.count_if(F.col(column).isNull()).alias("n_missing"),
-            F.min(column).cast("double").alias("min"),
-            F.avg(column).alias("mean"),
-            F.max(column).cast("double").alias("max"),
-        )
-        parts += [part.withColumn("column", F.lit(column)) for part in (simple, quartiles)]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """Range, mean and exact quartiles of numeric columns, identifiers and fractions included.
+
+    One pass for the simple figures of all columns, one per level of the quantiles.
+    """
+    figures = {
+        "n": F.count, "n_missing": lambda c: F.count_if(F.col(c).isNull()), "min": lambda c: F.min(c).cast("double"),
+        "mean": lambda c: F.avg(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
+    }
+    wide = df.agg(*[F.struct(*[f(c).alias(name) for name, f in figures.items()]).alias(c) for c in columns])
+    simple = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), f"{c}.*") for c in columns])))
+    quartiles = column_quantiles(df, columns, (0.25, 0.5, 0.75)).toDF("column", "q1", "median", "q3")
+    both = simple.unionByName(quartiles, allowMissingColumns=True)
     shown = ("n", "n_missing", "min", "q1", "median", "mean", "q3", "max")
     return both.groupBy("column").agg(*[F.max(c).alias(c) for c in shown])
 
@@ -188,25 +186,63 @@ def incomplete_rows(sources: Sources, config: CorpusConfig) -> DataFrame:
     return joined(sources, config).where(missing).select("mid", "rtype", "rvalue", "sender", "date", "subject", "reference")
 
 
+def _lookups(employees: DataFrame, config: CorpusConfig) -> DataFrame:
+    """``(address, copies)``: how many rows a lookup of the status makes of one with this address."""
+    aliases = alias_counts(clean_employees(employees, config), config, ("email_id", "email3"))
+    copies = F.greatest("n_email_id", F.lit(1)) * F.greatest("n_email3", F.lit(1))
+    return aliases.select("address", copies.alias("copies"))
+
+
 def row_preservation(sources: Sources, config: CorpusConfig) -> DataFrame:
-    """Rows before and after each joining step."""
-    complete = complete_messages(joined(sources, config))
-    steps = {
-        "message_join": (sources.recipients, joined(sources, config)),
-        "status_lookup": (complete, build_exchange(sources, config)),
+    """Rows before and after each joining step, worked out without joining.
+
+    A join on ``mid`` makes, of each ``mid``, the product of its rows on both sides (a left join keeps rows that match
+    nothing). So each source is counted per ``mid``, rows weighing as many as their status lookup makes of them; the
+    counts meet in one grouping, and the steps are sums of products. Each source is read once. A missing ``mid`` matches
+    nothing.
+    """
+    lookups = _lookups(sources.employees, config)
+
+    def weighed(df: DataFrame, address: str) -> DataFrame:
+        found = df.join(lookups, same_address(F.col(address), F.col("address"), config), "left")
+        return found.withColumn("copies", F.coalesce("copies", F.lit(1)))
+
+    def counted(df: DataFrame, **counts: F.Column) -> DataFrame:
+        names = ("received", "received_copies", "sent", "complete", "sent_copies", "bodies")
+        return df.select("mid", *[counts.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+    one = F.lit(1)
+    whole = (F.col("sender").isNotNull() & F.col("subject").isNotNull() & F.col("date").isNotNull()).cast("int")
+    received = weighed(sources.recipients.select("mid", "rvalue"), "rvalue")
+    sent = weighed(clean_messages(sources.messages, config), "sender")
+    sides = [
+        counted(received, received=one, received_copies=F.col("copies")),
+        counted(sent, sent=one, complete=whole, sent_copies=whole * F.col("copies")),
+        counted(sources.references, bodies=one),
+    ]
+    long = reduce(DataFrame.unionAll, sides)
+    of_mid = long.groupBy("mid").agg(*[F.sum(c).alias(c) for c in long.columns[1:]])
+    known = F.col("mid").isNotNull()
+
+    def matching(column: str, least: int) -> F.Column:
+        return F.when(known, F.greatest(F.col(column), F.lit(least))).otherwise(least)
+
+    bodies = matching("bodies", 1)
+    rows = {
+        "received": F.col("received"),
+        "joined": F.col("received") * matching("sent", 1) * bodies,
+        "complete": F.col("received") * matching("complete", 0) * bodies,
+        "looked_up": F.col("received_copies") * matching("sent_copies", 0) * bodies,
     }
-    parts = []
-    for step, (before, after) in steps.items():
-        sizes = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
-            after.select(F.lit(0).alias("b"), F.lit(1).alias("a"))
-        )
-        parts.append(
-            sizes.agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after")).select(
-                F.lit(step).alias("step"), "rows_before", "rows_after",
-                (F.col("rows_before") == F.col("rows_after")).alias("preserved"),
-            )
+    totals = of_mid.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in rows.items()])
+    steps = [("message_join", "received", "joined"), ("status_lookup", "complete", "looked_up")]
+    return totals.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(step).alias("step"), F.col(before).alias("rows_before"), F.col(after).alias("rows_after"),
+            (F.col(before) == F.col(after)).alias("preserved"),
         )
-    return reduce(DataFrame.unionByName, parts)
+        for step, before, after in steps
+    ])))
 
 
 def text_period(sources: Sources, config: CorpusConfig) -> DataFrame:
@@ -248,18 +284,23 @@ def match_counts(sources: Sources, config: CorpusConfig) -> DataFrame:
 
 
 def selector_values(exchange: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Choices offered to a reader: statuses, persons, and first and last month, per side."""
-    parts = []
-    for side in ("sender", "recipient"):
-        statuses = exchange.select(F.col(f"status_{side}").alias("value"))
-        persons = person_mails(exchange, side, config).select(F.col(person_column(side)).alias("value"))
-        for kind, values in (("status", statuses), ("person", persons)):
-            chosen = values.where(F.col("value").isNotNull()).distinct()
-            parts.append(chosen.select(F.lit(f"{kind}_{side}").alias("selector"), "value"))
-    months = exchange.agg(F.min("year_month").alias("first_month"), F.max("year_month").alias("last_month"))
-    parts.append(
-        months.select(*[F.col(c).cast("string").alias(c) for c in months.columns]).unpivot(
-            [], ["first_month", "last_month"], "selector", "value"
-        )
-    )
-    return reduce(DataFrame.unionByName, parts).orderBy("selector", "value")
+    """Choices offered to a reader: statuses, persons, and first and last month, per side.
+
+    All selectors are expanded in one pass, and map tasks already leave few values of each; a missing month
+    stands for a table without rows.
+    """
+    values = {f"status_{side}": F.col(f"status_{side}") for side in ("sender", "recipient")}
+    values |= {f"person_{side}": person_label(side, config) for side in ("sender", "recipient")}
+    wide = exchange.select(*[v.alias(name) for name, v in values.items()], F.col("year_month").cast("string").alias("month"))
+    long = wide.unpivot([], [*values, "month"], "selector", "value").where(F.col("value").isNotNull()).distinct()
+    none = exchange.sparkSession.range(1).select(F.lit("month"), F.lit(None).cast("string"))
+    month = F.col("selector") == "month"
+    groups = long.unionAll(none).groupBy("selector", F.when(~month, F.col("value")).alias("choice"))
+    bounds = groups.agg(F.min("value").alias("first"), F.max("value").alias("last"))
+
+    def rows(**named: F.Column) -> F.Column:
+        return F.array(*[F.struct(F.lit(n).alias("selector"), v.alias("value")) for n, v in named.items()])
+
+    choice = F.array(F.struct("selector", F.col("choice").alias("value")))
+    months = rows(first_month=F.col("first"), last_month=F.col("last"))
+    return bounds.select(F.inline(F.when(month, months).otherwise(choice))).orderBy("selector", "value")

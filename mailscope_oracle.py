@@ -466,14 +466,15 @@ def _categories(table: str, columns: list[str], k: int) -> str:
     )
 
 
-def _numbers(table: str, columns: list[str]) -> str:
+def _numbers(table: str, columns: list[str], **ctes: str) -> str:
     return _query(
         " UNION ALL ".join(
             f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_missing, min({c})::DOUBLE AS min,
             {_r(f'quantile_cont({c}, 0.25)')} AS q1, {_r(f'quantile_cont({c}, 0.5)')} AS median, {_r(f'avg({c})')} AS mean,
             {_r(f'quantile_cont({c}, 0.75)')} AS q3, max({c})::DOUBLE AS max FROM {table}"""
             for c in columns
-        )
+        ),
+        **ctes,
     )
 
 
@@ -687,6 +688,7 @@ def _single_statements() -> dict[str, str]:
         "profile_employee_categories": _categories("employees", ["first_name", "last_name", "email_id", "email3", "folder"], 6),
         "profile_message_id_categories": _categories("messages", ["message_id"], 6),
         "profile_employee_numbers": _numbers("employees", ["eid"]),
+        "profile_ratio_numbers": _numbers("ratio", ["nb_send", "nb_sender_per_gp", "ratio_nb_email"], **_ratio("sender")),
         "profile_message_numbers": _numbers("messages", ["mid"]),
         "profile_recipient_numbers": _numbers("recipients", ["mid"]),
         "profile_reference_numbers": _numbers("refs", ["rfid", "mid"]),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailscope.operators.cleaning import clean_employees
@@ -96,6 +98,34 @@ def test_repeated_aliases_repeat_rows(corpus, config):
     }
 
 
+@pytest.mark.parametrize("match_blank", [False, True])
+def test_row_counts_without_joining(spark, corpus, config, match_blank):
+    """Counts worked out from multiplicities are those of the joins, with repeats, blanks and missing values."""
+    pick = random.Random(5)
+    address = lambda: pick.choice(["a@x", "b@x", "c@x", "", None, "z@x"])
+    mid = lambda: pick.choice([1, 2, 3, 4, None])
+    day = lambda: pick.choice(["2000-01-01", "2001-05-05", "1990-01-01", None])
+    sources = corpus(
+        staff=[(address(), address(), "CEO") for _ in range(9)],
+        mails=[(mid(), address(), day(), pick.choice(["s", None])) for _ in range(30)],
+        recipients=[(mid(), "TO", address()) for _ in range(25)],
+        bodies=[(mid(), "text") for _ in range(8)],
+    )
+    config = dataclasses.replace(config, match_blank=match_blank)
+    whole = profile.joined(sources, config)
+    complete = whole.dropna(subset=["sender", "subject", "date"]).count()
+    looked_up = build_exchange(sources, config).count()
+    assert rows(profile.row_preservation(sources, config)) == [
+        ("message_join", 25, whole.count(), False), ("status_lookup", complete, looked_up, False)
+    ]
+    assert looked_up > complete > 0
+
+
+def test_selectors_of_nothing(corpus, config):
+    table = build_exchange(corpus(mails=[], recipients=[]), config)
+    assert rows(profile.selector_values(table, config)) == [("first_month", None), ("last_month", None)]
+
+
 def test_repeated_bodies_repeat_rows(corpus, config):
     sources = corpus(mails=[(1, "a", "2000-01-01", "s")], recipients=[(1, "TO", "b")], bodies=[(1, "x"), (1, "y")])
     assert rows(build_exchange(sources, config), "reference") == [("x",), ("y",)]

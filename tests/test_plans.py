@@ -188,6 +188,20 @@ def test_bodies_join_rows_that_are_computed_once(spark, name):
     assert (found["lineitem"], found["orders"], found["documents"]) == (1, 1, 2)
 
 
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("profile_row_preservation", {"lineitem": 1, "orders": 1, "documents": 1, "customer": 1}),
+        ("profile_selectors", {"lineitem": 1, "orders": 1, "documents": 1, "customer": 2}),
+        ("profile_message_numbers", {"orders": 5}),
+        ("profile_reference_numbers", {"documents": 5}),
+    ],
+)
+def test_profiles_scan_a_table_once_per_pass(spark, name, expected):
+    """The staff list is looked up under two aliases; quantiles take four passes after that of the simple figures."""
+    assert scans(catalog.queries()[name](spark, SF_DIR)) == expected
+
+
 def test_a_second_scan_is_seen(spark):
     sources, table = catalog._testbed(spark, SF_DIR)
     again = sources.recipients.agg(F.count("*").alias("n")).select("n", F.lit("x").alias("sender"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from mailscope.functions.distributions import f_upper_tail, log_gamma, t_two_sided
 from mailscope.operators.density import density
 from mailscope.operators.describe import box_statistics, describe, describe_many, describe_weighted
-from mailscope.operators.quantiles import exact_quantiles
+from mailscope.operators.quantiles import column_quantiles, exact_quantiles, grouped_quantiles, order_key
 from mailscope.operators.significance import anova, group_moments, pairwise_t, weighted_moments, welch_t
 from tests.conftest import rows
 
@@ -187,6 +189,75 @@ def test_tests_of_flat_and_empty_groups_are_null(spark, values):
     assert all(r.t is None and r.p is None for r in welch_t(moments, "a").collect())
 
 
-def test_quantiles_of_fractions_are_refused(spark):
+SHARES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+ODD = [
+    0.0, -0.0, 1.5, -1.5, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308,
+    math.inf, -math.inf, math.nan, 0.1, 0.1 + 2**-56, 1 - 2**-53, 1.0, 1 + 2**-52, 2.0, 2**52 + 0.5, -1e-310, 1e22, math.pi,
+]
+
+
+def test_keys_of_doubles_sort_as_they_do(spark):
+    pick = random.Random(1)
+    drawn = [struct.unpack("<d", struct.pack("<Q", pick.getrandbits(64)))[0] for _ in range(5000)]
+    values = ODD + drawn + [2.0**e * f for e in range(-1074, 1024) for f in (1.0, 1 - 2**-53, 1.5)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    keys = df.select("x", order_key(F.col("x"), df.schema["x"].dataType).alias("key")).collect()
+    ordered = sorted(keys, key=lambda r: r.key)
+    for a, b in zip(ordered, ordered[1:]):
+        if math.isnan(b.x):
+            continue
+        assert a.x < b.x if a.key < b.key else a.x == b.x
+    assert math.isnan(ordered[-1].x)
+
+
+@pytest.mark.parametrize("values", [[1.5], [0.1, 0.2, 0.4], [v for v in ODD if math.isfinite(v)], [1 / n for n in range(1, 3000)]])
+def test_exact_quantiles_of_fractions(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    expected = df.agg(F.percentile("x", F.array(*map(F.lit, SHARES)))).first()[0]
+    assert list(exact_quantiles(df, "x", SHARES).first()) == expected
+
+
+def test_quantiles_of_columns_of_several_types(spark):
+    df = spark.range(-500, 1500).selectExpr(
+        "id", "cast(id / 7 as decimal(18, 6)) AS d", "cast(id * id % 301 as smallint) AS s", "cast(id / 3 as float) AS f",
+        "date_add(date'2000-01-01', cast(id % 50 as int)) AS day",
+    )
+    columns = ["id", "d", "s", "f", "day"]
+    found = {r["column"]: list(r)[1:] for r in column_quantiles(df, columns, SHARES).collect()}
+    for c in columns:
+        x = F.unix_date(c) if c == "day" else F.col(c).cast("double")
+        assert found[c] == pytest.approx(df.agg(F.percentile(x, F.array(*map(F.lit, SHARES)))).first()[0])
     with pytest.raises(TypeError):
-        exact_quantiles(spark.createDataFrame([(1.5,)], "x double"), "x", [0.5])
+        exact_quantiles(spark.range(1).selectExpr("cast(id as decimal(38, 10)) AS x"), "x", [0.5])
+
+
+def test_grouped_quantiles(spark):
+    df = spark.range(20_000).selectExpr(
+        "nullif(id % 7, 6) AS g", "if(id % 11 = 0, null, (id * 7919 % 10007) / 8) AS v", "id % 4 AS w"
+    )
+    shares = F.array(*map(F.lit, SHARES))
+    for weight in (None, "w"):
+        exact = F.percentile("v", shares) if weight is None else F.percentile("v", shares, F.col("w"))
+        expected = {r.g: r.q for r in df.groupBy("g").agg(exact.alias("q")).collect()}
+        found = {r.g: list(r)[1:] for r in grouped_quantiles(df, ["g"], "v", SHARES, weight).collect()}
+        assert found == expected and None in found
+
+
+def test_quantiles_hold_no_group_in_one_task(spark):
+    """A hot group of ten million distinct values: no task reads as many rows as it has, nor a tenth of them."""
+    from pyspark.sql.functions import spark_partition_id
+
+    df = spark.range(0, 10_500_000, numPartitions=8).selectExpr("if(id % 21 = 0, 'cold', 'hot') AS g", "id * 2.5D AS v")
+    live = grouped_quantiles(df, ["g"], "v", (0.25, 0.5))
+    found = {r.g: (r.q0, r.q1) for r in live.collect()}
+    kept = [i for i in range(0, 10_500_000, 21)]
+    assert found["cold"] == (kept[len(kept) // 4 - 1] * 2.5 * 0.25 + kept[len(kept) // 4] * 2.5 * 0.75, sum(kept[len(kept) // 2 - 1 : len(kept) // 2 + 1]) * 1.25)
+    position = (10_000_000 - 1) / 2
+    low, high = (int(position) // 20 * 21 + int(position) % 20 + 1, (int(position) + 1) // 20 * 21 + (int(position) + 1) % 20 + 1)
+    assert found["hot"][1] == (low + high) * 1.25
+    first = df.select("g", order_key(F.col("v"), df.schema["v"].dataType).alias("_key")).groupBy(
+        "g", F.shiftright("_key", 48), spark_partition_id()
+    ).count()
+    assert first.count() < 10_000  # what leaves the map tasks of the first level
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "percentile" not in plan
