@@ -3,8 +3,9 @@
 Each rule looks at one figure of a text and votes good or bad where the figure is clear, else it abstains. Nobody
 says how far a rule can be trusted: expectation-maximisation estimates, for each rule, how often it votes good on
 good texts and bad on bad ones, from how the rules agree. The posterior probability of quality takes the place of
-"all rules must pass". All work on texts is Spark expressions. The model is fitted on counts of vote patterns, at
-most 3 ** rules rows however large the corpus is; a step of the fit is one aggregation over them.
+"all rules must pass": a bad vote of a rule that is found to accuse good texts is outweighed, one of a rule that does not
+decides. All work on texts is Spark expressions. The model is fitted on counts of vote patterns, at most 3 ** rules rows
+however large the corpus is; a step of the fit is one aggregation over them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
 
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows found twice or more, from the windows' hashes and places, sorted."""
     windows = F.transform(
@@ -111,6 +110,9 @@ RULES = (
     Rule("sentence_ends", "n_ends", "n_words", 0.25, 0.5),
     Rule("words_without_letters", "n_bare", "n_words", 0.1, 0.25),
     Rule("sign_runs", "n_marked", "n_words", 0.1, 0.3),
+    # Signs of lists and of lost line breaks, but good texts have them too.
+    Rule("short_lines", "n_words", "n_lines", 12, 5),
+    Rule("long_lines", "n_words", "n_lines", 60, 120),
 )
 
 
@@ -130,24 +132,28 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-#: Rules are made to leave good texts alone: most texts are good, a rule hardly ever accuses a good one, and sees only
-#: its own fault in a bad one. From there the fit moves to what the votes say, but for the first number's bound.
-MAX_FALSE_ALARM, START_PRIOR, START_BAD = 0.01, 0.9, 0.2
+#: Bounds of a rule's share of bad votes as the fit starts from it.
+RAREST, MOST = 1e-6, 0.5
 
 
-def _start(rules: int) -> VoteModel:
-    return VoteModel(START_PRIOR, (1 - MAX_FALSE_ALARM / 10,) * rules, (START_BAD,) * rules)
+def _start(shares: Sequence[float]) -> VoteModel:
+    """Where the fit starts, from each rule's share of bad votes: the rarer a rule's accusations, the more they are
+    taken to be true and the more bad texts it is taken to miss, since it sees only its own fault."""
+    shares = [min(max(s, RAREST), MOST) for s in shares]
+    good, bad = (tuple(f(s) for s in shares) for f in (lambda s: 1 - s * s / 4, lambda s: max(math.sqrt(s), 0.05)))
+    return VoteModel(1 - sum(shares) / max(1, len(shares)), good, bad)
 
 
 def fit(patterns: DataFrame, names: Sequence[str], steps: int = 60, settled: float = 1e-5) -> VoteModel:
     """Expectation-maximisation over `patterns`: a vote column per name and `n`, how many texts vote so.
 
-    Each step adds one text's worth of doubt to every count, so an estimate is never 0 or 1, and rules that nobody
-    contradicts stay near where they started. With no rows the starting values are the result. A rule's votes against
-    good texts stay within `MAX_FALSE_ALARM`, and a bad vote never speaks for quality.
+    Both accuracies of every rule are free; each step adds one text's worth of the starting values to every count, so that
+    an estimate is never 0 or 1. A bad vote never speaks for quality. With no rows the starting values are the result.
     """
-    model = _start(len(names))
     n = F.col("n").cast("double")
+    shares = [F.try_divide(F.sum(F.when(F.col(c) == 0, n)), F.sum(F.when(F.col(c).isNotNull(), n))) for c in names]
+    votes = patterns.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{r}") for r, s in enumerate(shares)]).first()
+    model = start = _start(votes)
     for _ in range(steps):
         good = model.posterior([F.col(c) for c in names])
         sums = [F.sum(n).alias("all"), F.sum(n * good).alias("good")]
@@ -158,13 +164,12 @@ def fit(patterns: DataFrame, names: Sequence[str], steps: int = 60, settled: flo
         found = patterns.agg(*sums).first()
         if not found["all"]:
             return model
-        start = _start(len(names))
         new_good, new_bad = [], []
         for r in range(len(names)):
             g = (found[f"g{r}1"] + start.good[r]) / (found[f"g{r}0"] + found[f"g{r}1"] + 1)
             b = (found[f"b{r}0"] + start.bad[r]) / (found[f"b{r}0"] + found[f"b{r}1"] + 1)
-            new_good.append(max(g, 1 - MAX_FALSE_ALARM))
-            new_bad.append(max(b, 1 - new_good[-1] + 1e-6))
+            new_good.append(g)
+            new_bad.append(max(b, 1 - g + 1e-6))
         after = VoteModel((found["good"] + start.prior) / (found["all"] + 1), tuple(new_good), tuple(new_bad))
         change = max(abs(x - y) for x, y in zip((after.prior, *after.good, *after.bad), (model.prior, *model.good, *model.bad)))
         model = after

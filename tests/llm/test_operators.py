@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -412,7 +413,8 @@ def test_measures(spark, table):
 
 
 def brute_fit(patterns, names):
-    model = quality._start(len(names))
+    shares = [sum(n for v, n in patterns if v[r] == 0) / sum(n for v, n in patterns if v[r] is not None) for r in range(len(names))]
+    model = start = quality._start(shares)
     for _ in range(60):
         total = good = 0.0
         counts = [[[0.0, 0.0], [0.0, 0.0]] for _ in names]
@@ -426,8 +428,7 @@ def brute_fit(patterns, names):
                 if v is not None:
                     c[0][v] += n * p
                     c[1][v] += n * (1 - p)
-        start = quality._start(len(names))
-        g = [max((c[0][1] + s) / (sum(c[0]) + 1), 1 - quality.MAX_FALSE_ALARM) for c, s in zip(counts, start.good)]
+        g = [(c[0][1] + s) / (sum(c[0]) + 1) for c, s in zip(counts, start.good)]
         b = [max((c[1][0] + s) / (sum(c[1]) + 1), 1 - x + 1e-6) for c, s, x in zip(counts, start.bad, g)]
         model = quality.VoteModel((good + start.prior) / (total + 1), tuple(g), tuple(b))
     return model
@@ -438,7 +439,38 @@ def test_fit(spark):
     df = spark.createDataFrame([(*v, n) for v, n in patterns], "a int, b int, c int, n long")
     got, want = quality.fit(df, "abc", settled=0.0), brute_fit(patterns, "abc")
     assert got.prior == pytest.approx(want.prior) and got.good == pytest.approx(want.good) and got.bad == pytest.approx(want.bad)
-    assert quality.fit(df.filter("false"), "abc") == quality._start(3)
+    assert quality.fit(df.filter("false"), "abc") == quality._start([0.0] * 3)
+
+
+@pytest.mark.parametrize(("seed", "prior"), [(1, 0.6), (2, 0.85)])
+def test_fit_recovers_planted_accuracies(spark, seed, prior):
+    pick, texts, rules = np.random.default_rng(seed), 20_000, 6
+    good, bad = np.linspace(0.55, 0.95, rules), np.linspace(0.95, 0.55, rules)
+    truth = pick.random(texts) < prior
+    votes = np.where(pick.random((texts, rules)) < np.where(truth[:, None], good, bad), truth[:, None], ~truth[:, None]).astype(int)
+    votes[pick.random((texts, rules)) < 0.1] = -1
+    counts = collections.Counter(map(tuple, votes.tolist()))
+    names = [f"r{i}" for i in range(rules)]
+    rows = [(*[None if v < 0 else v for v in key], n) for key, n in counts.items()]
+    model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names) + ", n long"), names)
+    assert abs(model.prior - prior) < 0.05
+    assert np.abs(np.array(model.good) - good).max() < 0.05 and np.abs(np.array(model.bad) - bad).max() < 0.05
+    odds = lambda key: math.log(model.prior / (1 - model.prior)) + sum(
+        0 if v < 0 else math.log(g / (1 - b)) if v else math.log((1 - g) / b) for v, g, b in zip(key, model.good, model.bad)
+    )
+    assert odds((0, 1, 1, 1, 1, 1)) > 0  # one bad vote of the poorest rule does not reject
+
+
+def test_one_poor_vote_does_not_reject(spark):
+    """Long lines occur in good texts too: their bad votes do not decide, while any vote of a reliable rule does."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = quality.verdicts(docs).filter("not base_failed").join(docs.select("doc_id", "text"), "doc_id")
+    votes = {rule.name: rule.vote(lambda c: F.col("q")[c]).alias(rule.name) for rule in quality.RULES}
+    rows = found.select("kept", quality.measures(F.col("text")).alias("q")).select("kept", *votes.values()).collect()
+    poor = ("short_lines", "long_lines")
+    accused = [r for r in rows if any(r[p] == 0 for p in poor) and all(r[n] != 0 for n in votes if n not in poor)]
+    assert len(accused) > 50 and all(r.kept for r in accused)
+    assert all(not r.kept for r in rows if any(r[n] == 0 for n in votes if n not in poor))
 
 
 def test_verdicts_follow_labels(spark):
