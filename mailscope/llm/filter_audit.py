@@ -203,12 +203,13 @@ def failures(documents: DataFrame, filters: Sequence[Filter] = FILTERS) -> DataF
 
 def mask_counts(documents: DataFrame, labels: DataFrame, filters: Sequence[Filter] = FILTERS) -> DataFrame:
     """`part`, `mask`, `n`, `good`, `toxic`: documents by part and failures, repeated texts as the highest bit."""
-    text = ["t1", "t2"]
     masked = materialise(failures(documents, filters), "audit-masks")
-    copies = masked.groupBy(*text).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    copies = masked.groupBy("t1", "t2").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    # Keys in a struct: both sides are then shuffled for the join, and a text with very many copies can be split.
+    copies = copies.select(F.struct("t1", "t2").alias("_text"), "_least")
     later = F.coalesce(F.col("doc_id") > F.col("_least"), F.lit(False)).cast("int")
     whole = (F.col("mask") + later * F.lit(1 << len(filters))).alias("mask")
-    judged = masked.join(copies, text, "left").select("doc_id", "part", whole)
+    judged = masked.join(copies, F.struct("t1", "t2") == F.col("_text"), "left").select("doc_id", "part", whole)
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
     )

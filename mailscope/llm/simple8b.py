@@ -184,8 +184,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         if found:
             yield row()
 
-    chosen = documents.select(F.col("doc_id").cast("long"), "text")
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are dealt by their texts, so that no number of them meets in one task.
+    chosen = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_digest"))
+    ordered = chosen.repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest", "text").drop("_digest")
     ordered.mapInArrow(run, BLOCKS).write.parquet(path)
 
 

@@ -60,13 +60,19 @@ class _Known(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.openings = {content[0] for content in added}
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE)
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
         self.spells = _byte_letters()
         self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
         self.newline = self.encode("\n")
 
+    def holds_added(self, text: str) -> bool:
+        """Whether the text may hold a token that the file adds to its vocabulary; such texts go to the library whole."""
+        return any(map(text.__contains__, self.openings)) and self.added.search(text) is not None
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -115,14 +121,14 @@ class _Known(dict):
 
 
 class Encoder:
-    """Ids of texts by one vocabulary file. Strings of special tokens in a text are ordinary text."""
+    """Ids of texts by one vocabulary file, those that the library gives for the whole text."""
 
     def __init__(self, name: str, remembered: int = REMEMBERED):
         self._known = _Known(name, remembered)
 
     def _alone(self, text: str) -> list[int]:
         """Ids of a text in which cuts at single spaces are not enough."""
-        if not text.replace("\n", " ").isprintable() and UNUSUAL.search(text):
+        if self._known.holds_added(text) or not text.replace("\n", " ").isprintable() and UNUSUAL.search(text):
             return self._known.encode(text)
         return list(chain.from_iterable(map(self._spaced, CUT.findall(text))))
 
@@ -171,7 +177,7 @@ class Encoder:
                 odd[len(plain) + len(odd)] = np.array(tail, np.uint32)
             elif (
                 text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, SPACED))
-                or not text.replace("\n", " ").isprintable() and UNUSUAL.search(text)
+                or not text.replace("\n", " ").isprintable() and UNUSUAL.search(text) or self._known.holds_added(text)
             ):
                 odd[len(plain) + len(odd)] = np.array(self._alone(text) + tail, np.uint32)
             else:

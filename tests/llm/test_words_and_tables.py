@@ -63,9 +63,9 @@ def test_ids_are_those_of_whole_texts(monkeypatch, name):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokens.tokenizer_path(name))
-    whole.encode_special_tokens = True
     pick = random.Random(3)
-    texts = ["", " ", "a\nb", "It's.\nThe end", "<|endoftext|> x", "A  B", "x y z", "word " * 400, "l'été, où! ça?"]
+    texts = ["a <|endoftext|> b", "<|EndOfText|>", "<|startoftext|><|endoftext|>\n\tx  ", "<|endoftext|", " <|endoftext|>"]
+    texts += ["", " ", "a\nb", "It's.\nThe end", "<|endoftext|> x", "A  B", "x y z", "word " * 400, "l'été, où! ça?"]
     texts += ["".join(pick.choice("abZé' \n\t!1.,́") for _ in range(pick.randint(0, 16))) for _ in range(1500)]
     monkeypatch.setattr(tokens, "TOGETHER", 500)
     got = list(tokens.Encoder(name, remembered=50).batch([*texts, None], 1))
