@@ -152,6 +152,25 @@ def test_density_covers_one(spark):
     assert sum(r["density"] for r in curve) * step == pytest.approx(1.0, abs=5e-3)
 
 
+def test_density_is_near_the_direct_sum(spark):
+    """Within the stated error, also where a few values lie many bandwidths away from the rest."""
+    pick = random.Random(4)
+    groups = {"a": [pick.randint(0, 30) for _ in range(300)], "b": [pick.gauss(0, 1) for _ in range(200)] + [500.0, 2000.0]}
+    for r in density(frame(spark, {g: list(map(float, v)) for g, v in groups.items()}), "g", "v", points=64).collect():
+        values = groups[r["g"]]
+        n, mean = len(values), sum(values) / len(values)
+        quartiles = [sorted(values)[int(p * (n - 1))] * (1 - p * (n - 1) % 1) + sorted(values)[int(p * (n - 1)) + 1] * (p * (n - 1) % 1) for p in (0.25, 0.75)]
+        deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1))
+        width = 0.9 * min(deviation, (quartiles[1] - quartiles[0]) / 1.34) * n**-0.2
+        direct = sum(math.exp(-0.5 * ((r["x"] - v) / width) ** 2) for v in values) / (n * width * math.sqrt(2 * math.pi))
+        assert abs(r["density"] - direct) <= 1 / (8 * 32**2) / (width * math.sqrt(2 * math.pi)) * 1.01
+
+
+def test_density_puts_no_group_in_order(spark):
+    curve = density(spark.range(1000).selectExpr("id % 2 AS g", "id AS v"), "g", "v")
+    assert "Window" not in curve._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     "values", [[7], [1, 2, 3, 10], [-5, -5, -5, 0, 9, 10**15, 3 * 10**15, None], list(range(0, 700000, 7)), [3] * 50 + [4] * 3]
 )
