@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from mailscope.config import CorpusConfig
 from mailscope.operators.rank import peek
 from mailscope.plans import activity, compare, exchange, external, flow, keywords, people, profile, rank, topics, volume
 from mailscope.sources.tables import Sources
-from mailscope.sources.testbed import TESTBED, testbed_sources
+from mailscope.sources.testbed import TESTBED, testbed_sources, with_blank_addresses
 
 Query = Callable[[SparkSession, str], DataFrame]
 Analysis = Callable[[DataFrame, Sources, CorpusConfig], DataFrame]
@@ -88,6 +89,8 @@ def _analyses() -> dict[str, Analysis]:
         "kpis": lambda x, t, c: volume.kpis(x, c),
         "internal_pairs": lambda x, t, c: volume.internal_pairs(x, c),
         "generic_rows": lambda x, t, c: volume.generic_rows(x, c),
+        "status_pairs": lambda x, t, c: exchange.status_pairs(t, c),
+        "status_pairs_match_blank": lambda x, t, c: exchange.status_pairs(with_blank_addresses(t), replace(c, match_blank=True)),
         "external_share": lambda x, t, c: volume.external_share(x, c),
         "external_count": lambda x, t, c: external.external_count(x, c),
         "conversation_flags": lambda x, t, c: external.with_internal_counts(x, c).select(

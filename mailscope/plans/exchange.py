@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailscope.config import CorpusConfig
 from mailscope.functions import text
-from mailscope.operators.aliases import status_directory, with_status
+from mailscope.operators.aliases import counted_directory, replicated, status_directory, with_status
 from mailscope.operators.cleaning import clean_employees, clean_messages, complete_messages
 from mailscope.operators.sharing import always
 from mailscope.sources.tables import Sources, write_table
@@ -35,11 +35,15 @@ def build_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:
 
     Addresses are looked up as they are and lose their spaces only afterwards, so an address with a
     space has no status.
+
+    Where missing addresses match each other, lookups carry counts, and rows are repeated at the very end.
     """
-    directory = status_directory(clean_employees(sources.employees, config), config)
+    counted = config.match_blank
+    directory = (counted_directory if counted else status_directory)(clean_employees(sources.employees, config), config)
+    copies = {side: f"_copies_{side}" if counted else None for side in SIDES}
 
     sent = complete_messages(clean_messages(sources.messages, config))
-    sent = with_status(sent, "sender", directory, "status_sender", config)
+    sent = with_status(sent, "sender", directory, "status_sender", config, copies["sender"])
     bodies = sources.references.select(F.struct("mid").alias("_body_of"), *_text_columns(config))
     sent = sent.join(bodies, F.struct("mid") == F.col("_body_of"), "left").select(
         "mid",
@@ -58,13 +62,31 @@ def build_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:
         *[t.email_flag for t in config.topics],
         text.flag(F.col("subject"), config.company_pattern).alias("subject_company"),
         "email_company",
+        *([copies["sender"]] if counted else []),
     )
 
     received = with_status(
-        sources.recipients.select("rid", "mid", "rtype", "rvalue"), "rvalue", directory, "status_recipient", config
+        sources.recipients.select("rid", "mid", "rtype", "rvalue"), "rvalue", directory, "status_recipient", config,
+        copies["recipient"],
     ).withColumn("recipient", text.strip_spaces(F.col("rvalue")))
 
-    return received.drop("rvalue").join(sent, "mid").drop("mid")
+    rows = received.drop("rvalue").join(sent, "mid").drop("mid")
+    if not counted:
+        return rows
+    return replicated(rows, F.col(copies["sender"]) * F.col(copies["recipient"]), "rid").drop(*copies.values())
+
+
+def status_pairs(sources: Sources, config: CorpusConfig) -> DataFrame:
+    """Rows of the exchange table per type and pair of statuses, from counts; repeated rows are never written out."""
+    directory = counted_directory(clean_employees(sources.employees, config), config)
+    bodies = sources.references.groupBy(F.struct("mid").alias("_body_of")).agg(F.count("*").alias("_bodies"))
+    sent = complete_messages(clean_messages(sources.messages, config)).select("mid", "sender")
+    sent = with_status(sent, "sender", directory, "status_sender", config, "_copies_sender")
+    sent = sent.join(bodies, F.struct("mid") == F.col("_body_of"), "left")
+    received = sources.recipients.select("mid", "rtype", "rvalue")
+    received = with_status(received, "rvalue", directory, "status_recipient", config, "_copies_recipient")
+    rows = F.col("_copies_sender") * F.col("_copies_recipient") * F.coalesce("_bodies", F.lit(1))
+    return received.join(sent, "mid").groupBy("rtype", "status_sender", "status_recipient").agg(F.sum(rows).alias("n"))
 
 
 def _text_columns(config: CorpusConfig) -> list[F.Column]:

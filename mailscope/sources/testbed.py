@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,16 @@ def testbed_sources(spark: SparkSession, sf_dir: str) -> Sources:
     )
 
 
+def with_blank_addresses(sources: Sources) -> Sources:
+    """The same sources with some blank and missing addresses on both ends."""
+    mid = F.col("mid")
+    sender = F.when(mid % 40 == 7, "").otherwise(F.col("sender"))
+    recipient = F.when((mid % 40 == 3) | (mid % 400 == 7), "").when(mid % 40 == 5, None).otherwise(F.col("rvalue"))
+    return replace(
+        sources, messages=sources.messages.withColumn("sender", sender), recipients=sources.recipients.withColumn("rvalue", recipient)
+    )
+
+
 TESTBED = CorpusConfig(
     internal_pattern="@corp",
     company_pattern="HIGH|URGENT|License",

@@ -675,6 +675,19 @@ def _single_statements() -> dict[str, str]:
                 )
             )
         ),
+        "status_pairs": _query(
+            "SELECT rtype, status_sender, status_recipient, count(*) AS n FROM exchange GROUP BY 1, 2, 3"
+        ),
+        "status_pairs_match_blank": _query(
+            """SELECT rtype, coalesce(sp.known, st.known) AS status_sender, coalesce(rp.known, rt.known) AS status_recipient,
+            count(*) AS n FROM blank_rows b
+            LEFT JOIN staff sp ON b.sender IS NOT DISTINCT FROM sp.email_id
+            LEFT JOIN staff st ON b.sender IS NOT DISTINCT FROM st.email3
+            LEFT JOIN staff rp ON b.rvalue IS NOT DISTINCT FROM rp.email_id
+            LEFT JOIN staff rt ON b.rvalue IS NOT DISTINCT FROM rt.email3 GROUP BY 1, 2, 3""",
+            blank_rows="""SELECT rtype, CASE WHEN mid % 40 = 7 THEN '' ELSE sender END AS sender,
+              CASE WHEN mid % 40 = 3 OR mid % 400 = 7 THEN '' WHEN mid % 40 = 5 THEN NULL ELSE rvalue END AS rvalue FROM complete""",
+        ),
         "profile_missing_values": _query(
             " UNION ALL ".join(
                 f"SELECT count(*) AS n_rows, '{c}' AS \"column\", count(*) - count({c}) AS n_missing FROM employees"

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from mailscope.operators.cleaning import clean_employees
 from mailscope.plans import profile, volume
-from mailscope.plans.exchange import EXCHANGE_COLUMNS, build_exchange, corpus_exchange, texts, with_text
+from mailscope.operators.aliases import replicated
+from mailscope.plans.exchange import (
+    EXCHANGE_COLUMNS, build_exchange, corpus_exchange, status_pairs, texts, with_text,
+)
 from tests.conftest import day, rows
 
 STAFF = [("ann@corp", "a@old", "CEO"), ("bob@corp", "", "Manager"), ("cid@corp", "c@old", "N/A"), ("dan@corp", "", None)]
@@ -121,6 +124,27 @@ def test_row_counts_without_joining(spark, corpus, config, match_blank):
     assert looked_up > complete > 0
 
 
+def test_copies_are_spread(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 5000), (4, 1024), (5, 1025)], "rid long, n long")
+    found = replicated(df, F.col("n"), "rid")
+    assert {r.rid: r["count"] for r in found.groupBy("rid").count().collect()} == {2: 1, 3: 5000, 4: 1024, 5: 1025}
+
+
+@pytest.mark.parametrize("match_blank", [False, True])
+def test_status_pairs_are_those_of_the_rows(corpus, config, match_blank):
+    sources = corpus(
+        staff=[("a@x", "", "CEO"), ("b@x", "", "N/A"), ("", "a@x", "Trader"), ("", "", "CEO"), (None, "c@x", "Manager"), (None, None, "CEO")],
+        mails=[(1, "a@x", "2000-01-01", "s"), (2, "", "2000-01-01", "s"), (3, "q@x", "2000-01-01", "s")],
+        recipients=[(m, t, a) for m in (1, 2, 3) for t in ("TO", "CC") for a in ("a@x", "", None, "c@x", "z@x")],
+        bodies=[(2, "x"), (2, "y")],
+    )
+    config = dataclasses.replace(config, match_blank=match_blank)
+    table = build_exchange(sources, config)
+    by = ["rtype", "status_sender", "status_recipient"]
+    assert rows(status_pairs(sources, config), *by, "n") == rows(table.groupBy(*by).agg(F.count("*").alias("n")), *by, "n")
+    assert (table.count() > 100) == match_blank
+
+
 def test_selectors_of_nothing(corpus, config):
     table = build_exchange(corpus(mails=[], recipients=[]), config)
     assert rows(profile.selector_values(table, config)) == [("first_month", None), ("last_month", None)]

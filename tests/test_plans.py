@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from mailscope import catalog
 from mailscope.plans import activity, external, keywords, rank, volume
-from mailscope.plans.exchange import build_exchange, corpus_exchange, save_exchange, saved_exchange
+from mailscope.plans.exchange import build_exchange, corpus_exchange, save_exchange, saved_exchange, status_pairs
 from mailscope.sources.tables import Sources, load_sources, write_table
 from tests.conftest import SF_DIR, rows
 
@@ -116,6 +117,20 @@ def test_hot_message_sender_and_recipient_are_split(spark, config):
     assert plan.count("isSkew=true") + plan.count("skew=true") >= 3
 
 
+def test_blank_address_is_split(spark, config):
+    """Half of all aliases and a third of all recipients are blank and match each other."""
+    with settings(spark, **SHUFFLED):
+        sources = hot_sources(spark)
+        blank = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("r"), F.col("id")))
+        recipients = spark.range(60000, numPartitions=4).select(
+            F.col("id").alias("rid"), (F.col("id") % 30000).alias("mid"), F.lit("TO").alias("rtype"), blank.alias("rvalue")
+        )
+        df = status_pairs(replace(sources, recipients=recipients), replace(config, match_blank=True))
+        assert "skew=true" in final_plan(df)
+        # 10,000 of the blank recipients' messages are there twice; each meets 5,000 blank aliases.
+        assert sum(r["n"] for r in df.collect()) == 40_000 + 20_000 * 5_000
+
+
 def test_hot_conversation_is_split(spark, config):
     with settings(spark, **SHUFFLED):
         one = F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("subject "), F.col("id")))
