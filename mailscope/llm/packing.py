@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailscope.llm.batches import map_batches
 from mailscope.llm.tokens import encoder
 
 #: Examples in a partition's pool, and rows taken from Spark at a time.
@@ -70,7 +71,8 @@ class Piece:
 
 
 class Pool:
-    """Pieces by demand; equal demands share an entry, so a choice looks at each demand once."""
+    """Pieces by demand; equal demands share an entry, so a choice looks at each demand once, and at those in the pool only:
+    the last entry takes the place of one that is used up."""
 
     def __init__(self) -> None:
         self._slot: dict[tuple[int, int], int] = {}
@@ -96,7 +98,7 @@ class Pool:
         Every piece takes one segment, so segments bear on whether a piece fits, not on which."""
         used = len(self._stacks)
         tokens, loss = self._tokens[:used], self._loss[:used]
-        fits = np.flatnonzero((self._count[:used] > 0) & (tokens <= left[0]) & (loss <= left[1]))
+        fits = np.flatnonzero((tokens <= left[0]) & (loss <= left[1]))
         if not len(fits):
             return None
         worth = tokens[fits] * (left[0] / limits.tokens**2) + loss[fits] * (left[1] / limits.loss**2)
@@ -106,12 +108,25 @@ class Pool:
         used = len(self._stacks)
         if not self.size:
             return None
-        return self._pop(int(np.where(self._count[:used] > 0, self._tokens[:used], -1).argmax()))
+        return self._pop(int(self._tokens[:used].argmax()))
 
     def _pop(self, slot: int) -> Piece:
         self._count[slot] -= 1
         self.size -= 1
-        return self._stacks[slot].pop()
+        piece = self._stacks[slot].pop()
+        if not self._stacks[slot]:
+            del self._slot[piece.demand]
+            last = len(self._stacks) - 1
+            moved = self._stacks.pop()
+            if slot != last:
+                self._stacks[slot] = moved
+                self._slot[moved[0].demand] = slot
+                for numbers in (self._tokens, self._loss, self._count):
+                    numbers[slot] = numbers[last]
+        return piece
+
+    def __iter__(self) -> Iterator[Piece]:
+        return (piece for stack in self._stacks for piece in stack)
 
 
 def _fill(pool: Pool, limits: Limits, room: int) -> list[Piece]:
@@ -148,7 +163,7 @@ def sequences(pieces: Iterable[Piece], limits: Limits) -> Iterator[list[Piece]]:
         if pool.size >= POOL:  # refill after half is gone, so that choices stay wide
             while pool.size > POOL // 2:
                 yield _fill(pool, limits, limits.tokens)
-    over = sum(int(k[0]) * len(pool._stacks[s]) for k, s in pool._slot.items())
+    over = sum(len(piece.ids) for piece in pool)
     while pool.size:
         room = limits.tokens
         if limits.cut and limits.smallest <= over < room:
@@ -233,3 +248,45 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(cut=False), with_
     schema = SCHEMA + ", ids array<long>" * with_ids
     chosen = examples.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<long>"), F.col("loss").cast("array<int>"))
     return chosen.mapInArrow(run, schema)
+
+
+def conversation_examples(formatted: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 1) -> DataFrame:
+    """`doc_id`, `ids` and `loss` of formatted conversations (`conv_id`, `block`, `blocks`, `text`, `spans`), a row per block.
+
+    What is to be learned and what stands between is encoded apart, so that no token is of both; `end` follows the last
+    block and bears no loss. Empty texts have no ids but `end`. No rows in, no rows out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).batch
+        for batch in batches:
+            rows, cuts, learned = [], [], []
+            for block, blocks, text, spans in zip(*batch.columns[1:]):
+                text, at, first = text.as_py() or "", 0, len(cuts)
+                for span in spans.as_py() or ():
+                    cuts += [text[at : span["start"]], text[span["start"] : span["end"]]]
+                    learned += [0, 1]
+                    at = span["end"]
+                cuts.append(text[at:])
+                learned.append(0)
+                rows.append((slice(first, len(cuts)), block.as_py() == blocks.as_py() - 1))
+            found = list(encode(cuts))
+            ids, loss = [], []
+            for cut, last in rows:
+                tail = [np.array([end] * last, np.uint32)]
+                ids.append(np.concatenate(found[cut] + tail).astype(np.int64))
+                loss.append(np.repeat(np.array(learned[cut] + [0], np.int32), [*map(len, found[cut]), len(tail[0])]))
+            columns = [batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(loss, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "loss"])
+
+    chosen = formatted.select("conv_id", "block", "blocks", "text", "spans")
+    return map_batches(chosen, run, "doc_id long, ids array<long>, loss array<int>")
+
+
+#: Limits of instruction data: fewer segments and less learned text than a sequence has room for.
+INSTRUCTIONS = Limits(tokens=2048, segments=16, loss=1024, cut=False)
+
+
+def pack_conversations(formatted: DataFrame, limits: Limits = INSTRUCTIONS) -> DataFrame:
+    """Formatted conversations packed under all three limits; see :func:`pack_examples`."""
+    return pack_examples(conversation_examples(formatted), limits)

@@ -51,6 +51,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: what the formatted conversations teach bears loss, and all three limits bind."""
+    return packing.pack_conversations(chat_format.format_conversations(_table(spark, sf_dir, "conversations")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simple8b": op7_simple8b,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "pack_conversations": pack_conversations,
     "op10_secrets": op10_secrets,
     "op11_chat_format": op11_chat_format,
     "op12_filter_audit": op12_filter_audit,

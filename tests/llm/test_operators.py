@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from mailscope.llm import (
-    cover_tree, langid, mixing, packing, quality, secret_scan, sharding, simhash, simple8b, tokens, warc,
+    chat_format, cover_tree, langid, mixing, packing, quality, secret_scan, sharding, simhash, simple8b, tokens, warc,
 )
 from mailscope.llm.rows import row_digest
 from tests.conftest import SF_DIR
@@ -534,6 +534,54 @@ def test_pack_examples_under_three_limits(spark, monkeypatch, cut):
         assert all(pieces[i] == 1 for i in fits)
 
 
+def test_choices_are_the_largest_dot_product():
+    """Against plain loops over the pieces left, with demands that differ in both numbers."""
+    pick, limits = np.random.default_rng(7), packing.Limits(tokens=100, segments=9, loss=40)
+    pool, left = packing.Pool(), []
+    differs = 0
+    for step in range(1500):
+        if len(left) < 5 or pick.random() < 0.5:
+            n = int(pick.integers(1, 60))
+            piece = packing.Piece(step, 0, n, np.arange(n, dtype=np.uint32), (pick.random(n) < pick.random()).astype(np.int64))
+            pool.add(piece)
+            left.append(piece.demand)
+            continue
+        room = (int(pick.integers(1, 101)), int(pick.integers(0, 41)))
+        worth = lambda d: d[0] * room[0] / limits.tokens**2 + d[1] * room[1] / limits.loss**2  # noqa: B023, E731
+        fits = [d for d in left if d[0] <= room[0] and d[1] <= room[1]]
+        found = pool.take(room, limits)
+        if not fits:
+            assert found is None
+            continue
+        assert worth(found.demand) == pytest.approx(max(map(worth, fits)))
+        differs += found.demand[0] < max(d[0] for d in fits)
+        left.remove(found.demand)
+        assert pool.size == len(left) and sorted(p.demand for p in pool) == sorted(left)
+        assert len(pool._stacks) == len(set(left))
+    assert differs > 20  # the longest piece that fits is not what is chosen
+    assert packing.Pool().longest() is None
+
+
+def test_pack_conversations(spark):
+    talks = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+    formatted = chat_format.format_conversations(talks)
+    limits = packing.INSTRUCTIONS
+    found = packing.pack_conversations(formatted).collect()
+    examples = {r.doc_id: (r.ids, r.loss) for r in packing.conversation_examples(formatted).collect()}
+    check_packing(found, {i: np.array(ids, np.uint32) for i, (ids, _) in examples.items()}, limits)
+    for r in found:
+        assert r.loss_tokens == sum(examples[r.doc_id][1][r.start : r.start + r.length])
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    for r in formatted.collect()[:20]:
+        ids, loss = examples[r.conv_id]
+        learned = "".join(r.text[s["start"] : s["end"]] for s in r.spans)
+        assert library.decode([i for i, flag in zip(ids, loss) if flag], skip_special_tokens=False) == learned
+        assert library.decode(ids[:-1], skip_special_tokens=False) == r.text and (ids[-1], loss[-1]) == (1, 0)
+    assert packing.pack_conversations(formatted.where("false")).count() == 0
+
+
 # --- secrets
 
 
