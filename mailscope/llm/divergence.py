@@ -1,10 +1,10 @@
 """How far the sources of a language are apart in their words, and which words set a source apart.
 
-`CountVectorizer` makes every document a sparse vector of counts over the terms that enough documents of its language
-have. A term is counted under its language, so that one vocabulary serves all languages and none mixes with another.
-The sums of the vectors of each group (a language and a source) are all that is compared. Two groups share the value of
-a term that neither holds, and a term's values by count are known from how many terms have that count; only terms that
-both hold are looked at one by one.
+`CountVectorizer` finds the terms that enough documents of their language have, and every document becomes a sparse vector
+of counts over them. A term is counted under its language, so that one vocabulary serves all languages and none mixes
+with another. The sums of the vectors of each group (a language and a source) are all that is compared. Two groups share
+the value of a term that neither holds, and a term's values by count are known from how many terms have that count; only
+terms that both hold are looked at one by one.
 
 The vectorizer's vocabulary passes through the driver and is broadcast, so terms are dealt by hash into as many cells as
 keep every vocabulary within a bound; each cell is a table of its own with a vectorizer of its own.
@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from mailscope.llm.batches import map_batches
 from mailscope.llm.scratch import materialise, scratch_path
 
-#: One of so many terms, by hash, is counted to tell how many there are.
-EVERY = 64
-#: Different terms that a task remembers before it hands them on.
-SEEN = 1 << 17
+#: Bytes of terms that go out together, or are looked up together.
+WIDTH = 1 << 25
+#: Rows of summed vectors that go out together.
+ROWS = 1 << 17
 #: Rows of shared terms that are compared at a time; those of one term stay together.
 CHUNK = 1 << 16
 SCALE = 1_000_000_000
@@ -42,12 +44,12 @@ MARK = "\0"
 
 @dataclass(frozen=True)
 class AuditPlan:
-    """Terms of fewer than `min_documents` documents of a language are left out. `vocabulary` bounds the terms of one
-    vectorizer, `top` the terms that are reported for a group."""
+    """Terms of fewer than `min_documents` documents of a language are left out. `vocabulary` bounds the different
+    terms, rare ones included, that one vectorizer sees, `top` the terms that are reported for a group."""
 
     min_documents: int = 3
     top: int = 200
-    vocabulary: int = 1 << 20
+    vocabulary: int = 1 << 22
 
 
 def _read(documents: DataFrame) -> DataFrame:
@@ -59,72 +61,126 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(LETTERS).split()
 
 
-def count_of_terms(documents: DataFrame) -> int:
-    """About how many different terms there are under all languages: those of one hash value in `EVERY`, counted."""
+def _lists(joined: bytes, lengths: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of `sizes` strings, whose bytes follow one another in `joined`."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(joined))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chosen(seen):
-            found = [(lang, t) for lang, terms in seen.items() for t in terms if zlib.crc32(t) % EVERY == 0]
-            langs, terms = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary())], names=["lang", "term"])
 
-        for batch in batches:
-            seen = defaultdict(set)
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                seen[lang.as_py()].update(terms_of(text.as_py()))
-                if sum(map(len, seen.values())) > SEEN:
-                    yield chosen(seen)
-                    seen.clear()
-            yield chosen(seen)
+class _Counts:
+    """Rows of a source, a cell, and different terms with their counts, on their way out."""
 
-    found = map_batches(_read(documents).select("lang", "text"), run, "lang string, term binary")
-    return found.distinct().count() * EVERY
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, int]] = []
+        self.parts: list[bytes] = []
+        self.lengths: list[int] = []
+        self.counts: list[int] = []
+        self.width = 0
 
+    def add(self, source: str, cell: int, terms: list[bytes], counts: Iterable[int], mark: bytes = b"") -> None:
+        self.rows.append((source, cell, len(terms)))
+        self.parts.append(mark + mark.join(terms))
+        self.lengths += [len(term) + len(mark) for term in terms] if mark else map(len, terms)
+        self.counts += counts
+        self.width += len(self.parts[-1])
 
-def _lists(joined: bytes, lengths: np.ndarray, sizes: list[int]) -> pa.Array:
-    """Lists of `sizes` strings, whose bytes follow one another in `joined`."""
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    flat = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(joined))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-    return pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(pa.string()))
+    def batch(self) -> pa.RecordBatch:
+        sources, cells, sizes = zip(*self.rows)
+        terms = _lists(b"".join(self.parts), np.array(self.lengths, np.int64), np.array(sizes))
+        counts = pa.ListArray.from_arrays(terms.offsets, pa.array(self.counts, pa.int64()))
+        columns = [pa.array(sources, pa.string()), pa.array(cells, pa.int32()), terms, counts]
+        return pa.RecordBatch.from_arrays(columns, names=["source", "cell", "terms", "counts"])
 
 
-#: Bytes of terms that go out together.
-WIDTH = 1 << 24
+COUNTS = "source string, cell int, terms array<string>, counts array<bigint>"
 
 
-def cells(documents: DataFrame, count: int) -> DataFrame:
-    """`lang`, `source`, `cell`, `terms`: a row for each document and cell that has terms of it, marked by language."""
-    names = ["lang", "source", "cell", "terms"]
+def _put_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out = _Counts()
+    for row in rows:
+        out.add(*row)
+        if out.width > WIDTH:
+            yield out.batch()
+            out = _Counts()
+    if out.rows:
+        yield out.batch()
+
+
+def term_counts(documents: DataFrame) -> DataFrame:
+    """`source`, `cell` (0), `terms` and `counts`: a row for each document that has terms, marked by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for lang, source, text in zip(*batch.columns):
+                    found = Counter(terms_of(text.as_py()))
+                    if found:
+                        yield source.as_py(), 0, list(found), found.values(), (lang.as_py() + MARK).encode()
+
+        return _put_out(rows())
+
+    return map_batches(_read(documents), run, COUNTS)
+
+
+def _dealt(counts: DataFrame, cells: int) -> DataFrame:
+    """The same with the terms of a document dealt to cells by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for source, terms, numbers in zip(*(batch.column(c) for c in ("source", "terms", "counts"))):
+                    dealt = defaultdict(lambda: ([], []))
+                    for term, n in zip(terms.as_py(), numbers.as_py()):
+                        term = term.encode()
+                        cell = dealt[zlib.crc32(term) % cells]
+                        cell[0].append(term)
+                        cell[1].append(n)
+                    for cell, (some, of) in dealt.items():
+                        yield source.as_py(), cell, some, of
+
+        return _put_out(rows())
+
+    return map_batches(counts, run, COUNTS)
+
+
+def _summed(cell: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """`source`, `at` (place in the vocabulary), `n`: sums of the documents' sparse vectors by source, in parts."""
+
+    def vectors(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        sources = table.column("source").combine_chunks().dictionary_encode()
+        terms, counts = (table.column(c).combine_chunks() for c in ("terms", "counts"))
+        places = pc.index_in(terms.flatten(), value_set=vocabulary.value)
+        held = np.asarray(places.is_valid())
+        at = places.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[held]
+        of = np.repeat(np.asarray(sources.indices).astype(np.int64), np.asarray(terms.value_lengths()))[held]
+        if not len(at):
+            return
+        key, width = of * len(vocabulary.value) + at, len(vocabulary.value)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums, key = np.add.reduceat(counts.flatten().to_numpy()[held][order], first), key[first]
+        for start in range(0, len(key), ROWS):
+            some = slice(start, start + ROWS)
+            names = sources.dictionary.take(pa.array(key[some] // width))
+            columns = [names, pa.array((key[some] % width).astype(np.int32)), pa.array(sums[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            rows, parts, lengths, width = [], [], [], 0
-            for lang, source, text in zip(*(c for c in batch.columns)):
-                terms, mark = terms_of(text.as_py()), (lang.as_py() + MARK).encode()
-                dealt = {0: terms}
-                if count > 1:
-                    dealt = defaultdict(list)
-                    for term, digest in zip(terms, map(zlib.crc32, terms)):
-                        dealt[digest // EVERY % count].append(term)
-                for cell, some in dealt.items():
-                    if some:
-                        rows.append((lang.as_py(), source.as_py(), cell, len(some)))
-                        parts.append(mark + mark.join(some))
-                        lengths.append(np.fromiter(map(len, some), np.int64, len(some)) + len(mark))
-                        width += len(parts[-1])
-                if width > WIDTH:
-                    yield made(rows, parts, lengths)
-                    rows, parts, lengths, width = [], [], [], 0
-            if rows:
-                yield made(rows, parts, lengths)
-
-    def made(rows, parts, lengths):
-        langs, sources, places, sizes = zip(*rows)
-        columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(places, pa.int32())]
-        return pa.RecordBatch.from_arrays([*columns, _lists(b"".join(parts), np.concatenate(lengths), sizes)], names=names)
-
-    return map_batches(_read(documents), run, "lang string, source string, cell int, terms array<string>")
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.nbytes
+            if size > WIDTH:
+                yield from vectors(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from vectors(waiting)
+
+    return map_batches(cell.select("source", "terms", "counts"), run, "source string, at int, n long")
 
 
 def _cell_sums(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFrame:
@@ -134,24 +190,27 @@ def _cell_sums(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFra
     model = vectorizer.fit(cell.select("terms").union(always))
     path = scratch_path(spark, "divergence-vocabulary")
     model.save(path)
-    vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "marked"))
-    vector = F.unwrap_udt("vector")
-    held = model.transform(cell).select("source", vector["indices"].alias("indices"), vector["values"].alias("counts"))
-    held = held.select("source", "counts", F.posexplode("indices").alias("place", "at"))
-    sums = held.groupBy("source", "at").agg(F.sum(F.get("counts", F.col("place"))).cast("long").alias("n"))
+    places = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "marked"))
+    terms = places.orderBy("at").select("marked").toArrow().column(0).combine_chunks()
+    sums = _summed(cell, spark.sparkContext.broadcast(terms)).groupBy("source", "at").agg(F.sum("n").alias("n"))
     term = F.substring_index("marked", MARK, -1)
     lang = F.col("marked").substr(F.lit(1), F.length("marked") - F.length(term) - 1)
-    return sums.join(vocabulary, "at").select(lang.alias("lang"), "source", term.alias("term"), "n")
+    return sums.join(places, "at").select(lang.alias("lang"), "source", term.alias("term"), "n")
 
 
 def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
     """`lang`, `source`, `term`, `n`: the summed vectors of each group, without zeros."""
     spark = documents.sparkSession
-    count = max(1, math.ceil(1.25 * count_of_terms(documents) / plan.vocabulary))
-    path = scratch_path(spark, "divergence-cells")
-    cells(documents, count).write.partitionBy("cell").parquet(path)
-    dealt = spark.read.schema("lang string, source string, terms array<string>, cell int").parquet(path)
-    found = [materialise(_cell_sums(spark, dealt.where(F.col("cell") == cell), plan), "divergence-sums") for cell in range(count)]
+    counts = materialise(term_counts(documents), "divergence-counts")
+    different = counts.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
+    cells = max(1, math.ceil(different / plan.vocabulary))
+    dealt = [counts]
+    if cells > 1:
+        path = scratch_path(spark, "divergence-cells")
+        _dealt(counts, cells).write.partitionBy("cell").parquet(path)
+        every = spark.read.schema("source string, terms array<string>, counts array<bigint>, cell int").parquet(path)
+        dealt = [every.where(F.col("cell") == cell) for cell in range(cells)]
+    found = [materialise(_cell_sums(spark, cell, plan), "divergence-sums") for cell in dealt]
     result = found[0]
     for more in found[1:]:
         result = result.union(more)

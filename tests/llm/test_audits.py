@@ -154,9 +154,9 @@ def sources():
     return [*rows, (900, "alone", "xx", "s", 1), (901, "1 2 3", "yy", "s", 1), (902, None, "yy", "t", 1)]
 
 
-@pytest.mark.parametrize(("vocabulary", "top", "chunk"), [(1 << 20, 200, 1 << 16), (1500, 3, 5)])
+@pytest.mark.parametrize(("vocabulary", "top", "chunk"), [(1 << 22, 200, 1 << 16), (1500, 3, 5)])
 def test_divergence(spark, monkeypatch, vocabulary, top, chunk):
-    monkeypatch.setattr(divergence, "EVERY", 1 if vocabulary == 1500 else 64)
+    monkeypatch.setattr(divergence, "WIDTH", 1 << 25 if vocabulary > 1500 else 500)
     monkeypatch.setattr(divergence, "CHUNK", chunk)
     rows, plan = sources(), divergence.AuditPlan(top=top, vocabulary=vocabulary)
     expected = diverging(rows, plan)
