@@ -123,6 +123,7 @@ def _analyses() -> dict[str, Analysis]:
         "word_count_stats": lambda x, t, c: topics.word_count_stats(x),
         "body_share": lambda x, t, c: topics.body_share(x),
         "keyword_subject": lambda x, t, c: keywords.keyword_subject(x, c),
+        "keyword_positions": lambda x, t, c: keywords.keyword_positions(t, c),
         "keyword_text": lambda x, t, c: keywords.keyword_text(x, t, c),
         "top_senders": lambda x, t, c: rank.top_senders(x),
         "top_recipients_filter_first": lambda x, t, c: rank.top_recipients_filter_first(x, c),

@@ -21,7 +21,9 @@ EXCHANGE_COLUMNS = (
 SIDES = ("sender", "recipient")
 
 
-def build_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:
+def build_exchange(
+    sources: Sources, config: CorpusConfig, directory: DataFrame | None = None, co_located: bool = False
+) -> DataFrame:
     """Clean and join the four sources.
 
     The wide part (bodies, sender status, everything derived from texts) is put together per message,
@@ -37,15 +39,20 @@ def build_exchange(sources: Sources, config: CorpusConfig) -> DataFrame:
     space has no status.
 
     Where missing addresses match each other, lookups carry counts, and rows are repeated at the very end.
+
+    A saved ``directory`` takes the place of looking it up in the staff list. Sources that are ``co_located``, bucketed by
+    ``mid`` (see :mod:`mailscope.plans.startup`), are joined bucket by bucket instead of being shuffled by it.
     """
     counted = config.match_blank
-    directory = (counted_directory if counted else status_directory)(clean_employees(sources.employees, config), config)
+    if directory is None:
+        directory = (counted_directory if counted else status_directory)(clean_employees(sources.employees, config), config)
+    body_key = F.col("mid") if co_located else F.struct("mid")
     copies = {side: f"_copies_{side}" if counted else None for side in SIDES}
 
     sent = complete_messages(clean_messages(sources.messages, config))
     sent = with_status(sent, "sender", directory, "status_sender", config, copies["sender"])
-    bodies = sources.references.select(F.struct("mid").alias("_body_of"), *_text_columns(config))
-    sent = sent.join(bodies, F.struct("mid") == F.col("_body_of"), "left").select(
+    bodies = sources.references.select(body_key.alias("_body_of"), *_text_columns(config))
+    sent = sent.join(bodies, body_key == F.col("_body_of"), "left").select(
         "mid",
         "date",
         F.year("date").alias("year"),

@@ -71,6 +71,16 @@ def keyword_text(exchange: DataFrame, sources: Sources, config: CorpusConfig) ->
     return text_frequency(monthly_pairs(exchange), [], sources, config)
 
 
+def keyword_positions(sources: Sources, config: CorpusConfig) -> DataFrame:
+    """Per word of the list: bodies that have it, and where it first occurs, on average and at the earliest; one pass."""
+    body, words = F.col("reference"), list(dict.fromkeys(config.words))
+    places = [F.struct(F.lit(w).alias("word"), text.first_position(body, w).alias("place")) for w in words]
+    found = sources.references.where(body.isNotNull()).select(F.inline(F.array(*places)))
+    return found.groupBy("word").agg(
+        F.count("place").alias("n_bodies"), F.avg("place").alias("mean_first"), F.min("place").alias("earliest")
+    )
+
+
 def _topical(exchange: DataFrame, by: Sequence[str], config: CorpusConfig) -> DataFrame:
     """Distinct subject-body pairs per group, of months in which the group has any topic.
 

@@ -688,6 +688,11 @@ def _single_statements() -> dict[str, str]:
             blank_rows="""SELECT rtype, CASE WHEN mid % 40 = 7 THEN '' ELSE sender END AS sender,
               CASE WHEN mid % 40 = 3 OR mid % 400 = 7 THEN '' WHEN mid % 40 = 5 THEN NULL ELSE rvalue END AS rvalue FROM complete""",
         ),
+        "keyword_positions": _query(
+            f"""SELECT word, count(place) AS n_bodies, {_r('avg(place)')} AS mean_first, CAST(min(place) AS INT) AS earliest
+            FROM (SELECT word, nullif(strpos(reference, word), 0) AS place FROM refs,
+              (VALUES {', '.join(f"('{w}')" for w in dict.fromkeys(C.words))}) w(word) WHERE reference IS NOT NULL) GROUP BY word"""
+        ),
         "profile_missing_values": _query(
             " UNION ALL ".join(
                 f"SELECT count(*) AS n_rows, '{c}' AS \"column\", count(*) - count({c}) AS n_missing FROM employees"
