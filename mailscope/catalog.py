@@ -32,10 +32,24 @@ CHOICE = {
 }
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles, so that the last bits of a float sum do not decide a comparison."""
+#: Decimals of doubles, so that the last bits of a float sum do not decide a comparison.
+DIGITS, FINER = 6, {"density": 9}
+#: Probabilities can be very small; they have so many significant digits instead.
+PROBABILITIES, SIGNIFICANT = ("p", "p_adjusted"), 6
+
+
+def _rounded(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+    def shown(name: str) -> F.Column:
+        c = F.col(name)
+        if kinds[name] != "double":
+            return c
+        if name in PROBABILITIES:
+            return F.when(c.isNotNull(), F.format_string(f"%.{SIGNIFICANT - 1}e", c).cast("double")).alias(name)
+        return F.round(c, FINER.get(name, DIGITS)).alias(name)
+
+    return df.select(*map(shown, df.columns))
 
 
 def _per_side() -> dict[str, Callable[[str], Analysis]]:

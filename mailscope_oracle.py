@@ -6,7 +6,7 @@ rows, rows repeated as often as they count) rather than the way the library comp
 
 from __future__ import annotations
 
-from mailscope.catalog import CHOICE, EXTREME_RATIO, PERSON, SIDES, STATUS
+from mailscope.catalog import CHOICE, EXTREME_RATIO, FINER, PERSON, SIDES, SIGNIFICANT, STATUS
 from mailscope.operators.density import FINE
 from mailscope.sources.testbed import TESTBED as C
 
@@ -90,6 +90,10 @@ def _r(expression: str, digits: int = 6) -> str:
     return f"ROUND(CAST({expression} AS DECIMAL(32, 12)), {digits})::DOUBLE"
 
 
+def _probability(expression: str) -> str:
+    return f"CAST(printf('%.{SIGNIFICANT - 1}e', CAST({expression} AS DOUBLE)) AS DOUBLE)"
+
+
 def _big(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
 
@@ -141,7 +145,7 @@ def _anova(values: str, **ctes: str) -> str:
         FROM (SELECT g, v, avg(v) OVER (PARTITION BY g) AS gm, avg(v) OVER () AS m FROM vals))"""
     beta = "SELECT *, df2 / 2 AS a, df1 / 2 AS b, df2 / (df2 + df1 * stat) AS x FROM test"
     select = (
-        f"SELECT {_r('i.stat')} AS f, i.df1 AS df_between, i.df2 AS df_within, {_r(_P_VALUE)} AS p {_P_FROM}"
+        f"SELECT {_r('i.stat')} AS f, i.df1 AS df_between, i.df2 AS df_within, {_probability(_P_VALUE)} AS p {_P_FROM}"
     )
     return _recursive(select, _BETA_STEPS, **ctes, vals=values, test=test, beta_in=beta, beta_args=_BETA_ARGS)
 
@@ -152,8 +156,8 @@ def _pairwise(values: str, **ctes: str) -> str:
     test = """SELECT row_number() OVER () AS id, x.g AS ga, y.g AS gb, df, k * (k - 1) / 2 AS tests,
       (x.m - y.m) / (sd * sqrt(1.0 / x.n + 1.0 / y.n)) AS stat FROM grp x, grp y, pooled WHERE x.g < y.g"""
     beta = "SELECT *, df / 2 AS a, 0.5::DOUBLE AS b, df / (df + stat * stat) AS x FROM test"
-    select = f"""SELECT i.ga AS group_a, i.gb AS group_b, {_r('i.stat')} AS t, i.df AS df, {_r(_P_VALUE)} AS p,
-      {_r(f'least(1, i.tests * ({_P_VALUE}))')} AS p_adjusted {_P_FROM}"""
+    select = f"""SELECT i.ga AS group_a, i.gb AS group_b, {_r('i.stat')} AS t, i.df AS df, {_probability(_P_VALUE)} AS p,
+      {_probability(f'least(1, i.tests * ({_P_VALUE}))')} AS p_adjusted {_P_FROM}"""
     return _recursive(
         select, _BETA_STEPS, **ctes, vals=values, grp=groups, pooled=pooled, test=test, beta_in=beta,
         beta_args=_BETA_ARGS,
@@ -167,7 +171,7 @@ def _welch(values: str, reference: str, **ctes: str) -> str:
       FROM grp x, grp y WHERE x.g = '{reference}' AND y.g <> '{reference}'"""
     beta = "SELECT *, df / 2 AS a, 0.5::DOUBLE AS b, df / (df + stat * stat) AS x FROM test"
     select = f"""SELECT i.ga AS group_a, i.gb AS group_b, {_r('i.stat')} AS t, {_r('i.df')} AS df,
-      {_r(_P_VALUE)} AS p {_P_FROM}"""
+      {_probability(_P_VALUE)} AS p {_P_FROM}"""
     return _recursive(
         select, _BETA_STEPS, **ctes, vals=values, grp=groups, test=test, beta_in=beta, beta_args=_BETA_ARGS
     )
@@ -195,7 +199,7 @@ def _density(values: str, name: str, points: int, **ctes: str) -> str:
     grid = f"""SELECT g, n, bw, CAST(i AS INT) AS point, lo - 3 * bw AS start, i * ((hi - lo + 6 * bw) / {points - 1}) AS d
       FROM sized, range({points}) t(i) WHERE bw > 0"""
     select = f"""SELECT r.g AS {name}, point, {_r('start + d')} AS x,
-      {_r(f'sum(w * exp(-0.5 * pow(d / bw - b / {FINE}, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi()))')} AS density
+      ROUND(sum(w * exp(-0.5 * pow(d / bw - b / {FINE}, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), {FINER['density']}) AS density
       FROM grid r JOIN binned v ON r.g = v.g GROUP BY r.g, point, start, d"""
     return _query(select, **ctes, vals=values, sized=sized, binned=binned, grid=grid)
 
