@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailscope.llm import tokens
+from mailscope.llm import scratch, tokens
 from mailscope.llm.components import components
 from mailscope.llm.prefix import hashed_shifts, total_before
 from mailscope.llm.scan import running
@@ -70,3 +70,24 @@ def test_ids_are_those_of_whole_texts(monkeypatch, name):
     monkeypatch.setattr(tokens, "TOGETHER", 500)
     got = list(tokens.Encoder(name, remembered=50).batch([*texts, None], 1))
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in [*texts, ""]]
+
+
+@pytest.mark.parametrize(("master", "fine"), [("local", True), ("local[8]", True), ("local[2,3]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_no_local_folder_on_a_cluster(master, fine):
+    class Session:
+        class conf:
+            values: dict = {}
+            get = classmethod(lambda cls, key, default=None: cls.values.get(key, default))
+            set = classmethod(lambda cls, key, value: cls.values.update({key: value}))
+
+        class sparkContext:
+            getConf = staticmethod(dict)
+
+    Session.conf.values, Session.sparkContext.master = {}, master
+    if fine:
+        assert scratch.scratch_dir(Session) == scratch.scratch_dir(Session)
+    else:
+        with pytest.raises(RuntimeError):
+            scratch.scratch_dir(Session)
+        Session.conf.values = {"spark.checkpoint.dir": "hdfs://shared/"}
+        assert scratch.scratch_dir(Session) == "hdfs://shared"
