@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from mailscope.llm.batches import map_batches
 from mailscope.llm.scratch import materialise, scratch_path
 
 #: Bytes of terms that go out together, or are looked up together.
-WIDTH = 1 << 25
+WIDTH = 1 << 23
 #: Rows of summed vectors that go out together.
 ROWS = 1 << 17
 #: Rows of shared terms that are compared at a time; those of one term stay together.
@@ -183,23 +183,38 @@ def _summed(cell: DataFrame, vocabulary: Broadcast) -> DataFrame:
     return map_batches(cell.select("source", "terms", "counts"), run, "source string, at int, n long")
 
 
-def _cell_sums(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFrame:
-    """`lang`, `source`, `term`, `n` of the terms of one cell that enough documents have."""
+def _vocabulary(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFrame:
+    """`at`, `marked`: places and terms that enough documents have, written by the fitted vectorizer."""
     always = spark.createDataFrame([([MARK],)] * plan.min_documents, "terms array<string>")  # no vocabulary may be empty
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=plan.min_documents, vocabSize=2**31 - 1)
-    model = vectorizer.fit(cell.select("terms").union(always))
     path = scratch_path(spark, "divergence-vocabulary")
-    model.save(path)
-    places = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "marked"))
-    terms = places.orderBy("at").select("marked").toArrow().column(0).combine_chunks()
-    sums = _summed(cell, spark.sparkContext.broadcast(terms)).groupBy("source", "at").agg(F.sum("n").alias("n"))
+    vectorizer.fit(cell.select("terms").union(always)).save(path)
+    return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "marked"))
+
+
+def _unmarked(places: DataFrame) -> DataFrame:
+    """`at`, `lang`, `term`, without the one that is always there."""
     term = F.substring_index("marked", MARK, -1)
     lang = F.col("marked").substr(F.lit(1), F.length("marked") - F.length(term) - 1)
-    return sums.join(places, "at").select(lang.alias("lang"), "source", term.alias("term"), "n")
+    return places.where(F.col("marked") != MARK).select("at", lang.alias("lang"), term.alias("term"))
+
+
+def _cell_sums(spark: SparkSession, cell: DataFrame, places: DataFrame) -> DataFrame:
+    """`lang`, `source`, `term`, `n` of the terms of one cell that enough documents have."""
+    terms = places.orderBy("at").select("marked").toArrow().column(0).combine_chunks()
+    sums = _summed(cell, spark.sparkContext.broadcast(terms)).groupBy("source", "at").agg(F.sum("n").alias("n"))
+    return sums.join(_unmarked(places), "at").select("lang", "source", "term", "n")
+
+
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for more in parts[1:]:
+        result = result.union(more)
+    return result
 
 
-def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
-    """`lang`, `source`, `term`, `n`: the summed vectors of each group, without zeros."""
+def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> tuple[DataFrame, DataFrame]:
+    """`lang`, `source`, `term`, `n`: the summed vectors of each group, without zeros; and `lang`, `v`: its kept terms."""
     spark = documents.sparkSession
     counts = materialise(term_counts(documents), "divergence-counts")
     different = counts.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
@@ -210,11 +225,10 @@ def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame
         _dealt(counts, cells).write.partitionBy("cell").parquet(path)
         every = spark.read.schema("source string, terms array<string>, counts array<bigint>, cell int").parquet(path)
         dealt = [every.where(F.col("cell") == cell) for cell in range(cells)]
-    found = [materialise(_cell_sums(spark, cell, plan), "divergence-sums") for cell in dealt]
-    result = found[0]
-    for more in found[1:]:
-        result = result.union(more)
-    return result
+    places = [_vocabulary(spark, cell, plan) for cell in dealt]
+    sums = [materialise(_cell_sums(spark, cell, known), "divergence-sums") for cell, known in zip(dealt, places)]
+    kept = _together([_unmarked(known).select("lang") for known in places]).groupBy("lang").agg(F.count("*").alias("v"))
+    return _together(sums), kept
 
 
 def _share(n: str, total: str) -> str:
@@ -237,8 +251,8 @@ def _far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _both_hold(shared: DataFrame) -> DataFrame:
     """`lang`, `source`, `item`, `value`: what terms that both groups hold add to what is known without looking at them.
 
-    `shared` has `lang`, `term`, `source`, `p`, `zero`. Rows of one term meet in a task, sorted; chunks of whole terms are
-    compared by distance in the order, and a chunk gives one row for each pair of groups.
+    `shared` has `lang`, `term`, `source`, `p`, `zero`, and all rows of a term in one task. Chunks of whole terms are compared
+    by distance in the order, and a chunk gives one row for each pair of groups.
     """
     kind = "lang string, source string, item string, value long"
 
@@ -285,8 +299,7 @@ def _both_hold(shared: DataFrame) -> DataFrame:
         if kept is not None:
             yield from compared(kept)
 
-    met = shared.select("lang", "term", "source", "p", "zero").repartition("lang", "term")
-    return met.sortWithinPartitions("lang", "term").mapInArrow(run, kind)
+    return shared.select("lang", "term", "source", "p", "zero").sortWithinPartitions("term", "lang").mapInArrow(run, kind)
 
 
 def audit(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
@@ -302,10 +315,9 @@ def audit(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
     terms; a language of one source has no pairs. Repeated rows count each. Other columns are ignored. No rows in, no rows
     out. Arithmetic is exact up to 9 * 10^15 occurrences.
     """
-    sums = group_sums(documents, plan)
-    by_lang = sums.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang")
-    langs = by_lang.agg(F.count("*").alias("v"), F.sum("n").alias("lang_n"))
-    sizes = sums.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
+    sums, kept = group_sums(documents, plan)
+    sizes = materialise(sums.groupBy("lang", "source").agg(F.sum("n").alias("group_n")), "divergence-sizes")
+    langs = kept.join(sizes.groupBy("lang").agg(F.sum("group_n").alias("lang_n")), "lang")
     groups = _read(documents).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select(
         "lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_n", F.lit(0)).alias("lang_n"),
@@ -313,15 +325,19 @@ def audit(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
     )
     groups = materialise(groups.withColumn("zero", F.expr(_share("0", "(group_n + v)"))), "divergence-groups")
 
-    shares = sums.join(groups, ["lang", "source"]).withColumn("p", F.expr(_share("n", "(group_n + v)")))
-    common = shares.withColumn("q", F.expr(_share("sum(n) OVER (PARTITION BY lang, term)", "(lang_n + v)")))
+    # One shuffle brings the groups of a term together, for its total and for the pairs that both hold it; terms come first in
+    # its order, since languages tell few rows apart.
+    met = sums.withColumn("term_n", F.sum("n").over(Window.partitionBy("term", "lang"))).join(groups, ["lang", "source"])
+    shares = met.withColumn("p", F.expr(_share("n", "(group_n + v)")))
+    common = shares.withColumn("q", F.expr(_share("term_n", "(lang_n + v)")))
     telling = common.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"))
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("other"))
-    counts = shares.groupBy("lang", "source", "zero", "p").agg(F.count("*").alias("k"))
-    met = counts.join(other, "lang").where("source <> item")
+    counts = sums.groupBy("lang", "source", "n").agg(F.count("*").alias("k")).join(groups, ["lang", "source"])
+    counts = counts.select("lang", "source", "zero", "k", F.expr(_share("n", "(group_n + v)")).alias("p"))
+    beside = counts.join(other, "lang").where("source <> item")
     none = _apart("zero", "other")
-    held = met.groupBy("lang", "source", "item").agg(
+    held = beside.groupBy("lang", "source", "item").agg(
         F.expr(f"sum(k * ({_apart('p', 'other')} - {none}))").alias("first"),
         F.expr(f"sum(k * ({_apart('other', 'p')} - {_apart('other', 'zero')}))").alias("second"),
     )
@@ -329,7 +345,7 @@ def audit(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> DataFrame:
     known = pairs.select("lang", "source", "item", F.expr(f"CASE WHEN v > 0 THEN v * {none} ELSE 0 END").alias("value"))
     known = known.union(held.select("lang", "source", "item", "first"))
     known = known.union(held.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "second"))
-    pairs = known.union(_both_hold(shares)).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = known.union(_both_hold(shares.where("term_n > n"))).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(group).alias("rank"))
