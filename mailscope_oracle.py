@@ -7,7 +7,6 @@ rows, rows repeated as often as they count) rather than the way the library comp
 from __future__ import annotations
 
 from mailscope.catalog import CHOICE, EXTREME_RATIO, FINER, PERSON, SIDES, SIGNIFICANT, STATUS
-from mailscope.operators.density import FINE
 from mailscope.sources.testbed import TESTBED as C
 
 FLAGS, SUMS = C.topic_flags, C.topic_sums
@@ -193,15 +192,12 @@ def _density(values: str, name: str, points: int, **ctes: str) -> str:
         WHEN quantile_cont(v, 0.75) > quantile_cont(v, 0.25)
         THEN least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34)
         ELSE stddev_samp(v) END AS bw FROM vals GROUP BY g"""
-    binned = f"""SELECT g, b, sum(w) AS w FROM (
-      SELECT v.g, unnest([floor(t), floor(t) + 1]) AS b, unnest([1 - t + floor(t), t - floor(t)]) AS w
-      FROM (SELECT v.g, (v - lo + 3 * bw) / bw * {FINE} AS t FROM vals v JOIN sized s ON v.g = s.g WHERE bw > 0) v) GROUP BY ALL"""
-    grid = f"""SELECT g, n, bw, CAST(i AS INT) AS point, lo - 3 * bw AS start, i * ((hi - lo + 6 * bw) / {points - 1}) AS d
+    grid = f"""SELECT g, n, bw, CAST(i AS INT) AS point, lo - 3 * bw + i * ((hi - lo + 6 * bw) / {points - 1}) AS x
       FROM sized, range({points}) t(i) WHERE bw > 0"""
-    select = f"""SELECT r.g AS {name}, point, {_r('start + d')} AS x,
-      ROUND(sum(w * exp(-0.5 * pow(d / bw - b / {FINE}, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), {FINER['density']}) AS density
-      FROM grid r JOIN binned v ON r.g = v.g GROUP BY r.g, point, start, d"""
-    return _query(select, **ctes, vals=values, sized=sized, binned=binned, grid=grid)
+    select = f"""SELECT r.g AS {name}, point, {_r('x')} AS x,
+      ROUND(sum(exp(-0.5 * pow((x - v) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), {FINER['density']}) AS density
+      FROM grid r JOIN vals v ON r.g = v.g GROUP BY r.g, point, x"""
+    return _query(select, **ctes, vals=values, sized=sized, grid=grid)
 
 
 # --- topics, keywords ---------------------------------------------------------------------------

@@ -166,6 +166,18 @@ def test_density_is_near_the_direct_sum(spark):
         assert abs(r["density"] - direct) <= 1 / (8 * 32**2) / (width * math.sqrt(2 * math.pi)) * 1.01
 
 
+def test_density_is_the_direct_sum(spark):
+    values = [0.0, 1.0, 1.0, 2.5, 4.0, 7.0, 7.0, 7.25, 500.0]
+    curve = density(frame(spark, {"a": values, None: values}), "g", "v", points=50).collect()
+    quartiles, mean = (1.0, 7.0), sum(values) / 9
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / 8)
+    width = 0.9 * min(deviation, (quartiles[1] - quartiles[0]) / 1.34) * 9**-0.2
+    assert sorted((r["g"] is None, r["point"]) for r in curve) == [(g, p) for g in (False, True) for p in range(50)]
+    for r in curve:
+        direct = sum(math.exp(-0.5 * ((r["x"] - v) / width) ** 2) for v in values) / (9 * width * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(direct, rel=1e-9, abs=1e-15)
+
+
 def test_density_puts_no_group_in_order(spark):
     curve = density(spark.range(1000).selectExpr("id % 2 AS g", "id AS v"), "g", "v")
     assert "Window" not in curve._jdf.queryExecution().executedPlan().toString()
