@@ -103,8 +103,12 @@ def _wanted(total: Column, shares: Sequence[float]) -> Column:
     return F.array(*ranks)
 
 
-def keyed_quantiles(keyed: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """``by`` and ``q0, q1, …`` of rows with ``_key``, ``_value`` (what a key stands for) and ``_weight``."""
+def keyed_quantiles(keyed: DataFrame, by: Sequence[str], shares: Sequence[float], few: bool = False) -> DataFrame:
+    """``by`` and ``q0, q1, …`` of rows with ``_key``, ``_value`` (what a key stands for) and ``_weight``.
+
+    ``few`` says that a setting bounds the groups. The prefixes found, two a share and group, then go to the rows; by a
+    shuffle all rows that go on with one prefix would meet in one task, and identifiers have the same first bits.
+    """
     by, cell = list(by), [F.col("_weight")]
     first = keyed.groupBy(*by, F.lit(0).cast("long").alias("_prefix"), _digit(0).alias("_digit"))
     cells = first.agg(F.sum(*cell).alias("_n"))
@@ -112,7 +116,7 @@ def keyed_quantiles(keyed: DataFrame, by: Sequence[str], shares: Sequence[float]
     live = _chosen(cells.withColumn("_wanted", _wanted(total, shares)), by, 0)
     for level in range(1, LEVELS):
         below = keyed.withColumn("_prefix", _prefix(level)).alias("k").join(
-            live.alias("l"), _same("k", "l", [*by, "_prefix"])
+            (F.broadcast(live) if few else live).alias("l"), _same("k", "l", [*by, "_prefix"])
         )
         # The wanted ranks go with the group, so that the prefixes are computed once.
         grouped = below.groupBy(*[F.col(f"l.{c}") for c in (*by, "_prefix", "_wanted")], _digit(level).alias("_digit"))
@@ -163,7 +167,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[flo
         for c in columns
     ]
     keyed = df.select(F.inline(F.array(*parts)))
-    return keyed_quantiles(keyed.where(F.col("_key").isNotNull()), ["column"], shares)
+    return keyed_quantiles(keyed.where(F.col("_key").isNotNull()), ["column"], shares, few=True)
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:

@@ -262,6 +262,22 @@ def test_quantiles_of_columns_of_several_types(spark):
         exact_quantiles(spark.range(1).selectExpr("cast(id as decimal(38, 10)) AS x"), "x", [0.5])
 
 
+def test_rows_of_a_column_do_not_meet_in_one_task(spark):
+    """Identifiers share their first bits; joins without size estimates may not bring them together."""
+    df = spark.range(0, 200_000, numPartitions=8)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        found = column_quantiles(df, ["id"], (0.25, 0.5))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert tuple(found.first()) == ("id", 49999.75, 99999.5)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_grouped_quantiles(spark):
     df = spark.range(20_000).selectExpr(
         "nullif(id % 7, 6) AS g", "if(id % 11 = 0, null, (id * 7919 % 10007) / 8) AS v", "id % 4 AS w"
