@@ -126,9 +126,16 @@ class VoteModel:
     bad: tuple[float, ...]
 
     def posterior(self, votes: Sequence[Column]) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, g, b in zip(votes, self.good, self.bad, strict=True):
-            odds = odds + F.when(vote == 1, F.lit(math.log(g / (1 - b)))).when(vote == 0, F.lit(math.log((1 - g) / b))).otherwise(F.lit(0.0))
+        """The weights are literals of an array, which generated code takes by reference: with numbers in the code, every step
+        of a fit would be compiled anew, and the driver keeps what it has compiled."""
+        weights = [
+            F.struct(F.lit(math.log(g / (1 - b))).alias("good"), F.lit(math.log((1 - g) / b)).alias("bad"))
+            for _, g, b in zip(votes, self.good, self.bad, strict=True)
+        ]
+        said = F.zip_with(F.array(*votes), F.array(*weights), lambda vote, w: (
+            F.when(vote == 1, w["good"]).when(vote == 0, w["bad"]).otherwise(F.lit(0.0))
+        ))
+        odds = F.aggregate(said, F.lit(math.log(self.prior / (1 - self.prior))), lambda total, x: total + x)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -155,13 +162,13 @@ def fit(patterns: DataFrame, names: Sequence[str], steps: int = 60, settled: flo
     votes = patterns.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{r}") for r, s in enumerate(shares)]).first()
     model = start = _start(votes)
     for _ in range(steps):
-        good = model.posterior([F.col(c) for c in names])
+        scored, good = patterns.withColumn("_good", model.posterior([F.col(c) for c in names])), F.col("_good")
         sums = [F.sum(n).alias("all"), F.sum(n * good).alias("good")]
         for r, name in enumerate(names):
             for vote in (0, 1):
                 cast = F.when(F.col(name) == vote, n).otherwise(0.0)
                 sums += [F.sum(cast * good).alias(f"g{r}{vote}"), F.sum(cast * (1 - good)).alias(f"b{r}{vote}")]
-        found = patterns.agg(*sums).first()
+        found = scored.agg(*sums).first()
         if not found["all"]:
             return model
         new_good, new_bad = [], []

@@ -434,6 +434,26 @@ def brute_fit(patterns, names):
     return model
 
 
+def test_steps_of_a_fit_share_their_code(spark):
+    """Generated code must not hold the model: the driver would compile and keep every step of a fit."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    df = spark.createDataFrame([(1, 0, None, 5), (0, 1, 1, 2)], "a int, b int, c int, n long")
+
+    def code(model):
+        scored = df.select("n", model.posterior([F.col(c) for c in "abc"]).alias("p")).agg(F.sum(F.col("n") * F.col("p")))
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        parts = scored._jdf.queryExecution().explainString(mode).split("Generated code:")[1:]
+        return [re.sub(r"/\*.*?\*/", "", part.split("== Subtree")[0]) for part in parts]
+
+    one, other = quality.VoteModel(0.9, (0.8,) * 3, (0.7,) * 3), quality.VoteModel(0.85, (0.81,) * 3, (0.71,) * 3)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the query runs
+        found = code(one)
+        assert found and found == code(other)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_fit(spark):
     patterns = [((1, 1, 1), 900), ((0, 0, 1), 60), ((1, 0, None), 20), ((None, None, 1), 10), ((0, 1, 1), 5)]
     df = spark.createDataFrame([(*v, n) for v, n in patterns], "a int, b int, c int, n long")
