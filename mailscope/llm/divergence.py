@@ -2,7 +2,9 @@
 
 `CountVectorizer` finds the terms that enough documents of their language have, and every document becomes a sparse vector
 of counts over them. A term is counted under its language, so that one vocabulary serves all languages and none mixes
-with another. The sums of the vectors of each group (a language and a source) are all that is compared. Two groups share
+with another. The sums of the vectors of each group (a language and a source) are all that is compared, and whether few
+or many documents have a term is all that is asked of the rest; so a task adds up the documents of a group that it has at
+hand, and keeps of their number what decides. Two groups share
 the value of a term that neither holds, and a term's values by count are known from how many terms have that count; only
 terms that both hold are looked at one by one.
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -31,6 +34,8 @@ from mailscope.llm.scratch import materialise, scratch_path
 
 #: Bytes of terms that go out together, or are looked up together.
 WIDTH = 1 << 23
+#: Different terms of its groups that a task adds up before they go out; more by those of one document.
+TOGETHER = 1 << 17
 #: Rows of summed vectors that go out together.
 ROWS = 1 << 17
 #: Rows of shared terms that are compared at a time; those of one term stay together.
@@ -69,31 +74,36 @@ def _lists(joined: bytes, lengths: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 class _Counts:
-    """Rows of a source, a cell, and different terms with their counts, on their way out."""
+    """Rows of a source, a cell, different terms with their counts and how many are held so often, on their way out."""
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, int, int]] = []
         self.parts: list[bytes] = []
         self.lengths: list[int] = []
         self.counts: list[int] = []
+        self.held: list[list[int]] = []
         self.width = 0
 
-    def add(self, source: str, cell: int, terms: list[bytes], counts: Iterable[int], mark: bytes = b"") -> None:
+    def add(
+        self, source: str, cell: int, terms: list[bytes], counts: Iterable[int], held: list[int], mark: bytes = b""
+    ) -> None:
         self.rows.append((source, cell, len(terms)))
         self.parts.append(mark + mark.join(terms))
         self.lengths += [len(term) + len(mark) for term in terms] if mark else map(len, terms)
         self.counts += counts
+        self.held.append(held)
         self.width += len(self.parts[-1])
 
     def batch(self) -> pa.RecordBatch:
         sources, cells, sizes = zip(*self.rows)
         terms = _lists(b"".join(self.parts), np.array(self.lengths, np.int64), np.array(sizes))
         counts = pa.ListArray.from_arrays(terms.offsets, pa.array(self.counts, pa.int64()))
-        columns = [pa.array(sources, pa.string()), pa.array(cells, pa.int32()), terms, counts]
-        return pa.RecordBatch.from_arrays(columns, names=["source", "cell", "terms", "counts"])
+        held = pa.array(self.held, pa.list_(pa.int32()))
+        columns = [pa.array(sources, pa.string()), pa.array(cells, pa.int32()), terms, counts, held]
+        return pa.RecordBatch.from_arrays(columns, names=["source", "cell", "terms", "counts", "held"])
 
 
-COUNTS = "source string, cell int, terms array<string>, counts array<bigint>"
+COUNTS = "source string, cell int, terms array<string>, counts array<bigint>, held array<int>"
 
 
 def _put_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +117,38 @@ def _put_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield out.batch()
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """`source`, `cell` (0), `terms` and `counts`: a row for each document that has terms, marked by language."""
+def _added_up(groups: dict[tuple[str, str], tuple[Counter, Counter]], least: int) -> Iterator[tuple]:
+    """A row for each group, terms of many documents first: `held[k]` of them are in more than k, up to `least`."""
+    for (lang, source), (occurrences, documents) in groups.items():
+        # Both have met the terms in the same order.
+        often = np.minimum(np.fromiter(documents.values(), np.int64, len(documents)), least)
+        order = np.argsort(-often, kind="stable")
+        terms = np.array(list(occurrences), object)[order].tolist()
+        counts = np.fromiter(occurrences.values(), np.int64, len(occurrences))[order].tolist()
+        yield source, 0, terms, counts, [int((often > k).sum()) for k in range(least)], (lang + MARK).encode()
+
+
+def term_counts(documents: DataFrame, least: int = 1) -> DataFrame:
+    """`source`, `cell` (0), `terms`, `counts` and `held`: rows of the terms of several documents of one language and
+    source, marked by language; the first `held[k]` are those of more than k of the documents, for k below `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            groups, size = {}, 0
             for batch in batches:
                 for lang, source, text in zip(*batch.columns):
-                    found = Counter(terms_of(text.as_py()))
-                    if found:
-                        yield source.as_py(), 0, list(found), found.values(), (lang.as_py() + MARK).encode()
+                    terms = terms_of(text.as_py())
+                    if not terms:
+                        continue
+                    occurrences, documents = groups.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                    size -= len(occurrences)
+                    occurrences.update(terms)
+                    documents.update(iter(dict.fromkeys(terms)))
+                    size += len(occurrences)
+                    if size > TOGETHER:
+                        yield from _added_up(groups, least)
+                        groups, size = {}, 0
+            yield from _added_up(groups, least)
 
         return _put_out(rows())
 
@@ -124,20 +156,21 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
 
 def _dealt(counts: DataFrame, cells: int) -> DataFrame:
-    """The same with the terms of a document dealt to cells by hash."""
+    """The same with the terms of a row dealt to cells by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for source, terms, numbers in zip(*(batch.column(c) for c in ("source", "terms", "counts"))):
-                    dealt = defaultdict(lambda: ([], []))
-                    for term, n in zip(terms.as_py(), numbers.as_py()):
+                for source, terms, numbers, held in zip(*(batch.column(c) for c in ("source", "terms", "counts", "held"))):
+                    dealt = defaultdict(lambda: ([], [], []))
+                    for at, (term, n) in enumerate(zip(terms.as_py(), numbers.as_py())):
                         term = term.encode()
                         cell = dealt[zlib.crc32(term) % cells]
                         cell[0].append(term)
                         cell[1].append(n)
-                    for cell, (some, of) in dealt.items():
-                        yield source.as_py(), cell, some, of
+                        cell[2].append(at)
+                    for cell, (some, of, places) in dealt.items():
+                        yield source.as_py(), cell, some, of, [bisect_left(places, h) for h in held.as_py()]
 
         return _put_out(rows())
 
@@ -145,7 +178,7 @@ def _dealt(counts: DataFrame, cells: int) -> DataFrame:
 
 
 def _summed(cell: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """`source`, `at` (place in the vocabulary), `n`: sums of the documents' sparse vectors by source, in parts."""
+    """`source`, `at` (place in the vocabulary), `n`: sums of the sparse vectors by source, in parts."""
 
     def vectors(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -183,12 +216,22 @@ def _summed(cell: DataFrame, vocabulary: Broadcast) -> DataFrame:
     return map_batches(cell.select("source", "terms", "counts"), run, "source string, at int, n long")
 
 
+def _least(plan: AuditPlan) -> int:
+    return max(1, plan.min_documents)
+
+
 def _vocabulary(spark: SparkSession, cell: DataFrame, plan: AuditPlan) -> DataFrame:
-    """`at`, `marked`: places and terms that enough documents have, written by the fitted vectorizer."""
+    """`at`, `marked`: places and terms that enough documents have, written by the fitted vectorizer.
+
+    A row stands for as many lists as decide: the terms of at least one of its documents, of at least two, and so on. A
+    term is in `min_documents` lists exactly if so many documents have it.
+    """
+    lists = F.array(*[F.slice("terms", F.lit(1), F.get("held", F.lit(k))) for k in range(_least(plan))])
+    lists = cell.select(F.explode(lists).alias("terms")).where(F.size("terms") > 0)
     always = spark.createDataFrame([([MARK],)] * plan.min_documents, "terms array<string>")  # no vocabulary may be empty
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=plan.min_documents, vocabSize=2**31 - 1)
     path = scratch_path(spark, "divergence-vocabulary")
-    vectorizer.fit(cell.select("terms").union(always)).save(path)
+    vectorizer.fit(lists.union(always)).save(path)
     return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "marked"))
 
 
@@ -216,14 +259,14 @@ def _together(parts: Sequence[DataFrame]) -> DataFrame:
 def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> tuple[DataFrame, DataFrame]:
     """`lang`, `source`, `term`, `n`: the summed vectors of each group, without zeros; and `lang`, `v`: its kept terms."""
     spark = documents.sparkSession
-    counts = materialise(term_counts(documents), "divergence-counts")
+    counts = materialise(term_counts(documents, _least(plan)), "divergence-counts")
     different = counts.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
     cells = max(1, math.ceil(different / plan.vocabulary))
     dealt = [counts]
     if cells > 1:
         path = scratch_path(spark, "divergence-cells")
         _dealt(counts, cells).write.partitionBy("cell").parquet(path)
-        every = spark.read.schema("source string, terms array<string>, counts array<bigint>, cell int").parquet(path)
+        every = spark.read.schema("source string, terms array<string>, counts array<bigint>, held array<int>, cell int").parquet(path)
         dealt = [every.where(F.col("cell") == cell) for cell in range(cells)]
     places = [_vocabulary(spark, cell, plan) for cell in dealt]
     sums = [materialise(_cell_sums(spark, cell, known), "divergence-sums") for cell, known in zip(dealt, places)]

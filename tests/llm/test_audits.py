@@ -167,6 +167,20 @@ def test_divergence(spark, monkeypatch, vocabulary, top, chunk):
         assert result(divergence.audit(more, plan)) == expected
 
 
+def test_documents_of_a_group_are_added_up(spark, monkeypatch):
+    """Rows go out by group and not by document, and still tell which terms three documents have."""
+    rows = [(i, "All alike " + "rare " * (i < 2) + "twice twice", "en", "ab"[i % 2], 0) for i in range(40)]
+    table = corpus(spark, rows).coalesce(1)
+    found = {r.source: r for r in divergence.term_counts(table, 3).collect()}
+    assert found.keys() == {"a", "b"} and all(len(r.terms) == 4 and list(r.held) == [4, 3, 3] for r in found.values())
+    assert dict(zip(found["a"].terms, found["a"].counts)) == {"en\0all": 20, "en\0alike": 20, "en\0twice": 40, "en\0rare": 1}
+    for together in (1, 7, 1 << 17):
+        monkeypatch.setattr(divergence, "TOGETHER", together)
+        sums, kept = divergence.group_sums(table.repartition(3))
+        assert {(r.source, r.term, r.n) for r in sums.collect()} == {(s, t, 20 * (1 + (t == "twice"))) for s in "ab" for t in ("all", "alike", "twice")}
+        assert [tuple(r) for r in kept.collect()] == [("en", 3)]
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.audit(corpus(spark, [])).count() == 0
     assert divergence.audit(corpus(spark, [(1, None, None, None, None)])).count() == 0
