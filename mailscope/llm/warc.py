@@ -57,8 +57,9 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 
 def plain_text(html: Column) -> Column:
     """The text of a page: hidden elements, comments and tags out, one line per block, runs of space as one."""
-    hidden = "|".join(["<!--.*?-->", *(rf"<{name}\b[^>]*>.*?</{name}\s*>" for name in HIDDEN)])
-    text = F.regexp_replace(html, f"(?is){hidden}", "")
+    # One first character for all kinds, so that other places are passed over without trying each.
+    hidden = "|".join(["!--.*?-->", *(rf"{name}\b[^>]*>.*?</{name}\s*>" for name in HIDDEN)])
+    text = F.regexp_replace(html, f"(?is)<(?:{hidden})", "")
     text = F.regexp_replace(text, r"[\x09-\x0D]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{LINES})(?:[\x20/][^>]*)?>", "\n")
     text = F.regexp_replace(text, r"<[!?/a-zA-Z][^>]*>", "")

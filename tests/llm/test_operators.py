@@ -739,3 +739,12 @@ def test_written_shards_and_records(spark, tmp_path):
         assert data[length : length + 4] == b"\r\n\r\n"
         data = data[length + 4 :]
     assert sorted(records) == sorted((r.warc_type, r.block) for r in made.collect())
+
+
+def test_hidden_elements_are_looked_for_at_one_character(spark):
+    """All kinds go, and no other place of a page has to try each of them."""
+    pages = ["a<!-- x\n<b> -->b", "a<SCRIPT src=x>if (a<b)</script >b", "a<style>\n</style>b", "a<noscript><i>x</i></noscript>b", "a<template x>y</TEMPLATE\n>b", "a<scripts>b", "a<!-- open b"]
+    text = warc.plain_text(F.col("html")).alias("text")
+    found = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").select("i", text)
+    assert [r.text for r in found.orderBy("i").collect()] == ["ab", "ab", "ab", "ab", "ab", "ab", "a<!-- open b"]
+    assert "(?is)<(?:" in found._jdf.queryExecution().analyzed().toString()
