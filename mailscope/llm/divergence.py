@@ -3,8 +3,8 @@
 `CountVectorizer` finds the terms that enough documents of their language have, and every document becomes a sparse vector
 of counts over them. A term is counted under its language, so that one vocabulary serves all languages and none mixes
 with another. The sums of the vectors of each group (a language and a source) are all that is compared, and whether few
-or many documents have a term is all that is asked of the rest; so a task adds up the documents of a group that it has at
-hand, and keeps of their number what decides. Two groups share
+or many documents have a term is all that is asked of the rest; so a task adds up the documents of a language that it has at
+hand, with a vector for each source over terms that stand there once, and keeps of their number what decides. Two groups share
 the value of a term that neither holds, and a term's values by count are known from how many terms have that count; only
 terms that both hold are looked at one by one.
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from mailscope.llm.batches import map_batches
 from mailscope.llm.scratch import materialise, scratch_path
 
-#: Bytes of terms that go out together, or are looked up together.
-WIDTH = 1 << 23
-#: Different terms of its groups that a task adds up before they go out; more by those of one document.
-TOGETHER = 1 << 17
-#: Rows of summed vectors that go out together.
+#: Bytes of terms and vectors that are looked up together; each time costs a table of the vocabulary.
+WIDTH = 1 << 24
+#: Different terms of batches and languages that a task adds up before they go out; more by those of one batch.
+TOGETHER = 1 << 19
+#: Counts of terms in documents that a task adds up before they go out; more by those of one batch.
+NUMBERS = 1 << 21
+#: Sums of different terms and sources that a task keeps before they go out, and rows of them that go out together.
+SUMS = 1 << 20
 ROWS = 1 << 17
 #: Rows of shared terms that are compared at a time; those of one term stay together.
 CHUNK = 1 << 16
@@ -45,6 +48,8 @@ SCALE = 1_000_000_000
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Between a language and a term; terms do not hold it.
 MARK = "\0"
+#: Rows of several documents of a language, see `group_vectors`.
+TERMS = "terms array<string>, held array<int>, vectors array<struct<source: string, at: array<int>, n: array<bigint>>>"
 
 
 @dataclass(frozen=True)
@@ -62,158 +67,196 @@ def _read(documents: DataFrame) -> DataFrame:
     return documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode().translate(LETTERS).split()
+def _terms(texts: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts in order, and how many each text has."""
+    joined = np.frombuffer(b" ".join([b"", *texts, b""]).translate(LETTERS), np.uint8)
+    letters = joined != 32
+    edges = np.flatnonzero(letters[1:] != letters[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(joined[letters]))
+    return terms, np.diff(np.searchsorted(starts, np.cumsum([0, *(len(text) + 1 for text in texts)])))
 
 
-def _lists(joined: bytes, lengths: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Lists of `sizes` strings, whose bytes follow one another in `joined`."""
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    flat = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(joined))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+def _row_batch(rows: Sequence[tuple[int, pa.Array, list[int], list[tuple[str, np.ndarray, np.ndarray]]]]) -> pa.RecordBatch:
+    """Rows of a cell, different terms, how many are held so often, and a vector of each source."""
+    cells, terms, held, vectors = zip(*rows)
+    sources, at, n = zip(*(vector for of in vectors for vector in of))
 
+    def lists(sizes: Iterable[int], flat: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
 
-class _Counts:
-    """Rows of a source, a cell, different terms with their counts and how many are held so often, on their way out."""
+    numbers = [lists(map(len, some), pa.array(np.concatenate(some))) for some in (at, n)]
+    vector = pa.StructArray.from_arrays([pa.array(sources, pa.string()), *numbers], names=["source", "at", "n"])
+    columns = [
+        pa.array(cells, pa.int32()), lists(map(len, terms), pa.concat_arrays(terms)), pa.array(held, pa.list_(pa.int32())),
+        lists(map(len, vectors), vector),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "terms", "held", "vectors"])
+
+
+def _sums_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of theirs."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+class _Group:
+    """The documents of a language that a task has at hand, in parts: the different terms of a part, how many documents have
+    each, and for each document and term of it the source, the term's place and its count."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int]] = []
-        self.parts: list[bytes] = []
-        self.lengths: list[int] = []
-        self.counts: list[int] = []
-        self.held: list[list[int]] = []
-        self.width = 0
-
-    def add(
-        self, source: str, cell: int, terms: list[bytes], counts: Iterable[int], held: list[int], mark: bytes = b""
-    ) -> None:
-        self.rows.append((source, cell, len(terms)))
-        self.parts.append(mark + mark.join(terms))
-        self.lengths += [len(term) + len(mark) for term in terms] if mark else map(len, terms)
-        self.counts += counts
-        self.held.append(held)
-        self.width += len(self.parts[-1])
-
-    def batch(self) -> pa.RecordBatch:
-        sources, cells, sizes = zip(*self.rows)
-        terms = _lists(b"".join(self.parts), np.array(self.lengths, np.int64), np.array(sizes))
-        counts = pa.ListArray.from_arrays(terms.offsets, pa.array(self.counts, pa.int64()))
-        held = pa.array(self.held, pa.list_(pa.int32()))
-        columns = [pa.array(sources, pa.string()), pa.array(cells, pa.int32()), terms, counts, held]
-        return pa.RecordBatch.from_arrays(columns, names=["source", "cell", "terms", "counts", "held"])
-
-
-COUNTS = "source string, cell int, terms array<string>, counts array<bigint>, held array<int>"
-
-
-def _put_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    out = _Counts()
-    for row in rows:
-        out.add(*row)
-        if out.width > WIDTH:
-            yield out.batch()
-            out = _Counts()
-    if out.rows:
-        yield out.batch()
-
-
-def _added_up(groups: dict[tuple[str, str], tuple[Counter, Counter]], least: int) -> Iterator[tuple]:
-    """A row for each group, terms of many documents first: `held[k]` of them are in more than k, up to `least`."""
-    for (lang, source), (occurrences, documents) in groups.items():
-        # Both have met the terms in the same order.
-        often = np.minimum(np.fromiter(documents.values(), np.int64, len(documents)), least)
+        self.sources: dict[str, int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, sources: Sequence[str], texts: Sequence[bytes]) -> tuple[int, int]:
+        """How many different terms and numbers there are more."""
+        terms, sizes = _terms(texts)
+        if not len(terms):
+            return 0, 0
+        terms = terms.dictionary_encode()
+        keys = np.asarray(terms.indices) + np.repeat(np.arange(len(texts)) * len(terms.dictionary), sizes)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        document, at = np.divmod(keys[first], len(terms.dictionary))
+        of = np.array([self.sources.setdefault(s, len(self.sources)) if size else 0 for s, size in zip(sources, sizes)], np.int32)
+        often = np.bincount(at, minlength=len(terms.dictionary))
+        self.parts.append((terms.dictionary, often, of[document], at.astype(np.int32), np.diff(first, append=len(keys))))
+        return len(terms.dictionary), len(at)
+
+    def row(self, lang: str, least: int) -> tuple:
+        """Terms of many documents first: `held[k]` of them are in more than k, up to `least`."""
+        dictionaries, often, of, at, n = zip(*self.parts)
+        terms = pa.concat_arrays(dictionaries).dictionary_encode()
+        width, known = len(terms.dictionary), np.asarray(terms.indices)
+        # Whole numbers are exact up to 2^53, far beyond what a task reads.
+        often = np.minimum(np.bincount(known, np.concatenate(often), width), least)
         order = np.argsort(-often, kind="stable")
-        terms = np.array(list(occurrences), object)[order].tolist()
-        counts = np.fromiter(occurrences.values(), np.int64, len(occurrences))[order].tolist()
-        yield source, 0, terms, counts, [int((often > k).sum()) for k in range(least)], (lang + MARK).encode()
+        place = np.empty(width, np.int64)
+        place[order] = np.arange(width)
+        starts = np.cumsum([0, *map(len, dictionaries)])
+        at = np.concatenate([place[known[start + some]] for start, some in zip(starts, at)])
+        keys, n = np.concatenate(of).astype(np.int64) * width + at, np.concatenate(n)
+        if len(self.sources) * width <= 16 * len(keys):
+            sums = np.bincount(keys, n)
+            keys = np.flatnonzero(sums)
+            n = sums[keys].astype(np.int64)
+        else:
+            keys, n = _sums_by_key(keys, n)
+        cuts = np.searchsorted(keys, np.arange(len(self.sources) + 1) * width)
+        parts = [slice(*cut) for cut in zip(cuts, cuts[1:])]
+        vectors = [(source, (keys[some] % width).astype(np.int32), n[some]) for source, some in zip(self.sources, parts)]
+        marked = pc.binary_join_element_wise(lang + MARK, terms.dictionary.take(pa.array(order)), "")
+        return 0, marked, [int((often > k).sum()) for k in range(least)], vectors
+
+
+def group_vectors(documents: DataFrame, least: int = 1, apart: bool = False) -> DataFrame:
+    """`cell` (0), `terms`, `held` and `vectors`: rows of the terms of several documents of one language, and if `apart` one
+    source, marked by language; the first `held[k]` are those of more than k of the documents, for k below `least`. A
+    vector has the counts `n` of one source's documents at the places `at` of the row's terms, in their order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, different, numbers = {}, 0, 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                met = defaultdict(lambda: ([], []))
+                langs, sources, texts = batch.columns
+                for lang, source, text in zip(langs.to_pylist(), sources.to_pylist(), texts.cast(pa.binary()).to_pylist()):
+                    of, some = met[(lang, source) if apart else (lang,)]
+                    of.append(source)
+                    some.append(text)
+                for key, (of, some) in met.items():
+                    more = groups.setdefault(key, _Group()).add(of, some)
+                    different += more[0]
+                    numbers += more[1]
+            if batch is None or different > TOGETHER or numbers > NUMBERS:
+                for (lang, *_), group in groups.items():
+                    if group.parts:
+                        yield _row_batch([group.row(lang, least)])
+                groups, different, numbers = {}, 0, 0
+
+    return map_batches(_read(documents), run, f"cell int, {TERMS}")
 
-def term_counts(documents: DataFrame, least: int = 1) -> DataFrame:
-    """`source`, `cell` (0), `terms`, `counts` and `held`: rows of the terms of several documents of one language and
-    source, marked by language; the first `held[k]` are those of more than k of the documents, for k below `least`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            groups, size = {}, 0
-            for batch in batches:
-                for lang, source, text in zip(*batch.columns):
-                    terms = terms_of(text.as_py())
-                    if not terms:
-                        continue
-                    occurrences, documents = groups.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                    size -= len(occurrences)
-                    occurrences.update(terms)
-                    documents.update(iter(dict.fromkeys(terms)))
-                    size += len(occurrences)
-                    if size > TOGETHER:
-                        yield from _added_up(groups, least)
-                        groups, size = {}, 0
-            yield from _added_up(groups, least)
-
-        return _put_out(rows())
-
-    return map_batches(_read(documents), run, COUNTS)
+def term_counts(documents: DataFrame, least: int = 1) -> DataFrame:
+    """`source`, `cell` (0), `terms`, `counts` and `held`: as :func:`group_vectors`, each source in rows of its own."""
+    vector = F.get("vectors", F.lit(0))
+    rows = group_vectors(documents, least, apart=True)
+    return rows.select(vector["source"].alias("source"), "cell", "terms", vector["n"].alias("counts"), "held")
 
 
 def _dealt(counts: DataFrame, cells: int) -> DataFrame:
     """The same with the terms of a row dealt to cells by hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for source, terms, numbers, held in zip(*(batch.column(c) for c in ("source", "terms", "counts", "held"))):
-                    dealt = defaultdict(lambda: ([], [], []))
-                    for at, (term, n) in enumerate(zip(terms.as_py(), numbers.as_py())):
-                        term = term.encode()
-                        cell = dealt[zlib.crc32(term) % cells]
-                        cell[0].append(term)
-                        cell[1].append(n)
-                        cell[2].append(at)
-                    for cell, (some, of, places) in dealt.items():
-                        yield source.as_py(), cell, some, of, [bisect_left(places, h) for h in held.as_py()]
+    def dealt(terms: pa.Array, held: list[int], vectors: pa.Array) -> pa.RecordBatch:
+        cell = np.array([zlib.crc32(term.encode()) % cells for term in terms.to_pylist()], np.int64)
+        order = np.argsort(cell, kind="stable")
+        ends = np.searchsorted(cell[order], np.arange(cells + 1))
+        place = np.empty(len(cell), np.int32)
+        place[order] = np.arange(len(cell)) - ends[cell[order]]
+        firsts = [np.bincount(cell[:h], minlength=cells) for h in held]
+        parts = [[] for _ in range(cells)]
+        for source, at, n in zip(*vectors.flatten()):
+            at, n = np.asarray(at.values), np.asarray(n.values)
+            by = np.argsort(cell[at], kind="stable")
+            at, n, cuts = at[by], n[by], np.searchsorted(cell[at[by]], np.arange(cells + 1))
+            for c in np.flatnonzero(np.diff(cuts)):
+                parts[c].append((source.as_py(), place[at[cuts[c] : cuts[c + 1]]], n[cuts[c] : cuts[c + 1]]))
+        some = np.flatnonzero(np.diff(ends))
+        return _row_batch([(c, terms.take(pa.array(order[ends[c] : ends[c + 1]])), [f[c] for f in firsts], parts[c]) for c in some])
 
-        return _put_out(rows())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, held, vectors in zip(*(batch.column(c) for c in ("terms", "held", "vectors"))):
+                yield dealt(terms.values, held.as_py(), vectors.values)
 
-    return map_batches(counts, run, COUNTS)
+    return map_batches(counts, run, f"cell int, {TERMS}")
 
 
 def _summed(cell: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """`source`, `at` (place in the vocabulary), `n`: sums of the sparse vectors by source, in parts."""
 
-    def vectors(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked_up(rows: list[pa.RecordBatch], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary, after those of the sources before, and counts."""
         table = pa.Table.from_batches(rows).combine_chunks()
-        sources = table.column("source").combine_chunks().dictionary_encode()
-        terms, counts = (table.column(c).combine_chunks() for c in ("terms", "counts"))
-        places = pc.index_in(terms.flatten(), value_set=vocabulary.value)
-        held = np.asarray(places.is_valid())
-        at = places.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[held]
-        of = np.repeat(np.asarray(sources.indices).astype(np.int64), np.asarray(terms.value_lengths()))[held]
-        if not len(at):
-            return
-        key, width = of * len(vocabulary.value) + at, len(vocabulary.value)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sums, key = np.add.reduceat(counts.flatten().to_numpy()[held][order], first), key[first]
-        for start in range(0, len(key), ROWS):
+        terms, vectors = (table.column(c).combine_chunks() for c in ("terms", "vectors"))
+        places = pc.index_in(terms.flatten(), value_set=vocabulary.value).fill_null(-1).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(np.asarray(terms.value_lengths()))])[:-1]
+        starts = np.repeat(starts, np.asarray(vectors.value_lengths()))
+        sources, at, n = vectors.flatten().flatten()
+        of = np.fromiter((names.setdefault(s, len(names)) for s in sources.to_pylist()), np.int64, len(sources))
+        lengths = np.asarray(at.value_lengths())
+        place = places[at.flatten().to_numpy() + np.repeat(starts, lengths)].astype(np.int64)
+        held = place >= 0
+        return (place + np.repeat(of * len(vocabulary.value), lengths))[held], n.flatten().to_numpy()[held]
+
+    def put_out(keys: np.ndarray, n: np.ndarray, names: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        width, known = len(vocabulary.value), pa.array(list(names), pa.string())
+        for start in range(0, len(keys), ROWS):
             some = slice(start, start + ROWS)
-            names = sources.dictionary.take(pa.array(key[some] // width))
-            columns = [names, pa.array((key[some] % width).astype(np.int32)), pa.array(sums[some])]
+            columns = [known.take(pa.array(keys[some] // width)), pa.array((keys[some] % width).astype(np.int32)), pa.array(n[some])]
             yield pa.RecordBatch.from_arrays(columns, names=["source", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
+        names, waiting, size = {}, [], 0
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
                 waiting.append(batch)
                 size += batch.nbytes
-            if size > WIDTH:
-                yield from vectors(waiting)
+            if waiting and (batch is None or size > WIDTH):
+                more, of = looked_up(waiting, names)
+                keys, n = _sums_by_key(np.concatenate([keys, more]), np.concatenate([n, of]))
                 waiting, size = [], 0
-        if waiting:
-            yield from vectors(waiting)
+            if batch is None or len(keys) > SUMS:
+                yield from put_out(keys, n, names)
+                names, keys, n = {}, keys[:0], n[:0]
 
-    return map_batches(cell.select("source", "terms", "counts"), run, "source string, at int, n long")
+    return map_batches(cell.select("terms", "vectors"), run, "source string, at int, n long")
 
 
 def _least(plan: AuditPlan) -> int:
@@ -259,14 +302,14 @@ def _together(parts: Sequence[DataFrame]) -> DataFrame:
 def group_sums(documents: DataFrame, plan: AuditPlan = AuditPlan()) -> tuple[DataFrame, DataFrame]:
     """`lang`, `source`, `term`, `n`: the summed vectors of each group, without zeros; and `lang`, `v`: its kept terms."""
     spark = documents.sparkSession
-    counts = materialise(term_counts(documents, _least(plan)), "divergence-counts")
+    counts = materialise(group_vectors(documents, _least(plan)), "divergence-counts")
     different = counts.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
     cells = max(1, math.ceil(different / plan.vocabulary))
     dealt = [counts]
     if cells > 1:
         path = scratch_path(spark, "divergence-cells")
         _dealt(counts, cells).write.partitionBy("cell").parquet(path)
-        every = spark.read.schema("source string, terms array<string>, counts array<bigint>, held array<int>, cell int").parquet(path)
+        every = spark.read.schema(f"{TERMS}, cell int").parquet(path)
         dealt = [every.where(F.col("cell") == cell) for cell in range(cells)]
     places = [_vocabulary(spark, cell, plan) for cell in dealt]
     sums = [materialise(_cell_sums(spark, cell, known), "divergence-sums") for cell, known in zip(dealt, places)]

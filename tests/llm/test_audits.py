@@ -181,6 +181,30 @@ def test_documents_of_a_group_are_added_up(spark, monkeypatch):
         assert [tuple(r) for r in kept.collect()] == [("en", 3)]
 
 
+def test_terms_of_a_language_go_out_once_for_all_sources(spark):
+    rows = [(i, "Alike, all " + "rare " * (i < 2) + f"of{'xyz'[i % 3]} twice twice", "en", "abc"[i % 3], 0) for i in range(30)]
+    rows += [(40, "été;ÉTÉ", "fr", None, 0), (41, "1 2 3", "fr", "d", 0), (42, None, "de", "d", 0), (43, "end", "en", "a", 0), (44, "Start", "en", "a", 0)]
+    found = {r.terms[0].split("\0")[0]: r for r in divergence.group_vectors(corpus(spark, rows).coalesce(1), 3).collect()}
+    assert found.keys() == {"en", "fr"} and sorted(found["fr"].terms) == ["fr\0ÉtÉ", "fr\0été"] and list(found["fr"].held) == [2, 0, 0]
+    terms, held, vectors = (found["en"][c] for c in ("terms", "held", "vectors"))
+    assert len(terms) == len(set(terms)) == held[0] == 9 and set(terms[held[2]:]) == {"en\0rare", "en\0end", "en\0start"}
+    assert list(held) == [9, 7, 6] and terms[6] == "en\0rare"
+    counts = {v.source: {terms[at].removeprefix("en\0of"): n for at, n in zip(v.at, v.n)} for v in vectors}
+    shared = {"en\0alike": 10, "en\0all": 10, "en\0twice": 20}
+    assert counts["c"] == shared | {"z": 10} and counts["b"] == shared | {"y": 10, "en\0rare": 1}
+    assert counts["a"] == shared | {"x": 10, "en\0rare": 1, "en\0end": 1, "en\0start": 1}
+
+
+def test_sums_by_key_and_by_place_agree(spark, monkeypatch):
+    """Many sources with few terms each are added up by sorting, few sources by place."""
+    rows = [(i, f"word{i % 7} " * 3 + "same " + f"own{i}", "en", f"s{i % many}", 0) for many in (2, 200) for i in range(400)]
+    sums, _ = divergence.group_sums(corpus(spark, rows).repartition(2))
+    expected = collections.Counter()
+    for _, text, _, source, _ in rows:
+        expected.update((source, t) for t in re.findall("[a-z]+", text))
+    assert {(r.source, r.term): r.n for r in sums.collect()} == {k: n for k, n in expected.items()}
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.audit(corpus(spark, [])).count() == 0
     assert divergence.audit(corpus(spark, [(1, None, None, None, None)])).count() == 0
