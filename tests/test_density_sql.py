@@ -13,6 +13,7 @@ import mailscope_oracle
 NAMES = (
     "daily_status_density_received",
     "per_person_ratio_density_sent",
+    "per_person_ratio_density_received",
 )
 
 
