@@ -14,6 +14,7 @@ NAMES = (
     "daily_status_density_received",
     "per_person_ratio_density_sent",
     "per_person_ratio_density_received",
+    "active_people_density_sent",
 )
 
 
