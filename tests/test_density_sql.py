@@ -15,6 +15,7 @@ NAMES = (
     "per_person_ratio_density_sent",
     "per_person_ratio_density_received",
     "active_people_density_sent",
+    "active_people_density_received",
 )
 
 
