@@ -16,6 +16,7 @@ NAMES = (
     "per_person_ratio_density_received",
     "active_people_density_sent",
     "active_people_density_received",
+    "compare_density_sent",
 )
 
 
